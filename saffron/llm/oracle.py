@@ -40,4 +40,25 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": _MIXING, "op7_exact_dedup": _EXACT}
+_PREFERENCE = r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), b AS (
+  SELECT pair, turn,
+         coalesce(list_sort(list(role || chr(0) || text) FILTER (side = 'chosen')), []) AS c,
+         coalesce(list_sort(list(role || chr(0) || text) FILTER (side = 'rejected')), []) AS r
+  FROM t GROUP BY pair, turn
+), s AS (
+  SELECT pair, min(turn) FILTER (c <> r) AS split, sum(len(c)) > 0 AND sum(len(r)) > 0 AS complete FROM b GROUP BY pair
+), p AS (
+  SELECT t.*, split IS NULL OR turn < split AS prompt, complete FROM t JOIN s USING (pair)
+)
+SELECT pair, CASE WHEN prompt THEN 'prompt' ELSE side END AS part, turn, role,
+       '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered,
+       CASE WHEN NOT prompt AND role = 'assistant' THEN 1 ELSE 0 END AS loss, complete
+FROM p WHERE NOT prompt OR side = 'chosen'
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_mixing": _MIXING, "op7_exact_dedup": _EXACT, "op10_preference": _PREFERENCE}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, language, media, mixing, pii
+from . import bpe, exact, language, media, mixing, near, pii, preference, toxicity
+from . import quality as quality_votes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,15 +45,39 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = quality_votes.train(documents, read(spark, sf_dir, "labels"), fold(3) != 1)
+    return quality_votes.quality(documents, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = toxicity.train(documents, read(spark, sf_dir, "labels"), fold(5) != 0)
+    return toxicity.toxicity(documents, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(read(spark, sf_dir, "documents"), words=2, share=80)
+
+
+def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.preference_turns(preference.neighbours(read(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
     "op2_pii": op2_pii,
     "op3_language": op3_language,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_preference": op10_preference,
 }
