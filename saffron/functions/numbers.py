@@ -6,7 +6,7 @@ depend on the order in which partitions arrive. An overflow of 64 bits raises.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -35,11 +35,10 @@ def half_up(x: Column, digits: int = 2) -> Column:
     return F.round(x.cast(f"decimal(28,{digits + 4})"), digits)
 
 
-def share(x: Column, *by: str) -> Column:
-    """x as a share of its total over all rows, or over the rows of ``by``."""
-    from pyspark.sql import Window
-
-    return x / F.sum(x).over(Window.partitionBy(*by))
+def share(x: Column, *by: str, digits: int = 4) -> Column:
+    """x as a share of its total over all rows, or over the rows of ``by``; exact like ``fixed_sum``."""
+    whole = fixed(x, digits)
+    return F.try_divide(whole, F.sum(whole).over(Window.partitionBy(*by)))
 
 
 def sum_if(condition: Column, x: Column | int = 1) -> Column:

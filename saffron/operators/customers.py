@@ -105,7 +105,7 @@ def disengagement(by_month: DataFrame, gap_days: int = 45) -> DataFrame:
     w = Window.partitionBy("customer_id").orderBy("month")
     nxt = F.lead("last_order_day").over(w)
     rows = by_month.withColumn("gap_days", F.datediff(nxt, F.col("last_order_day"))).where("gap_days is not null")
-    return rows.withColumns({"label": (F.col("gap_days") > gap_days).cast("int"), "promo_share": F.col("promo_orders") / F.col("orders"), "category_count": F.size("categories")})
+    return rows.withColumns({"label": (F.col("gap_days") > gap_days).cast("int"), "promo_share": F.col("promo_orders") / F.col("orders"), "category_count": F.coalesce(F.size("categories"), F.lit(0))})
 
 
 def repeat_buyers(members: DataFrame, item: str = "menu_item_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import fixed_sum
+from ..functions.numbers import fixed_sum, share
 from ..functions.times import month
 
 
@@ -50,4 +50,4 @@ def dense_rank_desc(df: DataFrame, value: str, out: str, ranges: int | None = No
 def shares(wastage: DataFrame, by: str) -> DataFrame:
     """Cost by one dimension and its share of all."""
     rows = valid_waste(wastage).groupBy(by).agg(*sums())
-    return rows.withColumn("cost_share", F.try_divide(F.col("wastage_cost"), F.sum("wastage_cost").over(Window.partitionBy())))
+    return rows.withColumn("cost_share", share(F.col("wastage_cost")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _PERSONAL = re.compile(r"(^|_)(name|email|phone|address)($|_)")
@@ -27,8 +27,6 @@ def write_once(df: DataFrame, root: str, version: str, table: str, key: list[str
     The rows written are counted while they are written, so the source runs once.
     """
     path = version_path(root, version, table)
-    from pyspark.sql import Observation
-
     seen = Observation(f"written-{table}")
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
     return read_back(df.sparkSession, path, df, seen.get["rows"], key)
