@@ -391,6 +391,28 @@ FROM p
 SELECT CAST(order_id AS VARCHAR) AS order_id, customer_id FROM d_orders UNION ALL SELECT 'X1-' || order_id, customer_id FROM d_orders
 UNION ALL SELECT * FROM (SELECT 'X2-' || order_id, customer_id FROM d_orders ORDER BY order_id LIMIT 7)
 """,
+    "naive_rollout": """
+, f AS (SELECT event_type AS entity, CAST(ts AS DATE) AS day, count(*) AS units FROM events GROUP BY 1, 2
+), m AS (SELECT max(day) AS last FROM f
+), e AS (SELECT DISTINCT entity FROM f)
+SELECT e.entity, CAST(last + CAST(k AS INTEGER) AS DATE) AS day, k AS horizon_day, CAST(coalesce(f.units, 0) AS DOUBLE) AS baseline
+FROM e, m, (SELECT unnest(range(1, 29)) AS k) LEFT JOIN f ON f.entity = e.entity AND f.day = last - CAST(6 - (k - 1) % 7 AS INTEGER)
+""",
+    "forecast_errors": """
+, h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS orders FROM events GROUP BY 1, 2
+), g AS (SELECT unnest(generate_series((SELECT min(hour) FROM h), (SELECT max(hour) FROM h), INTERVAL 1 HOUR)) AS hour
+), p AS (SELECT e.event_type, g.hour, coalesce(h.orders, 0) AS orders FROM (SELECT DISTINCT event_type FROM h) e CROSS JOIN g LEFT JOIN h USING (event_type, hour)
+), l AS (SELECT CAST(abs(orders - lag(orders, 168) OVER (PARTITION BY event_type ORDER BY hour)) AS DOUBLE) AS err FROM p)
+SELECT count(err) AS n, quantile_cont(err, 0.5) AS median_error, quantile_cont(err, 0.9) AS p90_error, max(err) AS max_error, count(*) FILTER (err <= 0.5) / count(err) AS within_0_5, count(*) FILTER (err <= 1) / count(err) AS within_1_0, count(*) FILTER (err <= 2) / count(err) AS within_2_0 FROM l
+""",
+    "threshold_sweep": """
+, s AS (SELECT least(value, 99) / 100 AS p, event_type = 'purchase' AS y FROM events
+), t AS (SELECT unnest(range(1, 20)) AS twentieths)
+SELECT twentieths, count(*) FILTER (y AND floor(p * 20 + 1e-9) >= twentieths) AS tp, count(*) FILTER (NOT y AND floor(p * 20 + 1e-9) >= twentieths) AS fp,
+       count(*) FILTER (y AND floor(p * 20 + 1e-9) < twentieths) AS fn, count(*) FILTER (NOT y AND floor(p * 20 + 1e-9) < twentieths) AS tn
+FROM s, t GROUP BY 1
+""",
+    "hourly_stream": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS orders FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "catalog_view": _CLASSES + " SELECT menu_item_id, item_name, category_id, units_sold, performance_class FROM classes WHERE lower(category_id) = 'economy' AND contains(lower(item_name), 'red') LIMIT 1000",
 }
 

@@ -526,3 +526,86 @@ def catalog_view(d: Domain) -> DataFrame:
     """The served form of a mart: filtered without regard to case, nulls first when descending."""
     served = catalog.ReportCatalog({"menu": menu_profitability(d).select("menu_item_id", "item_name", "category_id", "units_sold", "performance_class")})
     return served.view("menu", equals={"category_id": "economy"}, contains={"item_name": "RED"}, limit=1000)
+
+
+# --------------------------------------------------- models and streaming
+
+
+@query
+def demand_model(d: Domain) -> DataFrame:
+    """Validation and test errors of the hourly demand models over events."""
+    from ..models import demand
+
+    panel = panels.dense(hourly(d), ["event_type"], "hour", "1 hour", ["orders"])
+    return demand.fit(panel, "event_type", "hour", "orders", "2024-01-20", "2024-01-25").report
+
+
+@query
+def wastage_risk_model(d: Domain) -> DataFrame:
+    """Validation and test metrics of the weekly wastage-risk models over returned lines."""
+    from ..models import risk
+
+    week = F.to_date(F.date_trunc("week", F.col("order_datetime"))).alias("week")
+    sales = sold(d).groupBy("restaurant_id", "category_id", week).agg(F.sum("quantity").alias("demand"))
+    panel = weekly_panel(d).join(sales, ["restaurant_id", "category_id", "week"], "left").fillna(0, ["demand"])
+    return risk.fit(panel, ["restaurant_id", "category_id"], "week", "waste", "demand", "2000-01-01", "2000-10-01").report
+
+
+@query
+def disengagement_model(d: Domain) -> DataFrame:
+    from ..models import risk
+
+    return risk.disengagement_model(disengagement_labels(d))
+
+
+def event_days(d: Domain) -> DataFrame:
+    return d.raw("events").groupBy(F.col("event_type").alias("entity"), F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("units"))
+
+
+@query
+def daily_rollout(d: Domain) -> DataFrame:
+    from ..models import forecast
+
+    panel = forecast.daily_panel(event_days(d))
+    return forecast.rollout(panel, forecast.fit_linear(forecast.training(panel)), 28)
+
+
+@query
+def naive_rollout(d: Domain) -> DataFrame:
+    """The seasonal-naive baseline alone: each day repeats the one a week before."""
+    from ..models import forecast
+
+    out = forecast.rollout(forecast.daily_panel(event_days(d)), forecast.naive, 28)
+    return longs(out.select("entity", "day", "horizon_day", "baseline"), "horizon_day")
+
+
+@query
+def forecast_errors(d: Domain) -> DataFrame:
+    """Summary of the errors of the week-before prediction on the hourly panel."""
+    rows = hourly_panel(d).where("orders_lag_168 is not null").select(F.col("orders").cast("double").alias("actual"), F.col("orders_lag_168").cast("double").alias("predicted"))
+    return compare.error_summary(rows, "actual", "predicted").select("n", "median_error", "p90_error", "max_error", "within_0_5", "within_1_0", "within_2_0")
+
+
+@query
+def threshold_sweep(d: Domain) -> DataFrame:
+    """Confusion counts over 19 thresholds of an event value as a score of purchases."""
+    from ..models import evaluate
+
+    scored = d.raw("events").select((F.least(F.col("value"), F.lit(99.0)) / 100.0).alias("probability_positive"), (F.col("event_type") == "purchase").cast("int").alias("label"))
+    return evaluate.threshold_sweep(scored).select(F.round(F.col("threshold") * 20).cast("long").alias("twentieths"), "tp", "fp", "fn", "tn")
+
+
+@query
+def hourly_stream(d: Domain) -> DataFrame:
+    """Closed hours of the events table, counted by a streaming query that runs to its end."""
+    from uuid import uuid4
+
+    from ..streaming import hourly as stream
+
+    spark = d.spark
+    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/saffron-streams").rstrip("/")
+    path = f"{root}/saffron-{spark.sparkContext.applicationId}/stream-{uuid4().hex[:12]}"
+    like = d.raw("events")
+    counts = stream.hourly_counts(stream.source(spark, d.dir, "events.parquet", like))
+    stream.write(counts, f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{path}/out")
