@@ -9,9 +9,12 @@ the threshold with a chance of about 3 in 10,000, so links are missed that rarel
 
 Identical sets first become one class. In each index bucket the best connected
 class is the hub; every class is confirmed on full sets against the hub with
-which it shares most buckets, which links large groups without comparing all
-their pairs. Buckets that still join different components are then searched for
-pairs under the threshold: first the nearest ones of each class, then all.
+which it shares most buckets. Classes of one hub are a family, and what tells a
+class from its hub (its delta) is kept: two sets differ in exactly those hashes
+in which their deltas differ, so a family's other links follow from deltas, block
+by block, without texts and without a row for each pair. Buckets that still join
+different components of different families are then searched for pairs under the
+threshold: first the nearest ones of each class, then all.
 
 Defined results: null or empty texts have an empty set and no links; a null
 doc_id has no links and a null component; copies of a row share its class.
@@ -38,6 +41,10 @@ HASHES = CHUNKS * CHUNK
 THRESHOLD = 2 * CHUNKS - 1
 #: Partners that the first search of mixed buckets offers to each class.
 NEAREST = 8
+#: A class belongs to its hub's family from this percentage of similarity on.
+KIN = 50
+#: Classes of a family that one task compares with as many others, and hashes counted at a time.
+FAMILY_BLOCK, HASH_BLOCK = 1024, 4096
 #: At most so many classes hold more than a HOT-th of all rows.
 HOT = 1000
 
@@ -138,9 +145,13 @@ def index_keys(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
 
 
-def _confirmed(documents: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, share: int, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= share * union on full sets.
+PAIR = "a long, b long, linked boolean, size_a long, delta binary"
 
+
+def _judged(documents: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, share: int, id_col: str, text_col: str) -> DataFrame:
+    """Each pair (a, b) judged on full sets: linked if 100 * intersection >= share * union.
+
+    Pairs of at least KIN percent also get the hashes that only one of the sets has.
     Only texts that may be in a pair move; a hub's many partners are dealt by Spark's
     splitting of skewed joins, and the hub's set is kept while its partners follow.
     """
@@ -156,7 +167,7 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, classes: DataFrame, words
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, np.ndarray, bytes] | None = None
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple] = []
             a, b, da, db, ta, tb = batch.columns
             for i in range(batch.num_rows):
                 text = tb[i].as_py()
@@ -167,67 +178,145 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, classes: DataFrame, words
                 # An id may stand on several texts; only those with the class's set count.
                 if last[2] != db[i].as_py() or set_digest(mine) != da[i].as_py():
                     continue
-                common = len(np.intersect1d(mine, last[1], assume_unique=True))
-                if 100 * common >= share * (len(mine) + len(last[1]) - common):
-                    out.append((a[i].as_py(), b[i].as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                delta = np.setxor1d(mine, last[1], assume_unique=True)
+                union = (len(mine) + len(last[1]) + len(delta)) // 2
+                common = union - len(delta)
+                out.append((a[i].as_py(), b[i].as_py(), 100 * common >= share * union, len(mine), delta.tobytes() if 100 * common >= KIN * union else None))
+            cells = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["a", "b", "linked", "size_a", "delta"])
+
+    return both.mapInArrow(run, PAIR).dropDuplicates(["a", "b"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows of one key each, from batches that are sorted by key."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        new = np.zeros(t.num_rows - 1, bool)
+        for k in key:
+            column = t[k].to_numpy()
+            new |= column[1:] != column[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1)]
+        for start, stop in zip(cuts, cuts[1:]):  # noqa: B905
+            yield t.slice(start, stop - start)
+        held = t.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def _spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between places, enough to connect what they connect."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for x, y in zip(left.tolist(), right.tolist(), strict=True):
+        a, b = top(x), top(y)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def _family_links(stars: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between the classes of a family of which one isn't linked with the hub.
+
+    A family of n classes is dealt into blocks; each pair of blocks is one unit of
+    work, so even a family that holds a third of all classes is spread over tasks.
+    """
+    kin = stars.where("delta is not null")
+    sizes = kin.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("apart")).where("n > 1 and apart > 0")
+    n = F.ceil(F.col("n") / FAMILY_BLOCK).cast("int")
+    rows = kin.join(sizes.select("b", n.alias("blocks")), "b").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("b", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "a", "linked", "size_a", "delta")
+
+    def links(t: pa.Table) -> list[tuple[int, int]]:
+        ids, linked, size, own = (t[c].to_numpy() for c in ("a", "linked", "size_a", "own"))
+        deltas = [np.frombuffer(x.as_py(), _U) for x in t["delta"]]
+        length = np.array([len(x) for x in deltas])
+        hashes, place, times = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), length)
+        shared = times[place] > 1
+        column = (np.cumsum(times > 1) - 1)[place[shared]]
+        row = row[shared]
+        common = np.zeros((len(ids), len(ids)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int((times > 1).sum()), HASH_BLOCK):
+            lo, hi = np.searchsorted(column, [at, at + HASH_BLOCK])
+            held = np.zeros((len(ids), HASH_BLOCK), np.float32)
+            held[row[lo:hi], column[lo:hi] - at] = 1
+            common += held @ held.T
+        apart = length[:, None] + length[None, :] - 2 * common
+        near = apart * (100 + share) <= (100 - share) * (size[:, None] + size[None, :])
+        near &= ~(linked[:, None] & linked[None, :])
+        if t["low"][0].as_py() != t["high"][0].as_py():
+            near &= own[:, None] != own[None, :]
+        x, y = np.nonzero(np.triu(near, 1))
+        return [(int(ids[i]), int(ids[j])) for i, j in _spanning(x, y)]
 
-    return both.mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["b", "low", "high"]):
+            out = links(t) if t.num_rows > 1 else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    return rows.repartition("b", "low", "high").sortWithinPartitions("b", "low", "high").mapInArrow(run, "a long, b long")
 
 
 def _mixed_pairs(rows: DataFrame, share: int, nearest: int | None) -> DataFrame:
-    """Pairs under the signature threshold, in one bucket but in different components.
+    """Pairs under the signature threshold, in one bucket but in different components and families.
 
-    ``rows`` holds (key, cls, comp, n_shingles, sig). Pairs whose sizes rule the
-    similarity out are left out; ``nearest`` keeps each class's nearest partners only.
+    ``rows`` holds (key, cls, comp, family, n_shingles, sig). Pairs whose sizes rule
+    the similarity out are left out; ``nearest`` keeps each class's nearest partners.
     """
 
-    def search(cls: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    def search(t: pa.Table) -> np.ndarray:
+        cls, comp, family, size = (t[c].to_numpy() for c in ("cls", "comp", "family", "n_shingles"))
+        sig = np.frombuffer(b"".join(x.as_py() for x in t["sig"]), np.uint16).reshape(-1, HASHES)
         out = []
         for i in range(len(cls)):
-            rest = slice(0, len(cls)) if nearest else slice(i + 1, len(cls))
-            near = (comp[rest] != comp[i]) & (100 * np.minimum(size[rest], size[i]) >= share * np.maximum(size[rest], size[i]))
+            rest = slice(0 if nearest else i + 1, len(cls))
+            near = (comp[rest] != comp[i]) & (family[rest] != family[i]) & (100 * np.minimum(size[rest], size[i]) >= share * np.maximum(size[rest], size[i]))
             at = np.flatnonzero(near) + rest.start
             if len(at):
                 apart = (sig[at] != sig[i]).sum(axis=1)
-                at = at[apart <= THRESHOLD]
+                at, apart = at[apart <= THRESHOLD], apart[apart <= THRESHOLD]
                 if nearest and len(at) > nearest:
-                    at = at[np.argsort(apart[apart <= THRESHOLD], kind="stable")[:nearest]]
+                    at = at[np.argsort(apart, kind="stable")[:nearest]]
                 out.append(np.stack([np.minimum(cls[at], cls[i]), np.maximum(cls[at], cls[i])], axis=1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def bucket(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            sig = np.frombuffer(b"".join(x.as_py() for x in t["sig"]), np.uint16).reshape(-1, HASHES)
-            found = search(t["cls"].to_numpy(), t["comp"].to_numpy(), t["n_shingles"].to_numpy(), sig)
+        for t in _runs(batches, ["key"]):
+            found = search(t)
             for at in range(0, len(found), 10_000):
                 part = found[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            key = t["key"].to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1)]
-            for start, stop in zip(cuts, cuts[1:]):  # noqa: B905
-                yield from bucket(t.slice(start, stop - start))
-            held = t.slice(cuts[-1])
-        if held is not None:
-            yield from bucket(held)
-
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def _with_components(hits: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component."""
-    own = classes.select("cls", "n_shingles", "sig").join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    rows = hits.join(own.select("cls", "comp"), "cls")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("key")
-    return rows.join(mixed, "key").join(own.select("cls", "n_shingles", "sig"), "cls").select("key", "cls", "comp", "n_shingles", "sig")
+def _mixed_buckets(hits: DataFrame, classes: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component and family."""
+    family = stars.where("delta is not null").select(F.col("a").alias("cls"), F.col("b").alias("family"))
+    own = classes.select("cls", "n_shingles", "sig").join(labels.withColumnRenamed("id", "cls"), "cls", "left").join(family, "cls", "left")
+    own = durable(own.withColumns({"comp": F.coalesce("comp", "cls"), "family": F.coalesce("family", "cls")}), "members")
+    rows = hits.join(own.select("cls", "comp", "family"), "cls")
+    differ = [F.min(c) != F.max(c) for c in ("comp", "family")]
+    mixed = rows.groupBy("key").agg((differ[0] & differ[1]).alias("mixed")).where("mixed").select("key")
+    return rows.join(mixed, "key").join(own.select("cls", "n_shingles", "sig"), "cls").select("key", "cls", "comp", "family", "n_shingles", "sig")
 
 
 def near_groups(documents: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,17 +333,18 @@ def near_groups(documents: DataFrame, words: int = 5, share: int = 80, id_col: s
     hits = ranked.select("key", "cls")
     shared = hits.join(hub, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("times"))
     best = shared.groupBy("cls").agg(F.max(F.struct("times", (-F.col("hub")).alias("minus")))["minus"].alias("minus"))
-    tried = durable(best.select(F.col("cls").alias("a"), (-F.col("minus")).alias("b")), "stars")
-    confirm = lambda pairs, name: durable(_confirmed(documents, pairs, classes, words, share, id_col, text_col), name)
-    links = confirm(tried, "star-links")
+    judge = lambda pairs, name: durable(_judged(documents, pairs, classes, words, share, id_col, text_col), name)
+    stars = judge(best.select(F.col("cls").alias("a"), (-F.col("minus")).alias("b")), "stars")
+    links = stars.where("linked").select("a", "b").unionByName(durable(_family_links(stars, share), "family-links"))
     labels = components(links)
+    tried = stars.select("a", "b")
     for nearest in (NEAREST, None):
-        offered = _mixed_pairs(_with_components(hits, classes, labels), share, nearest)
+        offered = _mixed_pairs(_mixed_buckets(hits, classes, labels, stars), share, nearest)
         seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = durable(offered.join(seen, ["a", "b"], "left_anti"), "offered")
         if new.isEmpty():
             continue
-        more = confirm(new, "more-links")
+        more = judge(new, "more").where("linked").select("a", "b")
         tried = tried.unionByName(new)
         if not more.isEmpty():
             links = links.unionByName(more)
