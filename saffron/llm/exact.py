@@ -166,11 +166,11 @@ def drop_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows lets through are shuffled.
     """
     groups = durable(exact_groups(documents, None, id_col, text_col), "groups").where("group_size > 1")
-    names = ("_digest", "_id")
     gone = groups.where("not kept").select(F.unhex("text_sha256").alias("_digest"), F.col("doc_id").alias("_id")).distinct()
     several = durable(groups.select(F.unhex("text_sha256").alias("digest")).distinct(), "several")
     n = several.count()
-    rows = documents.select("*", digest(F.col(text_col)).alias("_digest"), F.col(id_col).cast("long").alias("_id"))
+    # The input's columns travel as one, so that none of them clashes with those added.
+    rows = documents.select(F.struct("*").alias("_row"), digest(F.col(text_col)).alias("_digest"), F.col(id_col).cast("long").alias("_id"))
     if not n:
         return documents
     maybe = _filter_column(several, n)
@@ -178,6 +178,6 @@ def drop_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         sure, unsure = None, rows
     else:
         sure, unsure = rows.where(~maybe("_digest")), rows.where(maybe("_digest"))
-    once = unsure.dropDuplicates(list(names))
+    once = unsure.dropDuplicates(["_digest", "_id"])
     kept = once.join(gone, (once["_digest"] == gone["_digest"]) & once["_id"].eqNullSafe(gone["_id"]), "left_anti")
-    return (kept if sure is None else sure.unionByName(kept)).select(*documents.columns)
+    return (kept if sure is None else sure.unionByName(kept)).select("_row.*")

@@ -106,9 +106,10 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
         plan.where("size > 0").groupBy("source").agg(F.max("epochs").alias("_epochs"), F.max(F.when((F.col("before") < F.col("rest")) & taken_last, F.col("key"))).alias("_cut")), "cuts"
     )
     side = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
-    key = random_key(documents[id_col], documents[text_col].cast("string"))
-    has_words = word_count(F.coalesce(documents[text_col].cast("string"), F.lit(""))) > 0
     side = side.withColumnRenamed("source", "_source")
-    kept = documents.withColumns({"_key": key, "_words": has_words}).join(side, documents[source_col].cast("string").eqNullSafe(side["_source"]))
-    kept = kept.withColumn("_copies", F.when(F.col("_words"), F.col("_epochs") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)).otherwise(0)).where("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*documents.columns)
+    text = F.col(text_col).cast("string")
+    # The input's columns travel as one, so that none of them clashes with those added.
+    rows = documents.select(F.struct("*").alias("_row"), F.col(source_col).cast("string").alias("_own"), random_key(F.col(id_col), text).alias("_key"), (F.coalesce(word_count(text), F.lit(0)) > 0).alias("_words"))
+    kept = rows.join(side, F.col("_own").eqNullSafe(F.col("_source")))
+    copies = F.when(F.col("_words"), F.col("_epochs") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)).otherwise(0).cast("int")
+    return kept.where(copies > 0).select("_row", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select("_row.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, exact, language, media, mixing, near, pii, preference, toxicity
 from . import quality as quality_votes
+from .ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,15 +70,14 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_turns(preference.neighbours(read(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Query] = {
-    "op1_media": op1_media,
-    "op2_pii": op2_pii,
-    "op3_language": op3_language,
-    "op4_bpe": op4_bpe,
-    "op5_mixing": op5_mixing,
-    "op6_quality": op6_quality,
-    "op7_exact_dedup": op7_exact_dedup,
-    "op8_toxicity": op8_toxicity,
-    "op9_near_dedup": op9_near_dedup,
-    "op10_preference": op10_preference,
-}
+def shipped(query: Query) -> Query:
+    """The query, after workers can import this package."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_media, op2_pii, op3_language, op4_bpe, op5_mixing, op6_quality, op7_exact_dedup, op8_toxicity, op9_near_dedup, op10_preference)}
