@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from saffron.llm import bpe, exact, mixing, near, toxicity
 from saffron.llm.durable import durable
 from saffron.llm.queries import fold, read
+from saffron.llm.ship import ship
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)
