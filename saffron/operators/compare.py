@@ -71,3 +71,26 @@ def support_lift_recheck(pairs: DataFrame) -> DataFrame:
     support = F.col("pair_count") / F.col("basket_count")
     lift = F.col("pair_count") * F.col("basket_count") / (F.col("count_a") * F.col("count_b"))
     return pairs.agg(F.max(F.abs(F.col("support") - support)).alias("max_support_error"), F.max(F.abs(F.col("lift") - lift)).alias("max_lift_error"))
+
+
+# Keys and tolerances of the standing reports.
+REPORT_SPECS: dict[str, tuple[list[str], dict[str, float]]] = {
+    "menu_item_performance": (["menu_item_id"], {"order_count": 0, "units_sold": 0, "gross_sales": 0.01, "avg_unit_price": 0.01}),
+    "category_performance": (["category_name"], {"order_count": 0, "units_sold": 0, "gross_sales": 0.01, "avg_line_value": 0.01}),
+    "restaurant_performance": (["restaurant_id"], {"order_count": 0, "revenue": 0.01, "avg_order_value": 0.01}),
+    "channel_performance": (["ordering_channel"], {"orders": 0, "avg_order_value": 0.01, "completed_revenue": 0.01}),
+    "promotion_effectiveness": (["promotion_id"], {"used_orders": 0, "avg_subtotal": 0.01, "avg_discount": 0.01, "final_revenue": 0.01}),
+    "monthly_demand": (["order_month"], {"total_orders": 0, "completed_orders": 0, "completed_revenue": 0.01}),
+    "weekday_peak_hour": (["weekday", "hour_of_day"], {"orders": 0, "avg_order_value": 0.01}),
+    "customer_segment_behavior": (["customer_segment"], {"customers": 0, "total_orders": 0, "avg_order_value": 0.01, "revenue": 0.01}),
+    "restaurant_ratings": (["restaurant_id"], {"rating_count": 0, "avg_rating": 0.001, "avg_food_rating": 0.001, "avg_service_rating": 0.001}),
+    "wastage_by_reason": (["reason"], {"records": 0, "quantity_wasted": 0.01, "wastage_cost": 0.01}),
+    "pricing_changes": (["change_reason"], {"changes": 0, "avg_price_change": 0.01, "avg_percent_change": 0.01}),
+    "inventory_status": (["stock_status"], {"observations": 0, "avg_closing_stock": 0.01}),
+}
+
+
+def compare_report(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
+    """A standing report from two engines or versions, under its keys and tolerances."""
+    keys, tolerances = REPORT_SPECS[name]
+    return compare(left, right, keys, tolerances)
