@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed_avg, fixed_sum, ratio, sum_if
 from ..functions.times import Weekday, is_weekend, month, weekday
-from .ranking import global_ntile, top_value
+from .ranking import global_ntiles, top_value
 from .reports import completed
 
 NO_ORDERS = "No completed orders"
@@ -35,11 +35,9 @@ def rfm(orders: DataFrame, legacy_recency: bool = False) -> DataFrame:
         fixed_avg("final_amount").alias("avg_order_value"), F.countDistinct("restaurant_id").alias("restaurant_diversity"),
     )
     rows = rows.crossJoin(F.broadcast(last)).withColumn("recency_days", F.datediff("_last", "last_order")).drop("_last")
-    rows = global_ntile(rows, 5, "recency_days", "customer_id", "r_score", descending=True)
+    rows = global_ntiles(rows, 5, "customer_id", {"r_score": ("recency_days", True), "f_score": ("frequency", False), "m_score": ("monetary_value", False)})
     if legacy_recency:
         rows = rows.withColumn("r_score", 6 - F.col("r_score"))
-    rows = global_ntile(rows, 5, "frequency", "customer_id", "f_score")
-    rows = global_ntile(rows, 5, "monetary_value", "customer_id", "m_score")
     return rows.withColumn("behavior_segment", _segment())
 
 

@@ -14,23 +14,36 @@ def ntile_over(n: int, rank: Column, total: Column) -> Column:
     return (F.when(at < big_rows, F.floor(at / (small + 1))).otherwise(extra + F.floor(F.try_divide(at - big_rows, small))) + 1).cast("int")
 
 
-def global_ntile(df: DataFrame, n: int, value: str, tie: str, out: str, descending: bool = False, ranges: int | None = None) -> DataFrame:
-    """Add NTILE(n) over all rows by (value, tie), computed range by range.
+def global_ntiles(df: DataFrame, n: int, tie: str, wanted: dict[str, tuple[str, bool]], ranges: int | None = None) -> DataFrame:
+    """Add, for each new column, NTILE(n) over all rows by (value, tie); ``wanted`` maps it to (value, descending).
 
-    Cut points of ``value`` (approximate percentiles: a row of bounded length) deal
-    rows into ordered ranges; counts of ranges give each its first rank. Equal values
-    share a range, so a range is as even as the values allow.
+    Cut points of the values (approximate percentiles: rows of bounded length, from
+    one pass for all of them) deal rows into ordered ranges; counts of ranges, again
+    from one pass, give each its first rank. Equal values share a range, so a range
+    is as even as the values allow.
     """
     ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.coalesce(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000), F.array().cast(f"array<{dict(df.dtypes)[value]}>")).alias("_cuts"))
-    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    dealt = dealt.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(F.col("_range")))
-    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    by = Window.orderBy(F.desc("_range") if descending else F.asc("_range"))  # at most ``ranges`` + 1 rows
-    starts = counts.select("_range", (F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    inside = Window.partitionBy("_range").orderBy(F.desc(value) if descending else F.asc(value), F.asc(tie))
-    ranked = dealt.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(starts), "_range")
-    return ranked.withColumn(out, ntile_over(n, F.col("_before") + F.col("_in"), F.col("_total"))).drop("_range", "_in", "_before", "_total")
+    kinds, at = dict(df.dtypes), [i / ranges for i in range(1, ranges)]
+    cuts = df.agg(*(F.coalesce(F.percentile_approx(v, at, 10_000), F.array().cast(f"array<{kinds[v]}>")).alias(f"_cuts_{o}") for o, (v, _) in wanted.items()))
+    dealt = df.crossJoin(F.broadcast(cuts))
+    place = lambda o, v: F.when(F.col(v).isNull(), -1).otherwise(F.size(F.filter(f"_cuts_{o}", lambda c: c < F.col(v))))
+    dealt = dealt.withColumns({f"_range_{o}": place(o, v) for o, (v, _) in wanted.items()}).drop(*(f"_cuts_{o}" for o in wanted))
+    spread = dealt.select(F.explode(F.array(*(F.struct(F.lit(o).alias("of"), F.lit(down).alias("down"), F.col(f"_range_{o}").alias("range")) for o, (_, down) in wanted.items()))).alias("x"))
+    counts = spread.groupBy("x.of", "x.down", "x.range").agg(F.count(F.lit(1)).alias("n"))
+    # At most ``ranges`` + 1 rows for each column wanted.
+    by = Window.partitionBy("of").orderBy(F.when(F.col("down"), -F.col("range")).otherwise(F.col("range")))
+    starts = counts.select("of", "range", (F.sum("n").over(by) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("of")).alias("total"))
+    starts = starts.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("of", "range"), F.struct("before", "total")))).alias("_starts"))
+    for o, (v, down) in wanted.items():
+        dealt = dealt.withColumn(f"_in_{o}", F.row_number().over(Window.partitionBy(f"_range_{o}").orderBy(F.desc(v) if down else F.asc(v), F.asc(tie))))
+    start = lambda o: F.col("_starts")[F.struct(F.lit(o).alias("of"), F.col(f"_range_{o}").alias("range"))]
+    out = dealt.crossJoin(F.broadcast(starts))
+    return out.select(*df.columns, *(ntile_over(n, start(o)["before"] + F.col(f"_in_{o}"), start(o)["total"]).alias(o) for o in wanted))
+
+
+def global_ntile(df: DataFrame, n: int, value: str, tie: str, out: str, descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """Add NTILE(n) over all rows by (value, tie), computed range by range."""
+    return global_ntiles(df, n, tie, {out: (value, descending)}, ranges)
 
 
 def every_nth(df: DataFrame, order: list[str], k: int, by: list[str]) -> DataFrame:
