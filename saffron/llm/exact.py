@@ -13,23 +13,19 @@ as larger than any other); an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse
 from .durable import durable
+from .skew import HOT, join_groups
 
 #: Distinct digests for each filter shard.
 SHARD = 200_000
-#: At most so many buckets hold more than a HOT-th of all rows; those are broadcast.
-HOT = 1000
-#: Up to so many digests of buckets with several rows, their filter is broadcast.
-FILTER_KEYS = 100_000_000
+#: Up to so many digests of buckets with several rows, their filter (at most 25 MB) is broadcast; beyond, rows are joined.
+FILTER_KEYS = 20_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -40,11 +36,6 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text), 256))
 
 
-def _keys(digests: pa.Array) -> np.ndarray:
-    """The first 64 bits of each digest."""
-    return np.frombuffer(b"".join(x.as_py()[:8] for x in digests), "<u8")
-
-
 def shards(groups: DataFrame, n: int) -> DataFrame:
     return groups.withColumn("shard", F.pmod(F.conv(F.substring(F.hex("digest"), 17, 8), 16, 10).cast("long"), F.lit(n)).cast("int"))
 
@@ -94,7 +85,7 @@ def _filter_column(several: DataFrame, n_several: int):
         return None
     spark = several.sparkSession
     parts = max(1, -(-n_several // SHARD))
-    by_shard = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in build_filters(several, parts).toLocalIterator()})
+    by_shard = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in build_filters(several, parts).collect()})
 
     @F.pandas_udf("boolean")
     def maybe(digests: pd.Series) -> pd.Series:
@@ -140,12 +131,7 @@ def exact_groups(documents: DataFrame, in_snapshot: Column | None = None, id_col
     buckets = durable(merge_batch(snapshot, _buckets(rows.where(~F.col("old"))), snapshot.count()), "buckets")
     several = buckets.where("group_size > 1")
     n_rows, n_several = rows.count(), several.count()
-    # Buckets over a HOT-th of all rows: fewer than HOT, so their broadcast is bounded.
-    hot = several.where(F.col("group_size") > n_rows / HOT).withColumnsRenamed({"keep_id": "_hot_id", "group_size": "_hot_n"})
-    marked = rows.drop("old").join(F.broadcast(hot), "digest", "left")
-    rest = several.where(F.col("group_size") <= n_rows / HOT)
-    cold = marked.where("_hot_n is null").join(rest, "digest", "left").select("doc_id", "digest", "keep_id", "group_size")
-    placed = cold.unionByName(marked.where("_hot_n is not null").select("doc_id", "digest", F.col("_hot_id").alias("keep_id"), F.col("_hot_n").alias("group_size")))
+    placed = join_groups(rows.drop("old"), several, "digest", "group_size", n_rows, "left")
     odd = durable(_differing(documents, several, n_rows, n_several, id_col, text_col), "differing")
     if not odd.isEmpty():
         # Equal digests of different texts: such rows form buckets of their own bytes.

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import fuse
 
-#: Ids for each filter shard, and ids up to which a filter is broadcast (about 1.2 bytes each).
+#: Ids for each filter shard, and ids up to which a filter is broadcast (about 1.2 bytes each, 25 MB at most).
 SHARD = 200_003
-MOST = 100_000_000
+MOST = 20_000_000
 
 
 def id_filter(ids: DataFrame, column: str, n: int):
@@ -25,7 +25,7 @@ def id_filter(ids: DataFrame, column: str, n: int):
 
     sharded = ids.where(F.col(column).isNotNull()).select(F.pmod(F.col(column), F.lit(parts)).cast("int").alias("shard"), F.col(column).alias("id"))
     built = sharded.groupBy("shard").applyInPandas(run, "shard int, filter binary")
-    by_shard = ids.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in built.toLocalIterator()})
+    by_shard = ids.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in built.collect()})
 
     @F.pandas_udf("boolean")
     def maybe(column: pd.Series) -> pd.Series:

@@ -172,7 +172,7 @@ def learn(labelled: DataFrame, rows: int = ROWS, letters: int = REFERENCE, text_
     picked: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     if counts:
         # A text gives no more than the letters wanted; the sample is bounded by rows and letters.
-        some = known.where(chance < rate).select("lang", F.substring("text", 1, letters).alias("text"), chance.alias("h")).orderBy("h", "text").limit(2 * rows * len(counts))
+        some = known.where(chance < rate).select("lang", F.substring("text", 1, letters).alias("text"), chance.alias("h")).orderBy("h", "text").limit(3 * rows * len(counts))
         for r in some.collect():
             picked[r["lang"]].append(r["text"])
     for r in counts:

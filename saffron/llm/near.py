@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .durable import durable
 from .fuse import mix
-from .idfilter import id_filter
+from .idfilter import id_filter, without_ids
+from .skew import join_groups
 
 CHUNKS, CHUNK = 12, 5
 HASHES = CHUNKS * CHUNK
@@ -43,10 +44,10 @@ THRESHOLD = 2 * CHUNKS - 1
 NEAREST = 8
 #: A class belongs to its hub's family from this percentage of similarity on.
 KIN = 50
-#: Classes of a family that one task compares with as many others, and hashes counted at a time.
-FAMILY_BLOCK, HASH_BLOCK = 1024, 4096
-#: At most so many classes hold more than a HOT-th of all rows.
-HOT = 1000
+#: Classes of a family, or of a mixed bucket, that one task compares with as many others.
+FAMILY_BLOCK, BUCKET_BLOCK = 256, 2048
+#: Hashes counted at a time.
+HASH_BLOCK = 4096
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -148,19 +149,23 @@ def index_keys(classes: DataFrame) -> DataFrame:
 PAIR = "a long, b long, linked boolean, size_a long, delta binary"
 
 
-def _judged(documents: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, share: int, id_col: str, text_col: str) -> DataFrame:
+def _judged(documents: DataFrame, pairs: DataFrame, classes: DataFrame, repeated: bool, words: int, share: int, id_col: str, text_col: str) -> DataFrame:
     """Each pair (a, b) judged on full sets: linked if 100 * intersection >= share * union.
 
     Pairs of at least KIN percent also get the hashes that only one of the sets has.
     Only texts that may be in a pair move; a hub's many partners are dealt by Spark's
     splitting of skewed joins, and the hub's set is kept while its partners follow.
+    ``repeated`` says that some id stands on several rows, perhaps of different texts.
     """
     ids = durable(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     maybe = id_filter(ids, "id", ids.count())
     texts = texts if maybe is None else texts.where(maybe("id"))
     known = classes.select("cls", "digest")
-    pairs = pairs.join(known.toDF("a", "digest_a"), "a").join(known.toDF("b", "digest_b"), "b").select("a", "b", "digest_a", "digest_b")
+    if repeated:
+        pairs = pairs.join(known.toDF("a", "digest_a"), "a").join(known.toDF("b", "digest_b"), "b")
+    else:
+        pairs = pairs.withColumns({c: F.lit(None).cast("binary") for c in ("digest_a", "digest_b")})
     one = pairs.join(texts.toDF("a", "text_a"), "a")
     both = one.join(texts.toDF("b", "text_b"), "b").select("a", "b", "digest_a", "digest_b", "text_a", "text_b")
 
@@ -175,8 +180,8 @@ def _judged(documents: DataFrame, pairs: DataFrame, classes: DataFrame, words: i
                     found = shingles(text, words)
                     last = text, found, set_digest(found)
                 mine = shingles(ta[i].as_py(), words)
-                # An id may stand on several texts; only those with the class's set count.
-                if last[2] != db[i].as_py() or set_digest(mine) != da[i].as_py():
+                # Of an id's texts only those with the class's set count.
+                if repeated and (last[2] != db[i].as_py() or set_digest(mine) != da[i].as_py()):
                     continue
                 delta = np.setxor1d(mine, last[1], assume_unique=True)
                 union = (len(mine) + len(last[1]) + len(delta)) // 2
@@ -186,7 +191,8 @@ def _judged(documents: DataFrame, pairs: DataFrame, classes: DataFrame, words: i
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["a", "b", "linked", "size_a", "delta"])
 
-    return both.mapInArrow(run, PAIR).dropDuplicates(["a", "b"])
+    judged = both.mapInArrow(run, PAIR)
+    return judged.dropDuplicates(["a", "b"]) if repeated else judged
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -236,8 +242,8 @@ def _family_links(stars: DataFrame, share: int) -> DataFrame:
     """
     kin = stars.where("delta is not null")
     sizes = kin.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("apart")).where("n > 1 and apart > 0")
-    n = F.ceil(F.col("n") / FAMILY_BLOCK).cast("int")
-    rows = kin.join(sizes.select("b", n.alias("blocks")), "b").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.col("n") / FAMILY_BLOCK).cast("int")
+    rows = join_groups(kin, sizes.select("b", "n"), "b", "n", stars.count()).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("b", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "a", "linked", "size_a", "delta")
 
@@ -278,17 +284,21 @@ def _family_links(stars: DataFrame, share: int) -> DataFrame:
 def _mixed_pairs(rows: DataFrame, share: int, nearest: int | None) -> DataFrame:
     """Pairs under the signature threshold, in one bucket but in different components and families.
 
-    ``rows`` holds (key, cls, comp, family, n_shingles, sig). Pairs whose sizes rule
-    the similarity out are left out; ``nearest`` keeps each class's nearest partners.
+    ``rows`` holds (key, size, cls, comp, family, n_shingles, sig). Pairs whose sizes
+    rule the similarity out are left out; ``nearest`` keeps each class's nearest
+    partners. Large buckets are dealt into blocks, each pair of blocks by itself.
     """
 
     def search(t: pa.Table) -> np.ndarray:
-        cls, comp, family, size = (t[c].to_numpy() for c in ("cls", "comp", "family", "n_shingles"))
+        cls, comp, family, size, own = (t[c].to_numpy() for c in ("cls", "comp", "family", "n_shingles", "own"))
+        across = t["low"][0].as_py() != t["high"][0].as_py()
         sig = np.frombuffer(b"".join(x.as_py() for x in t["sig"]), np.uint16).reshape(-1, HASHES)
         out = []
         for i in range(len(cls)):
             rest = slice(0 if nearest else i + 1, len(cls))
             near = (comp[rest] != comp[i]) & (family[rest] != family[i]) & (100 * np.minimum(size[rest], size[i]) >= share * np.maximum(size[rest], size[i]))
+            if across:
+                near &= own[rest] != own[i]
             at = np.flatnonzero(near) + rest.start
             if len(at):
                 apart = (sig[at] != sig[i]).sum(axis=1)
@@ -299,13 +309,16 @@ def _mixed_pairs(rows: DataFrame, share: int, nearest: int | None) -> DataFrame:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["key"]):
+        for t in _runs(batches, ["key", "low", "high"]):
             found = search(t)
             for at in range(0, len(found), 10_000):
                 part = found[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "comp", "family", "n_shingles", "sig")
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
 def _mixed_buckets(hits: DataFrame, classes: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
@@ -315,8 +328,8 @@ def _mixed_buckets(hits: DataFrame, classes: DataFrame, labels: DataFrame, stars
     own = durable(own.withColumns({"comp": F.coalesce("comp", "cls"), "family": F.coalesce("family", "cls")}), "members")
     rows = hits.join(own.select("cls", "comp", "family"), "cls")
     differ = [F.min(c) != F.max(c) for c in ("comp", "family")]
-    mixed = rows.groupBy("key").agg((differ[0] & differ[1]).alias("mixed")).where("mixed").select("key")
-    return rows.join(mixed, "key").join(own.select("cls", "n_shingles", "sig"), "cls").select("key", "cls", "comp", "family", "n_shingles", "sig")
+    mixed = rows.groupBy("key").agg((differ[0] & differ[1]).alias("mixed"), F.count(F.lit(1)).alias("size")).where("mixed").select("key", "size")
+    return rows.join(mixed, "key").join(own.select("cls", "n_shingles", "sig"), "cls").select("key", "size", "cls", "comp", "family", "n_shingles", "sig")
 
 
 def near_groups(documents: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,12 +342,13 @@ def near_groups(documents: DataFrame, words: int = 5, share: int = 80, id_col: s
     found = durable(keys.join(buckets, "key"), "hits")
     degree = found.groupBy("cls").agg(F.sum("size").alias("degree"))
     ranked = durable(found.select("key", "cls").join(degree, "cls"), "ranked")
-    hub = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("cls")).alias("minus")))["minus"].alias("minus")).select("key", (-F.col("minus")).alias("hub"))
+    hub = ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("fewer"), "cls"))["cls"].alias("hub"))
     hits = ranked.select("key", "cls")
     shared = hits.join(hub, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("times"))
-    best = shared.groupBy("cls").agg(F.max(F.struct("times", (-F.col("hub")).alias("minus")))["minus"].alias("minus"))
-    judge = lambda pairs, name: durable(_judged(documents, pairs, classes, words, share, id_col, text_col), name)
-    stars = judge(best.select(F.col("cls").alias("a"), (-F.col("minus")).alias("b")), "stars")
+    best = shared.groupBy("cls").agg(F.min(F.struct((-F.col("times")).alias("fewer"), "hub"))["hub"].alias("hub"))
+    repeated = not linked.groupBy("doc_id").count().where("count > 1").isEmpty()
+    judge = lambda pairs, name: durable(_judged(documents, pairs, classes, repeated, words, share, id_col, text_col), name)
+    stars = judge(best.toDF("a", "b"), "stars")
     links = stars.where("linked").select("a", "b").unionByName(durable(_family_links(stars, share), "family-links"))
     labels = components(links)
     tried = stars.select("a", "b")
@@ -356,19 +370,12 @@ def _labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
     total = rows.count()
     comp = classes.join(labels, classes["cls"] == labels["id"], "left").select("digest", "n", F.coalesce("comp", "cls").alias("comp"))
     comp = durable(comp.where("n > 1 or comp is not null"), "class-components")
-    # Classes over a HOT-th of all rows: fewer than HOT, so their broadcast is bounded.
-    hot = comp.where(F.col("n") > total / HOT).select("digest", F.col("comp").alias("_hot"))
-    cold = comp.where(F.col("n") <= total / HOT).select("digest", "comp")
-    marked = rows.drop("sig").join(F.broadcast(hot), "digest", "left")
-    placed = marked.where("_hot is null").join(cold, "digest", "left").select("doc_id", "n_shingles", "comp")
-    placed = placed.unionByName(marked.where("_hot is not null").select("doc_id", "n_shingles", F.col("_hot").alias("comp")))
+    placed = join_groups(rows.select("doc_id", "n_shingles", "digest"), comp, "digest", "n", total, "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     return placed.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_copies(documents: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which each group keeps the one of smallest id, with the input's columns."""
-    from .idfilter import without_ids
-
     gone = durable(near_groups(documents, words, share, id_col, text_col).where("not kept").select("doc_id").distinct(), "near-copies")
     return without_ids(documents, gone, gone.count(), id_col)

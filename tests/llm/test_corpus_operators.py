@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from saffron.llm import components, exact, fuse, mixing, near, oracle, preference, quality, queries, toxicity
+from saffron.llm import components, exact, fuse, mixing, near, oracle, preference, quality, queries, skew, toxicity
 
 SF = "/root/testdata/sf0.01"
 AWKWARD = [(1, None, "a"), (2, "", None), (3, " \t\n", "a"), (4, "one two", "b"), (4, "one two", "b"), (5, "One\t two ", None), (6, "word " * 30_000, "a"), (None, "one two", "b"), (None, None, None), (7, "one  two", "c")]
@@ -147,6 +147,7 @@ def test_equal_digests_of_different_texts_are_told_apart(spark, monkeypatch):
 
 def test_hot_bucket_is_compared_in_places(spark, monkeypatch):
     monkeypatch.setattr(exact, "HOT", 5)
+    monkeypatch.setattr(skew, "HOT", 5)
     rows = spark.createDataFrame([(i, "same text") for i in range(60)] + [(100 + i, f"text {i}") for i in range(30)], "doc_id long, text string")
     got = exact.exact_groups(rows).collect()
     assert sum(r["kept"] for r in got) == 31 and {r["group_size"] for r in got} == {60, 1}
@@ -195,6 +196,7 @@ def test_near_groups_against_all_pairs(spark, k):
 def test_near_family_whose_members_differ_from_their_hub(spark, monkeypatch):
     """Many variants of one text, chained and apart, with blocks small enough to need several."""
     monkeypatch.setattr(near, "FAMILY_BLOCK", 8)
+    monkeypatch.setattr(near, "BUCKET_BLOCK", 4)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(80)]
     rows = [(0, " ".join(base))]
@@ -310,3 +312,34 @@ def test_pipeline_stages(spark):
     final = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert sorted(r["doc_id"] for r in final.collect()) == sorted(kept["mixing"])
     assert sorted((tuple(r) for r in corpus_pipeline.run(spark, SF).collect()), key=repr) == sorted((tuple(r) for r in final.collect()), key=repr)
+
+
+def test_plain_joins_where_filters_would_be_too_large(spark, monkeypatch):
+    from saffron.llm import idfilter
+
+    monkeypatch.setattr(idfilter, "MOST", 0)
+    monkeypatch.setattr(exact, "FILTER_KEYS", 0)
+    documents = queries.read(spark, SF, "documents")
+    want = brute_components([tuple(r) for r in documents.select("doc_id", "text").collect()], 2)
+    assert {r["doc_id"]: r["component_id"] for r in near.near_groups(documents, 2).collect()} == {i: c for i, (_, c) in want.items()}
+    assert exact.drop_copies(documents).count() == len(brute_exact([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]))
+    assert near.drop_near_copies(documents, 2).count() == sum(i == c for i, (_, c) in want.items())
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "LINKS_A_TASK", 10)
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(50)] + [(200, i) for i in range(201, 240)]
+    root = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    ids = {i for p in links for i in p}
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
+    assert {r["id"]: r["comp"] for r in got} == {i: top(i) for i in ids} and len(got) == len(ids)
