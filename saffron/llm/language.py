@@ -8,7 +8,7 @@ step already points at the start of the next phrase, so that many blocks of
 texts advance together as numpy vectors. Texts are parsed whole, in blocks of
 BLOCK letters; a block's end also ends a phrase.
 
-The reference text is a bounded sample: ROWS labelled documents for each
+The reference text is a bounded sample: ROWS distinct labelled texts for each
 language, chosen by a hash, and REFERENCE letters of them.
 
 Defined results: ``und`` with score 0 if text is null or has no letter, or if
@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows and letters of reference text for each language.
+#: Distinct labelled texts and letters of reference text for each language.
 ROWS, REFERENCE = 64, 24_000
 #: Letters that are parsed at a time, and blocks that advance together.
 BLOCK, LANES = 512, 4096
@@ -156,25 +156,45 @@ def classify(texts: list[str | None], reference: Reference) -> list[tuple[str, f
 
 
 def learn(labelled: DataFrame, rows: int = ROWS, letters: int = REFERENCE, text_col: str = "text", lang_col: str = "lang") -> Reference:
-    """Reference text of each language from labelled rows, at most ``rows`` a language.
+    """Reference text of each language from labelled rows, at most ``rows`` distinct texts a language.
 
-    Rows are chosen by the hash of their text: first by a rate that leaves about
-    twice as many as wanted, then the smallest.
+    Of each language the texts of smallest hash are taken, however many copies they
+    have. A count of distinct hashes by their bit length gives the bit length up to
+    which a language has enough of them, so about twice as many as wanted are read.
     """
-    known = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    hashed = F.when(F.col(text_col).rlike(r"\p{L}"), F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2))
+    known = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), hashed.alias("h"))
     # Names of languages are few; beyond 512 the most frequent ones are learned.
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).collect()
-    out = []
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    rate = F.lit(0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 30, int((1 << 30) * 2 * rows / r["count"]) + 1))).otherwise(rate)
+    if not counts:
+        return ()
+    spark = labelled.sparkSession
+    names = F.broadcast(spark.createDataFrame([(r["lang"],) for r in counts], "lang string"))
+    texts = known.where("h is not null").join(names, "lang").select("lang", "h").distinct().groupBy("lang", F.length(F.bin("h")).alias("bits")).count()
+    held: dict[str, int] = {}
+    below: dict[str, int] = {}
+    for r in sorted(texts.collect(), key=lambda r: r["bits"]):
+        if held.get(r["lang"], 0) < rows:
+            held[r["lang"]] = held.get(r["lang"], 0) + r["count"]
+            below[r["lang"]] = 1 << r["bits"]
+    limits = F.broadcast(spark.createDataFrame(list(below.items()), "lang string, below long"))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            new = []
+            for i, key in enumerate(zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            yield b.take(pa.array(new, pa.int64()))
+
+    # A text gives no more than the letters wanted; copies go before texts move.
+    some = known.join(limits, "lang").where("h < below").select("lang", "h", F.substring("text", 1, letters).alias("text")).mapInArrow(firsts, "lang string, h long, text string")
     picked: dict[str, list[str]] = {r["lang"]: [] for r in counts}
-    if counts:
-        # A text gives no more than the letters wanted; the sample is bounded by rows and letters.
-        some = known.where(chance < rate).select("lang", F.substring("text", 1, letters).alias("text"), chance.alias("h")).orderBy("h", "text").limit(3 * rows * len(counts))
-        for r in some.collect():
-            picked[r["lang"]].append(r["text"])
+    for r in sorted(some.groupBy("lang", "h").agg(F.min("text").alias("text")).collect(), key=lambda r: r["h"]):
+        picked[r["lang"]].append(r["text"])
+    out = []
     for r in counts:
         text = ""
         for t in picked[r["lang"]][:rows]:

@@ -175,6 +175,20 @@ def test_language_held_out_and_awkward(spark):
     assert {r["lang_pred"] for r in language.languages(awkward(spark), ()).collect()} == {"und"}
 
 
+def test_language_of_few_texts_with_many_copies(spark):
+    word = lambda letters, i: "".join(letters[int(d)] for d in f"{i:04}")
+    few = [("aa", f"{word('abcdefghij', i)} tail", 1000) for i in range(10)]
+    many = [("bb", f"{word('klmnopqrst', i)} tail", 1 if i % 10 else 400) for i in range(100)]
+    labelled = spark.createDataFrame([*few, *many, ("cc", "uvw 1", 1), ("cc", "...", 5), ("dd", "123", 3)], "lang string, text string, n int").selectExpr("lang", "text", "explode(sequence(1, n))").repartition(5)
+    got = {r[0]: r[1:] for r in language.learn(labelled)}
+    assert {k: v[0] for k, v in got.items()} == {"aa": 10_000, "bb": 4090, "cc": 6}
+    assert sorted(got["aa"][1].split()) == sorted(w for _, t, _ in few for w in t.split())
+    words = [w for w in got["bb"][1].split() if w != "tail"]
+    assert len(words) == len(set(words)) == language.ROWS and "uvw" in got["cc"][1]
+    found = language.languages(spark.createDataFrame([(1, few[3][1]), (2, many[7][1])], "doc_id long, text string"), language.learn(labelled))
+    assert {r["doc_id"]: r["lang_pred"] for r in found.collect()} == {1: "aa", 2: "bb"}
+
+
 # --------------------------------------------------------------------- bpe
 
 
