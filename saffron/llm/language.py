@@ -9,7 +9,9 @@ texts advance together as numpy vectors. Texts are parsed whole, in blocks of
 BLOCK letters; a block's end also ends a phrase.
 
 The reference text is a bounded sample: ROWS distinct labelled texts for each
-language, chosen by a hash, and REFERENCE letters of them.
+language, chosen by a hash, and REFERENCE letters of them. Each text gives an equal
+share, from a place in it that the hash chooses; what short texts lack, longer ones
+add, up to WIDER shares. More than LANGUAGES labelled languages are an error.
 
 Defined results: ``und`` with score 0 if text is null or has no letter, or if
 nothing was learned; ties go to the language with more labelled rows, then by
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 #: Distinct labelled texts and letters of reference text for each language.
 ROWS, REFERENCE = 64, 24_000
+#: Shares of the letters that a text may give; languages that can be learned.
+WIDER, LANGUAGES = 4, 512
 #: Letters that are parsed at a time, and blocks that advance together.
 BLOCK, LANES = 512, 4096
 _LETTER = regex.compile(r"\p{L}")
@@ -161,48 +165,57 @@ def learn(labelled: DataFrame, rows: int = ROWS, letters: int = REFERENCE, text_
     Of each language the texts of smallest hash are taken, however many copies they
     have. A count of distinct hashes by their bit length gives the bit length up to
     which a language has enough of them, so about twice as many as wanted are read.
+    Raises ValueError beyond LANGUAGES languages.
     """
     hashed = F.when(F.col(text_col).rlike(r"\p{L}"), F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2))
     known = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), hashed.alias("h"))
-    # Names of languages are few; beyond 512 the most frequent ones are learned.
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).collect()
-    if not counts:
-        return ()
-    spark = labelled.sparkSession
-    names = F.broadcast(spark.createDataFrame([(r["lang"],) for r in counts], "lang string"))
-    texts = known.where("h is not null").join(names, "lang").select("lang", "h").distinct().groupBy("lang", F.length(F.bin("h")).alias("bits")).count()
+    levels = known.groupBy("lang", "h").count().groupBy("lang", F.length(F.bin("h")).alias("bits")).agg(F.sum("count").alias("rows"), F.count("h").alias("texts"))
+    # A language has at most 63 bit lengths, one of them null.
+    found = levels.limit(63 * LANGUAGES + 1).collect()
+    counts: dict[str, int] = {}
     held: dict[str, int] = {}
     below: dict[str, int] = {}
-    for r in sorted(texts.collect(), key=lambda r: r["bits"]):
-        if held.get(r["lang"], 0) < rows:
-            held[r["lang"]] = held.get(r["lang"], 0) + r["count"]
+    for r in sorted(found, key=lambda r: r["bits"] or 0):
+        counts[r["lang"]] = counts.get(r["lang"], 0) + r["rows"]
+        if r["texts"] and held.get(r["lang"], 0) < rows:
+            held[r["lang"]] = held.get(r["lang"], 0) + r["texts"]
             below[r["lang"]] = 1 << r["bits"]
-    limits = F.broadcast(spark.createDataFrame(list(below.items()), "lang string, below long"))
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labelled languages")
+    if not below:
+        return ()
+    share = {k: -(-letters // min(rows, n)) for k, n in held.items()}
+    limits = F.broadcast(labelled.sparkSession.createDataFrame([(k, below[k], WIDER * share[k]) for k in below], "lang string, below long, span int"))
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for b in batches:
-            new = []
+            out = []
             for i, key in enumerate(zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), strict=True)):
                 if key not in seen:
                     seen.add(key)
-                    new.append(i)
-            yield b.take(pa.array(new, pa.int64()))
-
-    # A text gives no more than the letters wanted; copies go before texts move.
-    some = known.join(limits, "lang").where("h < below").select("lang", "h", F.substring("text", 1, letters).alias("text")).mapInArrow(firsts, "lang string, h long, text string")
-    picked: dict[str, list[str]] = {r["lang"]: [] for r in counts}
+                    text, span = plain(b.column("text")[i].as_py()).strip(), b.column("span")[i].as_py()
+                    at = key[1] * 0x9E3779B97F4A7C15 % (1 << 64) % max(1, len(text) - span + 1)
+                    out.append((*key, text[at : at + span]))
+            cells = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["lang", "h", "text"])
+
+    # Copies go, and texts are cut, before they move.
+    some = known.join(limits, "lang").where("h < below").select("lang", "h", "text", "span").mapInArrow(pieces, "lang string, h long, text string")
+    picked: dict[str, list[str]] = {k: [] for k in below}
     for r in sorted(some.groupBy("lang", "h").agg(F.min("text").alias("text")).collect(), key=lambda r: r["h"]):
         picked[r["lang"]].append(r["text"])
     out = []
-    for r in counts:
-        text = ""
-        for t in picked[r["lang"]][:rows]:
-            text += " " + plain(t)
-            if len(text) >= letters:
-                break
+    for k in sorted(below, key=lambda k: (-counts[k], k)):
+        texts, left = picked[k][:rows], letters
+        # Shortest first: what one lacks is shared by those after it.
+        gives = {}
+        for n, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+            gives[i] = texts[i][: max(1, -(-left // (len(texts) - n)) - 1)]
+            left -= len(gives[i]) + 1
+        text = "".join(" " + gives[i] for i in range(len(texts)))
         if text.strip():
-            out.append((r["lang"], r["count"], text[:letters]))
+            out.append((k, counts[k], text[:letters]))
     return tuple(out)
 
 

@@ -189,6 +189,24 @@ def test_language_of_few_texts_with_many_copies(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in found.collect()} == {1: "aa", 2: "bb"}
 
 
+def test_language_takes_a_share_of_each_text(spark, monkeypatch):
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{'xyz'[j % 3]}" for j in range(20_000 if i == 0 else 200)) for i in range(100)]
+    texts += [t + " tail" for t in texts[:1] * 1]
+    (lang, n, text), = language.learn(spark.createDataFrame([("aa", t) for t in texts], "lang string, text string"))
+    told = {w[:2] for w in text.split() if len(w) == 3}
+    assert n == 101 and len(told) >= language.ROWS - 1 and language.REFERENCE - language.ROWS <= len(text) <= language.REFERENCE
+    starts = {w for w in ("".join(t.split()[0]) for t in texts)}
+    assert len([t for t in text.split() if t in starts]) < len(text.split()) / 2
+    # a long text adds what short ones lack, from within it
+    long = " ".join(f"w{'abcdefghij'[j % 10]}{'abcdefghij'[j // 10 % 10]}{'abcdefghij'[j // 100 % 10]}{'abcdefghij'[j // 1000]}" for j in range(10_000))
+    short = [("aa", f"s{chr(97 + i)}") for i in range(9)]
+    (_, _, text), = language.learn(spark.createDataFrame([("aa", long), *short], "lang string, text string"))
+    assert all(f" {t}" in text for _, t in short) and 9000 < len(text) and "waaaa wbaaa" not in text
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        language.learn(spark.createDataFrame([(f"l{i}", "text") for i in range(4)], "lang string, text string"))
+
+
 # --------------------------------------------------------------------- bpe
 
 
