@@ -3,7 +3,8 @@
 Turns carry (pair, side, turn, role, text). The longest common prefix of turns
 of both sides is rendered once as prompt; the turns after it are the completions
 of either side, of which only the assistant's words count in the loss. All steps
-work on turns, so no conversation is ever held in one row until ``records``.
+work on turns, so no conversation is ever held in one row until ``records``;
+``pair_digests`` gives the same record of a pair by digests, lengths and masks.
 
 Defined results: a turn number that stands on several rows is one turn of all
 their words, in the order of role and text; null roles and texts count as empty;
@@ -13,7 +14,7 @@ prompt, so that side is a completion as a whole and ``complete`` is false.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, SHUT = "<|{role}|>\n", "\n<|end|>\n"
@@ -71,6 +72,30 @@ def records(parts: DataFrame) -> DataFrame:
     )
 
 
+def pair_digests(parts: DataFrame) -> DataFrame:
+    """(pair, complete, and of each part its turns, characters and digest, and both masks), one row a pair.
+
+    The record of ``records`` without its texts: a row grows with the turns of its
+    pair, not with their length. A digest is the SHA-256 of the turns' SHA-256 bytes
+    in order, of nothing for an empty part; masks are those of ``records``.
+    """
+    order = Window.partitionBy("pair", "part").orderBy("turn", "role", "rendered", "loss")
+    length = F.length("rendered").cast("long")
+    end = F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = parts.select("pair", "part", "complete", "loss", F.row_number().over(order).alias("at"), F.sha2(F.col("rendered").cast("binary"), 256).alias("sha"), end.alias("end"), (end - length).alias("start"))
+    of = lambda part: F.col("part") == part
+    columns = [F.first("complete").alias("complete")]
+    for part in ("prompt", "chosen", "rejected"):
+        sorted_shas = F.array_sort(F.collect_list(F.when(of(part), F.struct("at", "sha"))))["sha"]
+        columns += [
+            F.count(F.when(of(part), 1)).alias(f"{part}_turns"), F.coalesce(F.max(F.when(of(part), F.col("end"))), F.lit(0)).cast("long").alias(f"{part}_chars"),
+            F.sha2(F.unhex(F.array_join(sorted_shas, "")), 256).alias(f"{part}_sha256"),
+        ]
+    for part in ("chosen", "rejected"):
+        columns.append(F.array_sort(F.collect_list(F.when(of(part) & (F.col("loss") == 1), F.struct("start", "end")))).alias(f"{part}_mask"))
+    return placed.groupBy("pair").agg(*columns)
+
+
 def neighbours(conversations: DataFrame) -> DataFrame:
     """Conversations 2i and 2i + 1 as the chosen and the rejected side of pair i.
 

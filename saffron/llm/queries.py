@@ -70,6 +70,10 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_turns(preference.neighbours(read(spark, sf_dir, "conversations")))
 
 
+def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.pair_digests(op10_preference(spark, sf_dir))
+
+
 def shipped(query: Query) -> Query:
     """The query, after workers can import this package."""
 
@@ -80,4 +84,4 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_media, op2_pii, op3_language, op4_bpe, op5_mixing, op6_quality, op7_exact_dedup, op8_toxicity, op9_near_dedup, op10_preference)}
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_media, op2_pii, op3_language, op4_bpe, op5_mixing, op6_quality, op7_exact_dedup, op8_toxicity, op9_near_dedup, op10_preference, op10_preference_pairs)}

@@ -1,5 +1,6 @@
 """Mixing, dedup, classifiers, preferences and the pipeline."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -294,6 +295,23 @@ def test_preference_repeated_turn_numbers(spark):
     assert got["prompt"] == "<|user|>\na\n<|end|>\n<|user|>\nb\n<|end|>\n" and got["chosen"].count("x") == 2 and got["rejected"].count("x") == 1
 
 
+def test_preference_pairs_query(spark):
+    sha = lambda x: hashlib.sha256(x).digest()
+    turns_of = lambda text: [t + "\n<|end|>\n" for t in text.split("\n<|end|>\n")[:-1]]
+    same = [(1, s, 0, "user", "hi") for s in ("chosen", "rejected")]
+    extra = pairs_of(spark, [*same, (1, "chosen", 1, "assistant", "yé"), (1, "chosen", 1, "assistant", "x"), (1, "chosen", 2, "user", None), (1, "chosen", 3, "assistant", "z"), (2, "rejected", 0, "assistant", "n")])
+    for parts, got in ((preference.preference_turns(extra), None), (queries.op10_preference(spark, SF), queries.QUERIES["op10_preference_pairs"](spark, SF))):
+        got = {r["pair"]: r for r in (preference.pair_digests(parts) if got is None else got).collect()}
+        want = {r["pair"]: r for r in preference.records(parts).collect()}
+        assert got.keys() == want.keys()
+        for p, r in want.items():
+            for part in ("prompt", "chosen", "rejected"):
+                turns = turns_of(r[part])
+                assert (got[p][f"{part}_turns"], got[p][f"{part}_chars"]) == (len(turns), len(r[part]))
+                assert got[p][f"{part}_sha256"] == hashlib.sha256(b"".join(sha(t.encode()) for t in turns)).hexdigest()
+            assert all([tuple(x) for x in got[p][f"{s}_mask"]] == [tuple(x) for x in r[f"{s}_mask"]] for s in ("chosen", "rejected")) and got[p]["complete"] == r["complete"]
+
+
 # ----------------------------------------------------------------- pipeline
 
 
