@@ -17,7 +17,9 @@ different components of different families are then searched for pairs under the
 threshold: first the nearest ones of each class, then all.
 
 Defined results: null or empty texts have an empty set and no links; a null
-doc_id has no links and a null component; copies of a row share its class.
+doc_id has no links and a null component; copies of a row share its class. Where one
+doc_id stands on rows of different texts, each row belongs to the group of its own
+text; two groups may then have the same smallest id.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,17 +160,17 @@ def _judged(documents: DataFrame, pairs: DataFrame, classes: DataFrame, repeated
     splitting of skewed joins, and the hub's set is kept while its partners follow.
     ``repeated`` says that some id stands on several rows, perhaps of different texts.
     """
-    ids = durable(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    if repeated:
+        known = classes.select("cls", "doc", "digest")
+        pairs = pairs.join(known.toDF("a", "id_a", "digest_a"), "a").join(known.toDF("b", "id_b", "digest_b"), "b")
+    else:
+        pairs = pairs.withColumns({"id_a": F.col("a"), "id_b": F.col("b")} | {c: F.lit(None).cast("binary") for c in ("digest_a", "digest_b")})
+    ids = durable(pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct(), "ids")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     maybe = id_filter(ids, "id", ids.count())
     texts = texts if maybe is None else texts.where(maybe("id"))
-    known = classes.select("cls", "digest")
-    if repeated:
-        pairs = pairs.join(known.toDF("a", "digest_a"), "a").join(known.toDF("b", "digest_b"), "b")
-    else:
-        pairs = pairs.withColumns({c: F.lit(None).cast("binary") for c in ("digest_a", "digest_b")})
-    one = pairs.join(texts.toDF("a", "text_a"), "a")
-    both = one.join(texts.toDF("b", "text_b"), "b").select("a", "b", "digest_a", "digest_b", "text_a", "text_b")
+    one = pairs.join(texts.toDF("id_a", "text_a"), "id_a")
+    both = one.join(texts.toDF("id_b", "text_b"), "id_b").select("a", "b", "digest_a", "digest_b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, np.ndarray, bytes] | None = None
@@ -192,6 +195,7 @@ def _judged(documents: DataFrame, pairs: DataFrame, classes: DataFrame, repeated
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["a", "b", "linked", "size_a", "delta"])
 
     judged = both.mapInArrow(run, PAIR)
+    # Rows of one pair are copies: a class is one set.
     return judged.dropDuplicates(["a", "b"]) if repeated else judged
 
 
@@ -332,11 +336,14 @@ def _mixed_buckets(hits: DataFrame, classes: DataFrame, labels: DataFrame, stars
     return rows.join(mixed, "key").join(own.select("cls", "n_shingles", "sig"), "cls").select("key", "size", "cls", "comp", "family", "n_shingles", "sig")
 
 
-def near_groups(documents: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): components of links of ``share`` percent similarity."""
+def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(doc_id, n_shingles, digest, component_id, kept) of each row, and whether some id stands on several rows."""
     rows = durable(signatures(documents, words, id_col, text_col), "signatures")
     linked = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = durable(linked.groupBy("digest").agg(F.min("doc_id").alias("cls"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")), "classes")
+    repeated = not linked.groupBy("doc_id").count().where("count > 1").isEmpty()
+    # A class is named by its smallest id; by its digest where an id may have several sets.
+    name = F.xxhash64("digest") if repeated else F.col("doc")
+    classes = durable(linked.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")).withColumn("cls", name), "classes")
     keys = index_keys(classes)
     buckets = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     found = durable(keys.join(buckets, "key"), "hits")
@@ -346,7 +353,6 @@ def near_groups(documents: DataFrame, words: int = 5, share: int = 80, id_col: s
     hits = ranked.select("key", "cls")
     shared = hits.join(hub, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("times"))
     best = shared.groupBy("cls").agg(F.min(F.struct((-F.col("times")).alias("fewer"), "hub"))["hub"].alias("hub"))
-    repeated = not linked.groupBy("doc_id").count().where("count > 1").isEmpty()
     judge = lambda pairs, name: durable(_judged(documents, pairs, classes, repeated, words, share, id_col, text_col), name)
     stars = judge(best.toDF("a", "b"), "stars")
     links = stars.where("linked").select("a", "b").unionByName(durable(_family_links(stars, share), "family-links"))
@@ -363,19 +369,48 @@ def near_groups(documents: DataFrame, words: int = 5, share: int = 80, id_col: s
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
-    return _labelled(rows, classes, labels)
+    return _labelled(rows, classes, labels, repeated), repeated
 
 
-def _labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame, repeated: bool) -> DataFrame:
     total = rows.count()
-    comp = classes.join(labels, classes["cls"] == labels["id"], "left").select("digest", "n", F.coalesce("comp", "cls").alias("comp"))
+    comp = classes.join(labels, classes["cls"] == labels["id"], "left").select("digest", "n", "doc", F.coalesce("comp", "cls").alias("comp"))
+    if repeated:
+        comp = durable(comp, "named")
+        least = comp.groupBy("comp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("members"))
+        comp = join_groups(comp, least, "comp", "members", comp.count()).withColumn("comp", F.col("least"))
+    comp = comp.select("digest", "n", "comp")
     comp = durable(comp.where("n > 1 or comp is not null"), "class-components")
     placed = join_groups(rows.select("doc_id", "n_shingles", "digest"), comp, "digest", "n", total, "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return placed.select("doc_id", "n_shingles", "digest", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def near_groups(documents: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): components of links of ``share`` percent similarity."""
+    return _groups(documents, words, share, id_col, text_col)[0].drop("digest")
 
 
 def drop_near_copies(documents: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which each group keeps the one of smallest id, with the input's columns."""
-    gone = durable(near_groups(documents, words, share, id_col, text_col).where("not kept").select("doc_id").distinct(), "near-copies")
-    return without_ids(documents, gone, gone.count(), id_col)
+    groups, repeated = _groups(documents, words, share, id_col, text_col)
+    if repeated:
+        groups = durable(groups.where("doc_id is not null").select("doc_id", "digest", "kept"), "rows")
+    gone = durable(groups.where("not kept").select("doc_id").distinct(), "near-copies")
+    left = without_ids(documents, gone, gone.count(), id_col)
+    if not repeated:
+        return left
+    # Of an id with copies and others among its rows, the others come back.
+    mixed = durable(groups.join(gone, "doc_id", "left_semi").where("kept").select("doc_id", "digest").distinct(), "mixed-ids")
+    if mixed.isEmpty():
+        return left
+
+    @F.pandas_udf("binary")
+    def digest_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_digest(shingles(t, words)) for t in texts], dtype=object)
+
+    maybe = id_filter(mixed.select(F.col("doc_id").alias("id")), "id", mixed.count())
+    some = documents if maybe is None else documents.where(maybe(F.col(id_col).cast("long")))
+    some = some.withColumns({"_near_id": F.col(id_col).cast("long"), "_near_set": digest_of(F.col(text_col).cast("string"))})
+    back = some.join(mixed.toDF("_near_id", "_near_set"), ["_near_id", "_near_set"], "left_semi").select(*documents.columns)
+    return left.unionByName(back)

@@ -232,6 +232,19 @@ def test_near_awkward_rows(spark):
     assert left.columns == awkward(spark).columns and sorted((r["doc_id"] for r in left.collect()), key=repr) == sorted([1, 2, 3, 4, 4, 6, None, None], key=repr)
 
 
+def test_near_id_with_a_linked_and_an_unlinked_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    near_base = " ".join([*base[:-1], "other"])
+    far = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, " ".join(base)), (5, near_base), (5, far("x")), (6, far("x") + " more"), (6, far("x") + " more"), (7, near_base + " too"), (7, far("y")), (8, far("z"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x"))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near.near_groups(df, 2).collect())
+    want = [(1, 59, 1, True), (5, 59, 1, False), (5, 59, 5, True), (6, 60, 5, False), (6, 60, 5, False), (7, 59, 7, True), (7, 60, 1, False), (8, 59, 8, True)]
+    assert got == want
+    left = near.drop_near_copies(df, 2)
+    assert left.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted([rows[0], rows[2], rows[6], rows[7]])
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "a long, b long")
     got = {r["id"]: r["comp"] for r in components.components(links).collect()}
