@@ -1,13 +1,16 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed byte n-grams of the lower-cased text, present or not. Their
-log-count ratios come from the labelled sample by a distributed count; the KEPT
-most telling ones, each scaled by its ratio, enter a logistic regression.
+Features are hashed n-grams of the characters (code points) of the lower-cased
+text, present or not. Their log-count ratios come from the labelled sample by a
+distributed count. Those that differ between the classes by TELLING standard errors,
+each scaled by its ratio, enter a logistic regression.
 
 The sample holds at most PER_CLASS labelled documents of each class.
 
-Defined results: a null text counts as empty; without labels of both classes
-every score is the share of label 1 (0.5 without any); repeated rows repeat.
+Defined results: a null text counts as empty; without labelled documents of both
+classes, or without a telling feature, every score is the share of label 1 (0.5
+without any); an id with several texts or labels gives one labelled document (see
+``labelled_sample``); repeated rows repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,39 +25,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable
+from .fuse import mix
 from .labelled import labelled_sample
 
 PER_CLASS = 4000
 SIZES = (4, 5, 6)
 BITS = 20
-KEPT = 2000
-#: Documents that must hold a feature; added count; strength of regularisation.
-SUPPORT, ALPHA, RIDGE = 4, 1.0, 0.1
-#: Bytes that are hashed at a time.
+#: Documents that must hold a feature, and standard errors between its shares in both classes.
+SUPPORT, TELLING = 4, 3.0
+#: Added count; strength of regularisation; steps of the regression.
+ALPHA, RIDGE, STEPS = 1.0, 0.1, 300
+#: Characters that are hashed at a time.
 PIECE = 1 << 18
 
 _U = np.uint64
 
 
-def _grams(raw: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashes, below 2 ** BITS, of the n-grams of some bytes."""
-    wide = raw.astype(_U)
-    packed = np.zeros(len(raw), _U)
+def _grams(points: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes, below 2 ** BITS, of the n-grams of some code points."""
+    wide = points.astype(_U) + _U(1)
+    run = np.zeros(len(points), _U)
     for n in range(1, max(SIZES) + 1):
-        if len(raw) < n:
+        if len(points) < n:
             return
-        packed = (packed[: len(raw) - n + 1] << _U(8)) | wide[n - 1 :]
+        run = run[: len(points) - n + 1] * _U(0x9E3779B97F4A7C15) + wide[n - 1 :]
         if n in SIZES:
-            yield ((packed + _U(n)) * _U(0x9E3779B97F4A7C15) >> _U(64 - BITS)).astype(np.int64)
+            yield (mix(run, n) >> _U(64 - BITS)).astype(np.int64)
 
 
 def grams(text: str | None, table: np.ndarray | None = None) -> np.ndarray:
     """Distinct features of a whole text; with ``table`` its entries that aren't negative."""
-    raw = np.frombuffer((" " + (text or "").lower() + " ").encode(), np.uint8)
+    points = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le"), np.uint32)
     found = []
-    for at in range(0, len(raw), PIECE):
-        piece = raw[at : at + PIECE + max(SIZES) - 1]
-        for h in _grams(piece):
+    for at in range(0, len(points), PIECE):
+        for h in _grams(points[at : at + PIECE + max(SIZES) - 1]):
             if table is not None:
                 h = table[h]
                 h = h[h >= 0]
@@ -88,22 +92,44 @@ def _counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
 
 
+def log_ratios(counts: DataFrame, n0: int, n1: int) -> DataFrame:
+    """(feature, ratio) of the telling features of ``n0`` and ``n1`` documents of either class."""
+    p1, p0 = (F.col("pos") + ALPHA) / (n1 + 2 * ALPHA), (F.col("neg") + ALPHA) / (n0 + 2 * ALPHA)
+    pooled = (F.col("pos") + F.col("neg") + ALPHA) / (n0 + n1 + 2 * ALPHA)
+    telling = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1) + 1e-12)
+    return counts.where((F.col("pos") + F.col("neg") >= SUPPORT) & (telling >= TELLING)).select("feature", F.log(p1 / p0).alias("ratio"))
+
+
 def _logistic(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of a weighted, regularised logistic regression, by accelerated gradient steps on a matrix of bounded size."""
-    x = np.zeros((len(rows), len(ratios)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = ratios[r]
-    beta, bias = np.zeros(len(ratios)), 0.0
-    step = 1.0 / (0.25 * float((weight[:, None] * x * x).sum(axis=0).max() + RIDGE) * 4)
-    velocity, seen = np.zeros(len(ratios)), beta
-    for t in range(400):
-        p = 1 / (1 + np.exp(-np.clip(x @ seen.astype(np.float32) + bias, -40, 40)))
-        err = weight * (p - y)
-        new = seen - step * (x.T @ err.astype(np.float32) + RIDGE * seen)
-        bias -= float(err.sum() / (0.25 * weight.sum() + 1e-9)) * 0.5
-        velocity = new - beta
-        beta, seen = new, new + velocity * (t / (t + 3))
-    return beta, bias
+    """Weights and bias of a weighted logistic regression, ridge on the weights, by accelerated gradient steps.
+
+    ``rows`` lists the places of the features that each document holds, so the work
+    is in proportion to them.
+    """
+    ends = np.cumsum([len(r) for r in rows])
+    starts = np.concatenate([[0], ends[:-1]])
+    place = np.concatenate(rows).astype(np.int64)
+    value = ratios[place]
+    owner = np.repeat(np.arange(len(rows)), ends - starts)
+
+    def times(beta: np.ndarray) -> np.ndarray:
+        run = np.concatenate([[0.0], np.cumsum(value * beta[place])])
+        return run[ends] - run[starts] + beta[-1]
+
+    def back(err: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(place, value * err[owner], len(ratios)), err.sum())
+
+    ridge = np.append(np.full(len(ratios), RIDGE), 0.0)
+    v = np.ones(len(ratios) + 1)
+    for _ in range(20):  # the largest curvature bounds the step
+        v = back(weight * times(v / np.linalg.norm(v)))
+    step = 1 / (0.3 * np.linalg.norm(v) + RIDGE)
+    beta, seen = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
+    for t in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(times(seen), -40, 40)))
+        new = seen - step * (back(weight * (p - y)) + ridge * seen)
+        beta, seen = new, new + (new - beta) * (t / (t + 3))
+    return beta[:-1], float(beta[-1])
 
 
 def train(documents: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
@@ -111,32 +137,33 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, label: str =
     sample, known = labelled_sample(documents, labels, label, usable, per_class)
     total = sum(known.values())
     prior = known.get(1, 0) / total if total else 0.5
+    flat = float(np.clip(prior, 1e-6, 1 - 1e-6))
+    constant = Model(np.full(1 << BITS, -1, np.int32), np.zeros(0), float(np.log(flat / (1 - flat))))
     if not known.get(0) or not known.get(1):
-        flat = float(np.clip(prior, 1e-6, 1 - 1e-6))
-        return Model(np.full(1 << BITS, -1, np.int16), np.zeros(0), float(np.log(flat / (1 - flat))))
+        return constant
     sample = durable(sample, "labelled")
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n0, n1 = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
-    p1, p0 = (F.col("pos") + ALPHA) / (n1 + 2 * ALPHA), (F.col("neg") + ALPHA) / (n0 + 2 * ALPHA)
-    pooled = (F.col("pos") + F.col("neg") + ALPHA) / (n0 + n1 + 2 * ALPHA)
-    telling = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1) + 1e-12)
-    kept = _counts(sample).where(F.col("pos") + F.col("neg") >= SUPPORT).select("feature", F.log(p1 / p0).alias("ratio"), telling.alias("telling"))
-    kept = sorted(kept.orderBy(F.desc("telling"), "feature").limit(KEPT).collect(), key=lambda r: r["feature"])
-    table = np.full(1 << BITS, -1, np.int16)
+    n0, n1 = (min(per_class, known[y]) for y in (0, 1))
+    # At most one row for each place of the hash table.
+    kept = sorted(log_ratios(_counts(sample), n0, n1).collect(), key=lambda r: r["feature"])
+    if not kept:
+        return constant
+    table = np.full(1 << BITS, -1, np.int32)
     table[[r["feature"] for r in kept]] = np.arange(len(kept))
     ratios = np.array([r["ratio"] for r in kept])
+    shared = documents.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [grams(x.as_py(), table).astype("<i2").tobytes() for x in b.column("text")]
+            rows = [grams(x.as_py(), shared.value).astype("<i4").tobytes() for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(rows, pa.binary())], names=["id", "label", "found"])
 
-    found = sample.select("id", "label", "text").mapInArrow(run, "id long, label int, found binary").limit(2 * per_class).collect()
-    found.sort(key=lambda r: (r["id"], r["label"]))
+    # One row for each document of the sample: the places of its telling features.
+    found = sample.select("id", "label", "text").mapInArrow(run, "id long, label int, found binary").collect()
+    found.sort(key=lambda r: r["id"])
     y = np.array([r["label"] for r in found], float)
     # Classes weigh as among all labels, so that scores are probabilities.
-    weight = np.where(y == 1, prior * len(y) / max(1, y.sum()), (1 - prior) * len(y) / max(1, len(y) - y.sum()))
-    beta, bias = _logistic([np.frombuffer(r["found"], "<i2") for r in found], y, ratios, weight)
+    weight = np.where(y == 1, prior * len(y) / n1, (1 - prior) * len(y) / n0)
+    beta, bias = _logistic([np.frombuffer(r["found"], "<i4") for r in found], y, ratios, weight)
     return Model(table, beta * ratios, bias)
 
 
