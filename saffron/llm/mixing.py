@@ -5,8 +5,8 @@ key), distributed prefix sums of their sizes follow, and each source is cut at
 its exact budget; a budget beyond the source's size repeats whole epochs.
 
 Defined results: a null text has size 0; null is a source of its own, listed
-last; a source without words takes nothing; identical rows share a key, and one
-of them may be cut while another is taken; an empty table gives no rows. The
+last; a source without words takes nothing; rows of equal id and text share a key,
+and some of them may be taken while others aren't; an empty table gives no rows. The
 query leaves other columns out; ``mixed`` keeps the columns of its input.
 """
 
@@ -98,18 +98,36 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     """The documents of the mix, each as often as the mix repeats it, with the input's columns.
 
     Documents stay whole: the one at a source's cut is taken where that comes nearer
-    to the budget. Each source's cut is a key, so the texts themselves don't move.
+    to the budget. Each source's cut is a key and how many rows of that key are taken,
+    so the texts themselves don't move, but for rows that share the key at a cut.
     """
-    plan = mixture(documents, weights, max_epochs, id_col, text_col, source_col)
-    taken_last = F.col("rest") - F.col("before") >= F.col("size") - (F.col("rest") - F.col("before"))
-    cuts = durable(
-        plan.where("size > 0").groupBy("source").agg(F.max("epochs").alias("_epochs"), F.max(F.when((F.col("before") < F.col("rest")) & taken_last, F.col("key"))).alias("_cut")), "cuts"
-    )
-    side = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
-    side = side.withColumnRenamed("source", "_source")
+    plan = mixture(documents, weights, max_epochs, id_col, text_col, source_col).where("size > 0")
+    missing = F.col("rest") - F.col("before")
+    taken = (missing > 0) & (missing >= F.col("size") - missing)
+    cuts = durable(plan.groupBy("source").agg(F.max("epochs").alias("_epochs"), F.max(F.when(taken, F.col("key"))).alias("_cut")), "cuts")
+    small = cuts.count() <= BROADCAST_SOURCES
+    near = lambda df: F.broadcast(df) if small else df
+    side = near(cuts.withColumnRenamed("source", "_source"))
+    at_cut = plan.join(side, F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_cut"))).groupBy("source").agg(F.count(F.lit(1)).alias("_sharing"), F.count_if(taken).alias("_taken"))
+    at_cut = durable(at_cut, "at-cut").withColumnRenamed("source", "_at")
+    shared = not at_cut.where("_sharing > _taken").isEmpty()
     text = F.col(text_col).cast("string")
     # The input's columns travel as one, so that none of them clashes with those added.
     rows = documents.select(F.struct("*").alias("_row"), F.col(source_col).cast("string").alias("_own"), random_key(F.col(id_col), text).alias("_key"), (F.coalesce(word_count(text), F.lit(0)) > 0).alias("_words"))
-    kept = rows.join(side, F.col("_own").eqNullSafe(F.col("_source")))
-    copies = F.when(F.col("_words"), F.col("_epochs") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)).otherwise(0).cast("int")
-    return kept.where(copies > 0).select("_row", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select("_row.*")
+    kept = rows.where("_words").join(side, F.col("_own").eqNullSafe(F.col("_source")))
+    below = F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))
+    if not shared:
+        return _copies(kept, F.col("_epochs") + below.cast("int"))
+    split = kept.join(near(at_cut), F.col("_own").eqNullSafe(F.col("_at")), "left")
+    on_cut = F.coalesce((F.col("_key") == F.col("_cut")) & (F.col("_sharing") > F.col("_taken")), F.lit(False))
+    # Rows of one key are alike in id and text: which of them are taken is told by their number.
+    sharing = split.where(on_cut).select("_row", "_own", "_epochs", "_taken").withColumns({"_tie": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")})
+    nth = prefix_sums(sharing, [F.col("_own").asc_nulls_last(), F.col("_tie").asc()], {"_nth": "_one"}, "sharing")
+    first = nth.groupBy("_own").agg(F.min("_nth").alias("_first")).withColumnRenamed("_own", "_at")
+    nth = nth.join(near(first), F.col("_own").eqNullSafe(F.col("_at")))
+    return _copies(split.where(~on_cut), F.col("_epochs") + below.cast("int")).unionByName(_copies(nth, F.col("_epochs") + (F.col("_nth") - F.col("_first") < F.col("_taken")).cast("int")))
+
+
+def _copies(rows: DataFrame, times: Column) -> DataFrame:
+    """The input's rows, each so many times."""
+    return rows.withColumn("_times", times.cast("int")).where("_times > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")

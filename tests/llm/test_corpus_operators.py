@@ -93,6 +93,19 @@ def test_mixed_documents_stay_whole_and_near_their_targets(spark):
     assert max(Counter(r["doc_id"] for r in out).values()) <= 3
 
 
+def test_mixed_takes_only_some_of_repeated_rows(spark):
+    """Rows that share the key at the cut: of equal id and text, some with other columns."""
+    rows = [(None, "one two three four five six", "a", i) for i in range(1000)] + [(i, "w " * 30, "b", i) for i in range(200)] + [(5, "x y", None, i) for i in range(77)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    target = {r["source"]: r["target"] for r in mixing.mixture(docs).select("source", "target").distinct().collect()}
+    got, words = mixing.mixed(docs.repartition(5)), Counter()
+    for r in got.collect():
+        words[r["source"]] += len(r["text"].split())
+    assert got.columns == docs.columns and words.keys() == target.keys()
+    assert all(abs(words[s] - t) <= {"a": 3, "b": 15, None: 1}[s] + 0.5 for s, t in target.items()), (words, target)
+    assert target["a"] % 6000 and max(Counter((r["source"], r["size"]) for r in got.collect()).values()) <= 3
+
+
 def test_prefix_sums_over_ranges(spark):
     rows = spark.range(500).select(F.col("id"), (F.col("id") * 37 % 11).alias("v"))
     got = {r["id"]: r["before"] for r in mixing.prefix_sums(rows, [F.col("id").desc()], {"before": "v"}, "test").collect()}
