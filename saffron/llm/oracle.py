@@ -40,11 +40,19 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-_PREFERENCE = r"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn,
-         coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+_PARTS = r"""
+WITH conv AS (
+  SELECT conv_id AS pair, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), last AS (
+  SELECT pair, max(turn) AS until FROM conv WHERE role = 'assistant' GROUP BY pair
+), answer AS (
+  SELECT pair, until, max(text) AS answer FROM conv JOIN last USING (pair) WHERE turn = until AND role = 'assistant' GROUP BY pair, until
+), ranked AS (
+  SELECT *, row_number() OVER w AS place, count(*) OVER () AS n FROM answer WINDOW w AS (ORDER BY md5(CAST(pair AS VARCHAR)), pair)
+), t AS (
+  SELECT pair, 'chosen' AS side, turn, role, text FROM conv
+  UNION ALL SELECT pair, 'rejected', turn, role, text FROM conv JOIN last USING (pair) WHERE turn < until
+  UNION ALL SELECT a.pair, 'rejected', a.until, 'assistant', b.answer FROM ranked a JOIN ranked b ON b.place = a.place % a.n + 1
 ), b AS (
   SELECT pair, turn,
          coalesce(list_sort(list(role || chr(0) || text) FILTER (side = 'chosen')), []) AS c,
@@ -54,11 +62,30 @@ WITH t AS (
   SELECT pair, min(turn) FILTER (c <> r) AS split, sum(len(c)) > 0 AND sum(len(r)) > 0 AS complete FROM b GROUP BY pair
 ), p AS (
   SELECT t.*, split IS NULL OR turn < split AS prompt, complete FROM t JOIN s USING (pair)
+), q AS (
+  SELECT pair, CASE WHEN prompt THEN 'prompt' ELSE side END AS part, turn, role,
+         '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered,
+         CASE WHEN NOT prompt AND role = 'assistant' THEN 1 ELSE 0 END AS loss, complete
+  FROM p WHERE NOT prompt OR side = 'chosen'
+), parts AS (
+  SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY pair, part ORDER BY turn, role, rendered ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stop FROM q
+), parts_at AS (
+  SELECT pair, part, turn, role, rendered, loss, stop - length(rendered) AS start, stop, complete FROM parts
 )
-SELECT pair, CASE WHEN prompt THEN 'prompt' ELSE side END AS part, turn, role,
-       '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered,
-       CASE WHEN NOT prompt AND role = 'assistant' THEN 1 ELSE 0 END AS loss, complete
-FROM p WHERE NOT prompt OR side = 'chosen'
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": _MIXING, "op7_exact_dedup": _EXACT, "op10_preference": _PREFERENCE}
+_PREFERENCE = _PARTS + "SELECT * FROM parts_at"
+
+
+def _part(part: str) -> str:
+    return f"""count(*) FILTER (part = '{part}') AS {part}_turns, coalesce(max(stop) FILTER (part = '{part}'), 0) AS {part}_chars,
+       sha256(unhex(coalesce(string_agg(sha256(rendered), '' ORDER BY start) FILTER (part = '{part}'), ''))) AS {part}_sha256"""
+
+
+def _mask(part: str) -> str:
+    return f"coalesce(string_agg(start || ':' || stop, ',' ORDER BY start) FILTER (part = '{part}' AND loss = 1), '') AS {part}_mask"
+
+
+_PAIRS = _PARTS + f"SELECT pair, first(complete) AS complete, {_part('prompt')}, {_part('chosen')}, {_part('rejected')}, {_mask('chosen')}, {_mask('rejected')} FROM parts_at GROUP BY pair"
+
+ORACLE_SQL: dict[str, str] = {"op5_mixing": _MIXING, "op7_exact_dedup": _EXACT, "op10_preference": _PREFERENCE, "op10_preference_pairs": _PAIRS}

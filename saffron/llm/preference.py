@@ -3,20 +3,26 @@
 Turns carry (pair, side, turn, role, text). The longest common prefix of turns
 of both sides is rendered once as prompt; the turns after it are the completions
 of either side, of which only the assistant's words count in the loss. All steps
-work on turns, so no conversation is ever held in one row until ``records``;
-``pair_digests`` gives the same record of a pair by digests, lengths and masks.
+work on turns, each with its place in the text of its part, so no conversation is
+ever held in one row or task until ``records``; ``pair_digests`` gives the same
+record of a pair by digests, lengths and masks.
 
 Defined results: a turn number that stands on several rows is one turn of all
 their words, in the order of role and text; null roles and texts count as empty;
 turns without a pair or number are left out; a pair with one side missing has no
-prompt, so that side is a completion as a whole and ``complete`` is false.
+prompt, so that side is a completion as a whole and ``complete`` is false. Other
+columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable
+from .mixing import prefix_sums
+from .skew import join_groups
+
 OPEN, SHUT = "<|{role}|>\n", "\n<|end|>\n"
 
 
@@ -26,50 +32,51 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def preference_turns(turns: DataFrame) -> DataFrame:
-    """(pair, part, turn, role, rendered, loss, complete) of turns (pair, side, turn, role, text).
+    """(pair, part, turn, role, rendered, loss, start, stop, complete) of turns (pair, side, turn, role, text).
 
     ``part`` is prompt, chosen or rejected; a prompt turn stands once for its pair.
+    ``start`` and ``stop`` tell the turn's characters in the text of its part.
     """
     clean = turns.where("pair is not null and turn is not null and side in ('chosen', 'rejected')").select("pair", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # Equal turns have the same rows: their number and two sums of hashes agree.
-    h = [F.pmod(F.xxhash64("role", "text", F.lit(i)), F.lit(1 << 40)) for i in range(2)]
-    side = lambda s: F.col("side") == s
-    print_of = lambda s: F.struct(F.count(F.when(side(s), 1)).alias("n"), *(F.coalesce(F.sum(F.when(side(s), x)), F.lit(0)).alias(f"h{i}") for i, x in enumerate(h)))
-    both = clean.groupBy("pair", "turn").agg(print_of("chosen").alias("c"), print_of("rejected").alias("r"))
-    split = both.groupBy("pair").agg(F.min(F.when(F.col("c") != F.col("r"), F.col("turn"))).alias("split"), (F.sum("c.n") > 0).alias("_c"), (F.sum("r.n") > 0).alias("_r"))
-    placed = clean.join(split, "pair")
+    clean = durable(clean, "turns")
+    side = lambda s: F.count_if(F.col("side") == s)
+    # Turns are equal if each role and text stands equally often on both sides.
+    each = clean.groupBy("pair", "turn", "role", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(side("chosen").alias("c"), side("rejected").alias("r"))
+    split = each.groupBy("pair").agg(F.min(F.when(F.col("c") != F.col("r"), F.col("turn"))).alias("split"), ((F.sum("c") > 0) & (F.sum("r") > 0)).alias("complete"), (F.sum("c") + F.sum("r")).alias("n"))
+    placed = join_groups(clean, split, "pair", "n", clean.count())
     prompt = F.col("split").isNull() | (F.col("turn") < F.col("split"))
-    kept = placed.where(~prompt | side("chosen"))
-    return kept.select(
+    kept = placed.where(~prompt | (F.col("side") == "chosen")).select(
         "pair", F.when(prompt, "prompt").otherwise(F.col("side")).alias("part"), "turn", "role", rendered(F.col("role"), F.col("text")).alias("rendered"),
-        F.when(~prompt & (F.col("role") == "assistant"), 1).otherwise(0).alias("loss"), (F.col("_c") & F.col("_r")).alias("complete"),
+        F.when(~prompt & (F.col("role") == "assistant"), 1).otherwise(0).alias("loss"), "complete",
     )
+    sized = kept.withColumns({"_chars": F.length("rendered").cast("long"), "_tie": F.monotonically_increasing_id()})
+    summed = prefix_sums(sized, [F.col(c).asc() for c in ("pair", "part", "turn", "role", "rendered", "_tie")], {"_before": "_chars"}, "places")
+    first = summed.groupBy("pair", "part").agg(F.min("_before").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    key = F.concat_ws(":", F.col("pair").cast("string"), "part")
+    whole = join_groups(summed.withColumn("_key", key), first.select(key.alias("_key"), "_first", "_n"), "_key", "_n", summed.count())
+    start = F.col("_before") - F.col("_first")
+    return whole.select("pair", "part", "turn", "role", "rendered", "loss", start.alias("start"), (start + F.col("_chars")).alias("stop"), "complete")
+
+
+PARTS = ("prompt", "chosen", "rejected")
+
+
+def _of(part: str) -> Column:
+    return F.col("part") == part
+
+
+def _mask(part: str) -> Column:
+    """The (start, stop) of the characters of a completion that count in the loss."""
+    return F.array_sort(F.collect_list(F.when(_of(part) & (F.col("loss") == 1), F.struct("start", "stop"))))
 
 
 def records(parts: DataFrame) -> DataFrame:
     """(pair, prompt, chosen, rejected, chosen_mask, rejected_mask, complete), one row a pair.
 
-    A mask lists the (start, end) of the characters of its completion that count in
-    the loss. A record holds its whole pair, so its longest text must fit in memory.
+    A record holds its whole pair, so its longest text must fit in memory.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "rendered", "loss")))
-    grouped = parts.groupBy("pair", "part").agg(ordered.alias("turns"), F.first("complete").alias("complete"))
-    text = F.concat_ws("", F.col("turns.rendered"))
-    ends = F.aggregate(
-        "turns", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["rendered"])).alias("at"),
-            F.when(t["loss"] == 1, F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(t["rendered"])).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )["spans"]
-    grouped = grouped.select("pair", "part", text.alias("text"), ends.alias("mask"), "complete")
-    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
-    no_spans = F.array().cast("array<struct<start:int,end:int>>")
-    return grouped.groupBy("pair").agg(
-        F.coalesce(of("prompt", "text"), F.lit("")).alias("prompt"), F.coalesce(of("chosen", "text"), F.lit("")).alias("chosen"), F.coalesce(of("rejected", "text"), F.lit("")).alias("rejected"),
-        F.coalesce(F.first(F.when(F.col("part") == "chosen", F.col("mask")), ignorenulls=True), no_spans).alias("chosen_mask"),
-        F.coalesce(F.first(F.when(F.col("part") == "rejected", F.col("mask")), ignorenulls=True), no_spans).alias("rejected_mask"), F.first("complete").alias("complete"),
-    )
+    text = lambda part: F.array_join(F.array_sort(F.collect_list(F.when(_of(part), F.struct("start", "rendered"))))["rendered"], "")
+    return parts.groupBy("pair").agg(*(text(p).alias(p) for p in PARTS), *(_mask(p).alias(f"{p}_mask") for p in PARTS[1:]), F.first("complete").alias("complete"))
 
 
 def pair_digests(parts: DataFrame) -> DataFrame:
@@ -77,30 +84,35 @@ def pair_digests(parts: DataFrame) -> DataFrame:
 
     The record of ``records`` without its texts: a row grows with the turns of its
     pair, not with their length. A digest is the SHA-256 of the turns' SHA-256 bytes
-    in order, of nothing for an empty part; masks are those of ``records``.
+    in order, of nothing for an empty part; a mask lists start:stop, comma-joined.
     """
-    order = Window.partitionBy("pair", "part").orderBy("turn", "role", "rendered", "loss")
-    length = F.length("rendered").cast("long")
-    end = F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = parts.select("pair", "part", "complete", "loss", F.row_number().over(order).alias("at"), F.sha2(F.col("rendered").cast("binary"), 256).alias("sha"), end.alias("end"), (end - length).alias("start"))
-    of = lambda part: F.col("part") == part
+    narrow = parts.select("pair", "part", "complete", "loss", "start", "stop", F.sha2(F.col("rendered").cast("binary"), 256).alias("sha"))
     columns = [F.first("complete").alias("complete")]
-    for part in ("prompt", "chosen", "rejected"):
-        sorted_shas = F.array_sort(F.collect_list(F.when(of(part), F.struct("at", "sha"))))["sha"]
-        columns += [
-            F.count(F.when(of(part), 1)).alias(f"{part}_turns"), F.coalesce(F.max(F.when(of(part), F.col("end"))), F.lit(0)).cast("long").alias(f"{part}_chars"),
-            F.sha2(F.unhex(F.array_join(sorted_shas, "")), 256).alias(f"{part}_sha256"),
-        ]
-    for part in ("chosen", "rejected"):
-        columns.append(F.array_sort(F.collect_list(F.when(of(part) & (F.col("loss") == 1), F.struct("start", "end")))).alias(f"{part}_mask"))
-    return placed.groupBy("pair").agg(*columns)
-
-
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Conversations 2i and 2i + 1 as the chosen and the rejected side of pair i.
-
-    The table holds no preferences of its own; this rule pairs all of it and needs no
-    shuffle.
+    for part in PARTS:
+        shas = F.array_sort(F.collect_list(F.when(_of(part), F.struct("start", "sha"))))["sha"]
+        columns += [F.count_if(_of(part)).alias(f"{part}_turns"), F.coalesce(F.max(F.when(_of(part), F.col("stop"))), F.lit(0)).cast("long").alias(f"{part}_chars"), F.sha2(F.unhex(F.array_join(shas, "")), 256).alias(f"{part}_sha256")]
+    for part in PARTS[1:]:
+        columns.append(F.array_join(F.transform(_mask(part), lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",").alias(f"{part}_mask"))
+    return narrow.groupBy("pair").agg(*columns)
+
+
+def counterparts(conversations: DataFrame) -> DataFrame:
+    """Each conversation as the chosen side of a pair that carries its id.
+
+    The rejected side is the same conversation up to its last assistant turn, whose
+    words are those of the last assistant turn of another conversation: the next one in
+    the order of the MD5 of ids, the first one after the last. The table holds no
+    preferences of its own, and answers to other questions are worse ones. A
+    conversation without an assistant turn has no rejected side.
     """
-    conv = F.col("conv_id").cast("long")
-    return conversations.select(F.floor(conv / 2).cast("long").alias("pair"), F.when(F.pmod(conv, F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    conv = conversations.select(F.col("conv_id").cast("long").alias("pair"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).where("pair is not null and turn is not null")
+    last = conv.where("role = 'assistant'").groupBy("pair").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
+    answers = last.select("pair", F.col("last.turn").alias("until"), F.col("last.text").alias("answer"), F.md5(F.col("pair").cast("string").cast("binary")).alias("_hash"), F.lit(1).cast("long").alias("_one"))
+    answers = durable(prefix_sums(answers, [F.col("_hash").asc(), F.col("pair").asc()], {"_rank": "_one"}, "answers"), "ranked-answers")
+    n = F.greatest(F.lit(1), F.lit(answers.count()))
+    others = answers.select(F.pmod(F.col("_rank") - 1, n).alias("_rank"), F.col("answer").alias("other"))
+    given = answers.select("pair", "until", "_rank").join(others, "_rank").select("pair", F.col("until").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    sizes = conv.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).join(answers.select("pair", "until"), "pair")
+    before = join_groups(conv, sizes, "pair", "n", conv.count()).where("turn < until").select(*conv.columns)
+    as_side = lambda df, s: df.select("pair", F.lit(s).alias("side"), "turn", "role", "text")
+    return as_side(conv, "chosen").unionByName(as_side(before.unionByName(given), "rejected"))

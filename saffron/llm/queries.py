@@ -67,7 +67,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.preference_turns(preference.neighbours(read(spark, sf_dir, "conversations")))
+    return preference.preference_turns(preference.counterparts(read(spark, sf_dir, "conversations")))
 
 
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

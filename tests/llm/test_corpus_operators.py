@@ -306,7 +306,7 @@ def test_preference_prefix_and_masks(spark):
     parts = preference.preference_turns(pairs_of(spark, rows))
     got = {r["pair"]: r for r in preference.records(parts).collect()}
     assert got[1]["prompt"] == "<|system|>\nbe kind\n<|end|>\n<|user|>\nhi\n<|end|>\n" and got[1]["complete"]
-    cut = lambda text, spans: [text[s["start"] : s["end"]] for s in spans]
+    cut = lambda text, spans: [text[s["start"] : s["stop"]] for s in spans]
     assert cut(got[1]["chosen"], got[1]["chosen_mask"]) == ["<|assistant|>\nhello\n<|end|>\n"]
     assert cut(got[1]["rejected"], got[1]["rejected_mask"]) == ["<|assistant|>\ngo away\n<|end|>\n"]
     assert got[1]["rejected"].endswith("<|user|>\noh\n<|end|>\n")
@@ -335,7 +335,32 @@ def test_preference_pairs_query(spark):
                 turns = turns_of(r[part])
                 assert (got[p][f"{part}_turns"], got[p][f"{part}_chars"]) == (len(turns), len(r[part]))
                 assert got[p][f"{part}_sha256"] == hashlib.sha256(b"".join(sha(t.encode()) for t in turns)).hexdigest()
-            assert all([tuple(x) for x in got[p][f"{s}_mask"]] == [tuple(x) for x in r[f"{s}_mask"]] for s in ("chosen", "rejected")) and got[p]["complete"] == r["complete"]
+            assert all(got[p][f"{s}_mask"] == ",".join(f"{x['start']}:{x['stop']}" for x in r[f"{s}_mask"]) for s in ("chosen", "rejected")) and got[p]["complete"] == r["complete"]
+
+
+def test_preference_counterparts(spark):
+    """The rejected side ends at the last assistant turn, with the words of the next conversation's."""
+    rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "thanks"), (2, 0, "system", "s"), (2, 1, "user", "q2"), (2, 2, "assistant", "x"), (2, 3, "user", "?"), (2, 4, "assistant", "a2")]
+    rows += [(3, 0, "user", "alone"), (4, 0, "assistant", None), (None, 0, "user", "x"), (4, None, "user", "x"), (1, 1, "assistant", "a0")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"pair": F.lit("clash"), "side": F.lit(1), "n": F.lit(2)})
+    got = {r["pair"]: r for r in preference.records(preference.preference_turns(preference.counterparts(conv))).collect()}
+    order = sorted((1, 2, 4), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    answer = {1: "a1", 2: "a2", 4: ""}
+    for i, nxt in zip(order, order[1:] + order[:1], strict=True):
+        assert got[i]["rejected"] == f"<|assistant|>\n{answer[nxt]}\n<|end|>\n" and got[i]["complete"]
+    assert got[1]["prompt"] == "<|user|>\nq1\n<|end|>\n" and got[1]["chosen"].count("<|") == 6
+    assert got[2]["prompt"].count("<|end|>") == 4 and got[4]["prompt"] == "" and set(got) == {1, 2, 3, 4}
+    assert got[3]["chosen"] == "<|user|>\nalone\n<|end|>\n" and not got[3]["complete"] and got[3]["prompt"] == ""
+    assert preference.counterparts(conv.limit(0)).count() == 0
+
+
+def test_preference_very_long_turn_and_hot_pair(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", 3)
+    rows = [(1, i, "assistant" if i % 2 else "user", "word " * 20) for i in range(400)] + [(2, 0, "user", "é" * 2_000_000), (2, 1, "assistant", "ok"), (3, 0, "user", "q"), (3, 1, "assistant", "a")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit("clash"))
+    got = {r["pair"]: r for r in preference.pair_digests(preference.preference_turns(preference.counterparts(conv))).collect()}
+    assert (got[1]["prompt_turns"], got[1]["chosen_turns"], got[1]["rejected_turns"]) == (399, 1, 1) and got[2]["prompt_chars"] == 2_000_018
+    assert got[1]["chosen_mask"] == f"0:{100 + 23}" and got[3]["chosen_mask"] == "0:23"
 
 
 # ----------------------------------------------------------------- pipeline
