@@ -1,8 +1,10 @@
 """Media columns: Netpbm and BMP images to numpy arrays, NPY tiles and difference hashes.
 
-Defined results: null or undecodable bytes give a row with null width, height,
+Defined results: null or undecodable bytes, samples above the stated maximum and
+headers that promise more than the bytes hold give a row with null width, height,
 tile and hash and a reason in ``media_error``. Columns of the input that clash
-with the ones added here are replaced.
+with the ones added here are replaced; repeated rows repeat; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -21,46 +23,57 @@ from pyspark.sql import types as T
 
 PAD = 64
 TILE = 16
-#: Rows that are summed at once; bounds the memory of a tall image.
-BAND_ROWS = 4096
+#: Pixels that are summed at once, at least a row; bounds the memory of a large image.
+BAND_CELLS = 1 << 18
 
 
 class MediaError(ValueError):
     """The bytes are no image that this module reads."""
 
 
-def _netpbm(data: bytes) -> np.ndarray:
-    fields, at = [], 2
-    wanted = 2 if data[:2] in (b"P1", b"P4") else 3
-    token = re.compile(rb"(?:[ \t-\r]|#[^\n]*\n)*([0-9]+)")
-    while len(fields) < wanted:
+def _numbers(data: bytes, at: int, n: int) -> tuple[list[int], int]:
+    """The next ``n`` numbers of a Netpbm header, after white space and comments, and where they end."""
+    token, out = re.compile(rb"(?:[ \t-\r]|#[^\n]*\n)*([0-9]{1,9})(?![0-9])"), []
+    for _ in range(n):
         m = token.match(data, at)
         if not m:
             raise MediaError("bad Netpbm header")
-        fields.append(int(m[1]))
+        out.append(int(m[1]))
         at = m.end()
-    w, h = fields[:2]
-    top = fields[2] if wanted == 3 else 1
+    return out, at
+
+
+def _netpbm(data: bytes) -> np.ndarray:
+    kind = data[1:2]
+    fields, at = _numbers(data, 2, 2 if kind in b"14" else 3)
+    w, h, top = (*fields, 1)[:3]
+    depth = 3 if kind in b"36" else 1
     if w <= 0 or h <= 0 or not 0 < top < 65536:
         raise MediaError("bad Netpbm size")
-    kind, depth = data[1:2], 3 if data[1:2] in b"36" else 1
+    n, short = w * h * depth, MediaError("short Netpbm body")
+    if n > 8 * len(data):  # no form stores a sample in less than a bit
+        raise short
     if kind in b"123":
         body = re.sub(rb"#[^\n]*", b"", data[at:])
-        digits = re.findall(rb"[01]" if kind == b"1" else rb"[0-9]+", body)
-        if len(digits) < w * h * depth:
-            raise MediaError("short Netpbm body")
-        flat = np.array([int(x) for x in digits[: w * h * depth]], dtype=np.int64)
-    elif kind == b"4":
-        stride = (w + 7) // 8
-        raw = np.frombuffer(data, np.uint8, offset=at + 1)
-        if raw.size < stride * h:
-            raise MediaError("short Netpbm body")
-        flat = np.unpackbits(raw[: stride * h].reshape(h, stride), axis=1)[:, :w].ravel()
+        if not re.fullmatch(rb"[01 \t-\r]*" if kind == b"1" else rb"(?:[0-9]{1,5}|[ \t-\r]+)*+", body):
+            raise MediaError("bad Netpbm sample")
+        flat = np.array((re.findall(rb"[01]", body) if kind == b"1" else body.split())[:n], "S5").astype(np.int64)
     else:
-        raw = np.frombuffer(data, np.uint8 if top < 256 else ">u2", count=-1 if top < 256 else (len(data) - at - 1) // 2, offset=at + 1)
-        if raw.size < w * h * depth:
-            raise MediaError("short Netpbm body")
-        flat = raw[: w * h * depth]
+        body = data[at + 1 :]
+        if kind == b"4":
+            stride = (w + 7) // 8
+            if len(body) < stride * h:
+                raise short
+            flat = np.unpackbits(np.frombuffer(body, np.uint8, stride * h).reshape(h, stride), axis=1)[:, :w].ravel()
+        else:
+            sample = np.dtype(np.uint8 if top < 256 else ">u2")
+            if len(body) < n * sample.itemsize:
+                raise short
+            flat = np.frombuffer(body, sample, n)
+    if flat.size < n:
+        raise short
+    if int(flat.max()) > top:
+        raise MediaError("Netpbm sample above its maximum")
     if kind in b"14":
         flat = 255 * (1 - flat.astype(np.int64))  # 1 is black in a bitmap
     elif top != 255:
@@ -73,13 +86,12 @@ def _bmp(data: bytes) -> np.ndarray:
         raise MediaError("short BMP header")
     word = lambda at, n=4, signed=False: int.from_bytes(data[at : at + n], "little", signed=signed)
     start, head, w, h, bits, packed = word(10), word(14), word(18, 4, True), word(22, 4, True), word(28, 2), word(30)
-    if packed or bits not in (1, 4, 8, 24, 32) or w <= 0 or h == 0:
+    if packed or bits not in (1, 4, 8, 24, 32) or w <= 0 or h == 0 or head < 40:
         raise MediaError("BMP form not read")
     rows, stride = abs(h), (w * bits + 31) // 32 * 4
-    raw = np.frombuffer(data, np.uint8, offset=min(start, len(data)))
-    if raw.size < stride * rows:
+    if len(data) - start < stride * rows:
         raise MediaError("short BMP body")
-    raw = raw[: stride * rows].reshape(rows, stride)
+    raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if bits >= 24:
         out = raw[:, : w * bits // 8].reshape(rows, w, bits // 8)[:, :, 2::-1]
     else:
@@ -89,10 +101,9 @@ def _bmp(data: bytes) -> np.ndarray:
             index = np.stack([raw >> 4, raw & 15], axis=2).reshape(rows, -1)[:, :w]
         else:
             index = np.unpackbits(raw, axis=1)[:, :w]
-        colours = word(46) or 1 << bits
-        table = np.frombuffer(data, np.uint8, count=min(4 * colours, len(data) - 14 - head), offset=14 + head)
-        table = table[: table.size // 4 * 4].reshape(-1, 4)[:, 2::-1]
-        if index.size and int(index.max()) >= len(table):
+        palette = data[14 + head :][: 4 * min(word(46) or 1 << bits, 1 << bits)]
+        table = np.frombuffer(palette, np.uint8, len(palette) // 4 * 4).reshape(-1, 4)[:, 2::-1]
+        if int(index.max()) >= len(table):
             raise MediaError("BMP index beyond its palette")
         grey = bool((table[:, 0] == table[:, 1]).all() and (table[:, 1] == table[:, 2]).all())
         out = table[:, 0][index] if grey else table[index]
@@ -127,34 +138,35 @@ def encode_bmp(grey: np.ndarray) -> bytes:
 
 
 def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the area that each output cell covers, from integral images.
+    """Mean of the area that each output cell covers, rounded half up, from integral images.
 
     The integral image is linear between pixel edges, so reading it at fractional
-    edges weighs partly covered pixels by their share. Rows are summed in bands.
+    edges weighs partly covered pixels by their share. Edges are fractions of
+    ``height`` and ``width``, so all sums are whole numbers and the result is exact.
+    Rows are summed in bands.
     """
     h, w = grey.shape
-    xs = np.arange(width + 1) * (w / width)
-    x0 = np.minimum(xs.astype(np.int64), w - 1)
-    xf = xs - x0
+    x0, xr = np.divmod(np.arange(width + 1) * w, width)
+    y0, yr = np.divmod(np.arange(height + 1) * h, height)
+    x1 = np.minimum(x0 + 1, w)
 
     def columns(rows: np.ndarray) -> np.ndarray:
         """Integral over x, read at the cell edges: (rows, width + 1)."""
-        run = np.zeros((rows.shape[0], w + 1), np.float64)
-        np.cumsum(rows, axis=1, out=run[:, 1:], dtype=np.float64)
-        return run[:, x0] * (1 - xf) + run[:, x0 + 1] * xf
-
-    ys = np.arange(height + 1) * (h / height)
-    at_edge, below = np.zeros((height + 1, width + 1)), np.zeros(width + 1)
-    for start in range(0, h, BAND_ROWS):
-        run = np.vstack([below[None], below + np.cumsum(columns(grey[start : start + BAND_ROWS]), axis=0)])
-        stop = start + run.shape[0] - 1
-        inside = (ys >= start) & (ys <= stop)
-        y0 = np.minimum((ys[inside] - start).astype(np.int64), run.shape[0] - 2)
-        yf = (ys[inside] - start - y0)[:, None]
-        at_edge[inside] = run[y0] * (1 - yf) + run[y0 + 1] * yf
+        run = np.zeros((rows.shape[0], w + 1), np.int64)
+        np.cumsum(rows, axis=1, out=run[:, 1:], dtype=np.int64)
+        return run[:, x0] * (width - xr) + run[:, x1] * xr
+
+    at_edge, below = np.zeros((height + 1, width + 1), np.int64), np.zeros(width + 1, np.int64)
+    band = max(1, BAND_CELLS // w)
+    for start in range(0, h, band):
+        run = np.vstack([below[None], below + np.cumsum(columns(grey[start : start + band]), axis=0)])
+        inside = (y0 >= start) & (y0 < start + len(run) - 1)
+        at, part = y0[inside] - start, yr[inside][:, None]
+        at_edge[inside] = run[at] * (height - part) + run[at + 1] * part
         below = run[-1]
+    at_edge[y0 == h] = below * height
     sums = np.diff(np.diff(at_edge, axis=0), axis=1)
-    return np.clip(np.floor(sums / (h / height * (w / width)) + 0.5), 0, 255).astype(np.uint8)
+    return ((2 * sums + h * w) // (2 * h * w)).astype(np.uint8)
 
 
 def grey_of(image: np.ndarray) -> np.ndarray:

@@ -2,10 +2,12 @@
 
 One Aho-Corasick pass finds anchors (at-signs, plus signs, digits, schemes and
 identifier cues); deterministic local parsers expand each anchor to its span and
-validate it. Each parser walks a text once, so cost is linear in its length.
+validate it. A parser either goes on where the one before it ended or looks at a
+bounded number of characters, so cost is linear in a text's length.
 
 Base kinds, leftmost and not overlapping within a kind: email, ip, card, phone.
-The method adds: url (scheme anchors), account and iban (identifier cues).
+The method adds: url (scheme anchors), account, iban and secret (identifier cues).
+Between a cue and its number may stand a few separators and words such as "number".
 
 Defined results: a null or empty text has no spans; repeated rows give repeated
 results; other columns of the input are left out.
@@ -23,12 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "account", "iban")
+KINDS = (*BASE_KINDS, "url", "account", "iban", "secret")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 ACCOUNT_CUES = ("account", "acct", "passport", "ssn", "customer id", "user id")
 IBAN_CUES = ("iban",)
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "private key", "private_key")
+#: Words that may stand between a cue and what it announces, and how many of them.
+FILLERS, MOST_FILLERS = frozenset(("number", "no", "nr", "num", "id", "is", "code", "value")), 2
+#: Longest account number and secret.
+ACCOUNT_CHARS, SECRET_CHARS = 34, 256
 
 DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") | DIGITS
@@ -37,6 +44,7 @@ LABEL = _ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 URL_STOP = frozenset(" \t\n\x0b\x0c\r\"<>")
 URL_TAIL = frozenset(".,;:!?)]}'")
+SEPARATORS, ASSIGNED, SECRET = frozenset(" :#=.\t-"), frozenset("\"'`"), _ALNUM | frozenset("_./+=~-")
 
 Span = tuple[str, int, int]
 
@@ -44,16 +52,16 @@ Span = tuple[str, int, int]
 @cache
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for word, kind in [*((d, "digit") for d in DIGITS), ("@", "at"), ("+", "plus"), *((s, "scheme") for s in SCHEMES), *((s, "account") for s in ACCOUNT_CUES), *((s, "iban") for s in IBAN_CUES)]:
+    for word, kind in [*((d, "digit") for d in DIGITS), ("@", "at"), ("+", "plus"), *((s, "scheme") for s in SCHEMES), *((s, "account") for s in ACCOUNT_CUES), *((s, "iban") for s in IBAN_CUES), *((s, "secret") for s in SECRET_CUES)]:
         for form in {word, word.upper(), word.capitalize(), word.title()}:
             a.add_word(form, (kind, len(form)))
     a.make_automaton()
     return a
 
 
-def _run(text: str, at: int, allowed: frozenset) -> int:
-    """End of the run of allowed characters that starts at ``at``."""
-    n = len(text)
+def _run(text: str, at: int, allowed: frozenset, most: int | None = None) -> int:
+    """End of the run of allowed characters that starts at ``at``, of which at most ``most`` are read."""
+    n = len(text) if most is None else min(len(text), at + most)
     while at < n and text[at] in allowed:
         at += 1
     return at
@@ -126,20 +134,34 @@ def _url(text: str, start: int, body: int) -> int | None:
     return end if end > body else None
 
 
-def _after_cue(text: str, at: int) -> int:
-    """Past the few separators between a cue and its number."""
-    stop = min(len(text), at + 8)
-    while at < stop and text[at] in " :#=.\t-":
-        at += 1
+def _after_cue(text: str, at: int, separators: frozenset = SEPARATORS) -> int:
+    """Past the few separators and words between a cue and what it announces."""
+    for _ in range(MOST_FILLERS + 1):
+        at = _run(text, at, separators, 8)
+        end = _run(text, at, _ALNUM, 8)
+        if text[at:end].lower() not in FILLERS:
+            break
+        at = end
     return at
 
 
 def _account(text: str, at: int) -> tuple[int, int] | None:
     start = _after_cue(text, at)
-    end = _run(text, start, _ALNUM | frozenset("-"))
+    end = _run(text, start, _ALNUM | {"-"}, ACCOUNT_CHARS + 1)
+    if end - start > ACCOUNT_CHARS:
+        return None
     while end > start and text[end - 1] == "-":
         end -= 1
-    return (start, end) if 6 <= end - start <= 34 and sum(c in DIGITS for c in text[start:end]) >= 5 else None
+    return (start, end) if end - start >= 6 and sum(c in DIGITS for c in text[start:end]) >= 5 else None
+
+
+def _secret(text: str, at: int) -> tuple[int, int] | None:
+    """A value of letters and digits that is assigned to the cue."""
+    start = _after_cue(text, at, SEPARATORS | ASSIGNED)
+    end = _run(text, start, SECRET, SECRET_CHARS + 1)
+    value = text[start:end]
+    good = 8 <= end - start <= SECRET_CHARS and any(c in DIGITS for c in value) and any(c in "=:" for c in text[at:start])
+    return (start, end) if good else None
 
 
 def _iban(text: str, at: int) -> tuple[int, int] | None:
@@ -154,13 +176,18 @@ def _iban(text: str, at: int) -> tuple[int, int] | None:
             end += 1
         else:
             break
+        if len(kept) == 4 and not (kept[0].isalpha() and kept[1].isalpha() and kept[2] in DIGITS and kept[3] in DIGITS):
+            return None
         if len(kept) >= 15 and (end == len(text) or text[end] not in _ALNUM):
             moved = "".join(kept[4:] + kept[:4])
-            if "".join(kept[:2]).isalpha() and int("".join(str(int(x, 36)) for x in moved)) % 97 == 1:
+            if int("".join(str(int(x, 36)) for x in moved)) % 97 == 1:
                 return start, end
     return None
 
 
+_CUED = {"account": _account, "iban": _iban, "secret": _secret}
+
+
 def find_spans(text: str | None) -> list[Span]:
     """All spans, by start, then kind as listed in KINDS."""
     if not text:
@@ -194,7 +221,7 @@ def find_spans(text: str | None) -> list[Span]:
                 out.append(("url", start, end))
                 free["url"] = end
         else:
-            found = (_account if anchor == "account" else _iban)(text, last + 1)
+            found = _CUED[anchor](text, last + 1)
             if found and found[0] >= free[anchor]:
                 out.append((anchor, *found))
                 free[anchor] = found[1]
@@ -217,7 +244,7 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long, n_spans long"
 
 
 def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,9 +256,9 @@ def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             for x in b.column(1):
                 spans = find_spans(x.as_py())
                 base = [s for s in spans if s[0] in BASE_KINDS]
-                rows.append((*(sum(s[0] == k for s in base) for k in BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
-            cells = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                rows.append((*(sum(s[0] == k for s in base) for k in BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(spans)))
+            cells = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cells, kinds, strict=True))], names=names)
 
     names = [x.split()[0] for x in FOUND.split(", ")]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -58,7 +59,8 @@ def test_area_resize_against_brute_force(shape, monkeypatch):
     grey = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
     whole = media.area_resize(grey, 8, 9)
     assert np.abs(whole - brute_area(grey, 8, 9)).max() <= 0.51
-    monkeypatch.setattr(media, "BAND_ROWS", 4)
+    assert np.array_equal(whole, np.floor(brute_area(grey, 8, 9) + 0.5 + 1e-9))
+    monkeypatch.setattr(media, "BAND_CELLS", 4 * shape[1])
     assert np.array_equal(media.area_resize(grey, 8, 9), whole)
 
 
@@ -84,6 +86,43 @@ def test_decoders_and_hash(spark):
     assert got[2]["media_error"] == "unknown media type" and got[3]["media_error"] == "null" and got[4]["media_error"] == "short Netpbm body" and got[4]["tile"] is None
 
 
+@pytest.mark.parametrize("data", [
+    b"P5 1 1 255", b"P5 1 1 255 ", b"P4\n1 1", b"P4", b"P5", b"P", b"", b"BM", b"P2 1 1 255 " + b"9" * 23, b"P2 1 1 255 x", b"P5\n" + b"1" * 5000 + b" 1\n255\n0", b"P6 99999999 99999999 255\n" + b"x" * 90,
+    b"P2 1 1 255 999", b"P5 1 1 100 \xff", b"P1 2 1 12", b"P1 1 1 ", b"P3 1 1 255 1 2", b"P5 0 1 255 x", b"P5 1 1 65536 xx",
+])
+def test_broken_images_raise_media_errors(data):
+    with pytest.raises(media.MediaError):
+        media.decode_image(data)
+
+
+def test_decoders_on_random_damage(spark):
+    """Whatever is cut, flipped or put in, an image is decoded or refused."""
+    rng = random.Random(8)
+    grey = np.arange(35, dtype=np.uint8).reshape(5, 7) * 7
+    good = [media.encode_bmp(grey), b"P5\n7 5\n255\n" + grey.tobytes(), b"P2 7 5 255 " + b" ".join(b"%d" % x for x in grey.ravel()), b"P6 7 1 250\n" + bytes(21), b"P4 9 3\n" + bytes(6), b"P1 3 1 1 0 1", b"P5 3 2 1000\n" + bytes(12)]
+    refused, rows = 0, []
+    for i in range(4000):
+        data = bytearray(rng.choice(good))
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(min(len(data), 60) if rng.random() < 0.7 else len(data)) if data else 0
+            what = rng.random()
+            if what < 0.4 and data:
+                data[at] = rng.randrange(256)
+            elif what < 0.7:
+                del data[at : at + rng.randint(1, 30)]
+            else:
+                data[at:at] = rng.choice([b"9", b"#", b" ", b"-1", b"99999", b"\xff\xff\xff\x7f"])
+        try:
+            assert media.grey_of(media.decode_image(bytes(data))).size
+        except media.MediaError:
+            refused += 1
+        if i < 300:
+            rows.append((i, data))
+    assert 500 < refused < 3900
+    got = media.decode_media(spark.createDataFrame(rows, "id int, media binary")).collect()
+    assert len(got) == 300 and all((r["tile"] is None) == (r["media_error"] is not None) for r in got)
+
+
 # --------------------------------------------------------------------- pii
 
 PATTERNS = {
@@ -127,6 +166,32 @@ def test_added_kinds_and_redaction(spark):
     assert [r["text"] for r in pii.redacted(df).orderBy("doc_id").collect()] == ["[EMAIL]", None]
 
 
+def test_cues_with_words_between_and_secrets():
+    value = lambda text: [(k, text[a:b]) for k, a, b in pii.find_spans(text)]
+    assert value("Account number: 12345678") == value("ACCOUNT No. 12345678") == [("account", "12345678")]
+    assert value("IBAN number: DE89370400440532013000") == [("iban", "DE89370400440532013000")]
+    assert value('x token = "0b96a8c8d79c4a50" y') == [("secret", "0b96a8c8d79c4a50")]
+    assert value("api_key=AB12cd34EF") == [("secret", "AB12cd34EF")] and value("a token 0b96a8c8d79c") == value("the secret: something") == []
+
+
+@pytest.mark.parametrize("cue", ["account", "ssn-", "token=", "iban ", "a@", "+1", "1.", "1 ", "http://", "api key is number ", "4-", "@"])
+def test_spans_take_linear_time(cue):
+    """A megabyte of one anchor; a parser that walks on from each of them would take hours."""
+    text = cue * (1_000_000 // len(cue))
+    began = time.process_time()
+    pii.find_spans(text)
+    assert time.process_time() - began < 20
+
+
+def test_planted_personal_data_is_found(spark):
+    """Of texts that hold an email, an address, a card, a phone or a secret by a plain pattern, all have spans."""
+    plain = [*PATTERNS.values(), r"(?i)token = \W?[0-9a-f]{40}"]
+    documents = queries.read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    planted = {r["doc_id"] for r in documents.collect() if brute_spans(r["text"]) or regex.search(plain[-1], r["text"])}
+    found = {r["doc_id"] for r in pii.personal_data(documents).where("n_spans > 0").select("doc_id").collect()}
+    assert len(planted) > 300 and planted <= found and len(found) < 1.5 * len(planted)
+
+
 def test_pii_query_over_whole_texts(spark):
     want = {}
     for r in queries.read(spark, SF, "documents").select("doc_id", "text").collect():
