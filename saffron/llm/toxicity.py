@@ -31,12 +31,13 @@ from .labelled import labelled_sample
 PER_CLASS = 4000
 SIZES = (4, 5, 6)
 BITS = 20
-#: Documents that must hold a feature, and standard errors between its shares in both classes.
-SUPPORT, TELLING = 4, 3.0
+#: Documents that must hold a feature, and standard errors between its shares in both classes:
+#: so many that fewer than one of 2 ** BITS features gets there by chance.
+SUPPORT, TELLING = 4, 5.0
 #: Added count; strength of regularisation; steps of the regression.
-ALPHA, RIDGE, STEPS = 1.0, 0.1, 300
-#: Characters that are hashed at a time.
-PIECE = 1 << 18
+ALPHA, RIDGE, STEPS = 1.0, 0.1, 200
+#: Characters that are hashed at a time, and documents that a step multiplies at a time.
+PIECE, ROWS_AT_ONCE = 1 << 18, 500
 
 _U = np.uint64
 
@@ -104,20 +105,23 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, weight:
     """Weights and bias of a weighted logistic regression, ridge on the weights, by accelerated gradient steps.
 
     ``rows`` lists the places of the features that each document holds, so the work
-    is in proportion to them.
+    is in proportion to them; ROWS_AT_ONCE documents are multiplied at a time.
     """
-    ends = np.cumsum([len(r) for r in rows])
-    starts = np.concatenate([[0], ends[:-1]])
-    place = np.concatenate(rows).astype(np.int64)
-    value = ratios[place]
-    owner = np.repeat(np.arange(len(rows)), ends - starts)
+    parts = [(at, np.concatenate(rows[at : at + ROWS_AT_ONCE]), np.array([len(r) for r in rows[at : at + ROWS_AT_ONCE]])) for at in range(0, len(rows), ROWS_AT_ONCE)]
 
     def times(beta: np.ndarray) -> np.ndarray:
-        run = np.concatenate([[0.0], np.cumsum(value * beta[place])])
-        return run[ends] - run[starts] + beta[-1]
+        out, scaled = np.empty(len(rows)), np.append(beta[:-1] * ratios, 0.0)
+        for at, place, sizes in parts:
+            run = np.concatenate([[0.0], np.cumsum(scaled[place])])
+            ends = np.cumsum(sizes)
+            out[at : at + len(sizes)] = run[ends] - run[ends - sizes]
+        return out + beta[-1]
 
     def back(err: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(place, value * err[owner], len(ratios)), err.sum())
+        out = np.zeros(len(ratios))
+        for at, place, sizes in parts:
+            out += np.bincount(place, np.repeat(err[at : at + len(sizes)], sizes), len(ratios))
+        return np.append(out * ratios, err.sum())
 
     ridge = np.append(np.full(len(ratios), RIDGE), 0.0)
     v = np.ones(len(ratios) + 1)
