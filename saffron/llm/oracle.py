@@ -40,6 +40,62 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+#: The first 128 bytes of an NPY file of 16 x 16 bytes.
+_NPY_HEAD = (b"\x93NUMPY\x01\x00\x76\x00" + b"{'descr': '|u1', 'fortran_order': False, 'shape': (16, 16), }".ljust(117) + b"\n").hex()
+
+
+def _cells(name: str, high: int, wide: int) -> str:
+    """Area means (n, i, j, mean) of ``high`` x ``wide`` cells, in whole numbers."""
+    return f"""
+{name}_x AS (
+  SELECT x, j, least({wide} * (x + 1), 64 * (j + 1)) - greatest({wide} * x, 64 * j) AS part FROM (SELECT unnest(range(64)) AS x), (SELECT unnest(range({wide})) AS j)
+), {name}_rows AS (
+  SELECT n, height, y, j, sum(v * part) AS s FROM pixels JOIN {name}_x USING (x) WHERE part > 0 GROUP BY ALL
+), {name}_y AS (
+  SELECT n, height, i, j, s * (least({high} * (y + 1), height * (i + 1)) - greatest({high} * y, height * i)) AS s
+  FROM {name}_rows JOIN (SELECT unnest(range({high})) AS i) ON {high} * (y + 1) > height * i AND {high} * y < height * (i + 1)
+), {name} AS (
+  SELECT n, i, j, CAST((2 * sum(s) + 64 * height) // (128 * height) AS BIGINT) AS mean FROM {name}_y GROUP BY n, height, i, j
+)"""
+
+
+_MEDIA = f"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(range AS BIGINT) AS byte, CAST(range AS BIGINT) AS c, 0 AS step FROM range(256)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, step + 1 FROM bits WHERE step < 8
+), crc AS MATERIALIZED (
+  SELECT byte, c AS rest FROM bits WHERE step = 8
+), raw AS (
+  SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS raw FROM documents
+), sized AS (
+  SELECT n, doc_id, octet_length(raw) AS n_bytes, CAST(greatest(1, ceil(octet_length(raw) / 64.0)) AS BIGINT) AS height, lower(hex(raw)) AS digits FROM raw
+), packed AS (
+  SELECT n, doc_id, n_bytes, height, rpad(digits, CAST(height * 128 AS INTEGER), '0') AS digits FROM sized
+), lines AS (
+  SELECT n, height, y, substr(digits, 128 * y + 1, 128) AS digits FROM (SELECT n, height, digits, unnest(range(height)) AS y FROM packed)
+), pixels AS MATERIALIZED (
+  SELECT n, height, y, x, CAST('0x' || substr(digits, 2 * x + 1, 2) AS BIGINT) AS v FROM (SELECT *, unnest(range(64)) AS x FROM lines)
+), tails AS MATERIALIZED (
+  SELECT n, x, v FROM pixels WHERE y = height - 1
+), walk AS (
+  SELECT n, 0 AS x, CAST(4294967295 AS BIGINT) AS c FROM packed
+  UNION ALL SELECT n, walk.x + 1, xor(c // 256, rest) FROM walk JOIN tails USING (n) JOIN crc ON byte = xor(c % 256, v) WHERE walk.x = tails.x
+), sums AS (
+  SELECT n, xor(c, 4294967295) AS tail_crc32 FROM walk WHERE x = 64
+), {_cells("hash", 8, 9)}, {_cells("tile", 16, 16)}, risen AS (
+  SELECT a.n, a.i, a.j, a.mean > b.mean AS up FROM hash a JOIN hash b ON a.n = b.n AND a.i = b.i AND a.j = b.j + 1
+), marks AS (
+  SELECT n, lower(string_agg(printf('%02x', v), '' ORDER BY i)) AS feature FROM (SELECT n, i, CAST(sum(CASE WHEN up THEN 1 << (8 - j) ELSE 0 END) AS INTEGER) AS v FROM risen GROUP BY n, i) GROUP BY n
+), tiles AS (
+  SELECT n, sha256(unhex('{_NPY_HEAD}' || string_agg(printf('%02x', CAST(mean AS INTEGER)), '' ORDER BY i, j))) AS tile_sha256 FROM tile GROUP BY n
+), stored AS (
+  SELECT *, lower(hex(encode('P5' || chr(10) || '64 ' || height || chr(10) || '255' || chr(10)))) || digits AS media FROM packed
+)
+SELECT doc_id, n_bytes, height * 64 AS payload_bytes, sha256(unhex(digits)) AS payload_sha256, tail_crc32, length(media) // 2 AS media_bytes, sha256(unhex(media)) AS media_sha256,
+       feature, CAST(64 AS BIGINT) AS width, height, tile_sha256
+FROM stored JOIN sums USING (n) JOIN marks USING (n) JOIN tiles USING (n)
+"""
+
 _PARTS = r"""
 WITH conv AS (
   SELECT conv_id AS pair, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
@@ -88,4 +144,23 @@ def _mask(part: str) -> str:
 
 _PAIRS = _PARTS + f"SELECT pair, first(complete) AS complete, {_part('prompt')}, {_part('chosen')}, {_part('rejected')}, {_mask('chosen')}, {_mask('rejected')} FROM parts_at GROUP BY pair"
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": _MIXING, "op7_exact_dedup": _EXACT, "op10_preference": _PREFERENCE, "op10_preference_pairs": _PAIRS}
+_NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i : words[i] || ' ' || words[i + 1])) END AS shingles FROM w
+), u AS MATERIALIZED (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS common FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM pairs WHERE 100 * common >= 80 * (na + nb - common) UNION ALL SELECT b, a FROM pairs WHERE 100 * common >= 80 * (na + nb - common)
+), reach AS (
+  SELECT doc_id, doc_id AS low FROM s UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.doc_id
+), c AS (
+  SELECT doc_id, min(low) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_media": _MEDIA, "op5_mixing": _MIXING, "op7_exact_dedup": _EXACT, "op9_near_dedup": _NEAR, "op10_preference": _PREFERENCE, "op10_preference_pairs": _PAIRS}
