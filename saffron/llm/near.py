@@ -14,7 +14,8 @@ class from its hub (its delta) is kept: two sets differ in exactly those hashes
 in which their deltas differ, so a family's other links follow from deltas, block
 by block, without texts and without a row for each pair. Buckets that still join
 different components of different families are then searched for pairs under the
-threshold: first the nearest ones of each class, then all.
+threshold: first the nearest ones of each class, then all. In families and buckets
+only what stands apart from the hub or the main component is compared with the rest.
 
 Defined results: null or empty texts have an empty set and no links; a null
 doc_id has no links and a null component; copies of a row share its class. Where one
@@ -48,7 +49,7 @@ NEAREST = 8
 #: A class belongs to its hub's family from this percentage of similarity on.
 KIN = 50
 #: Classes of a family, or of a mixed bucket, that one task compares with as many others.
-FAMILY_BLOCK, BUCKET_BLOCK = 256, 2048
+FAMILY_BLOCK, BUCKET_BLOCK = 256, 256
 #: Hashes counted at a time.
 HASH_BLOCK = 4096
 
@@ -238,72 +239,89 @@ def _spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _dealt(rows: DataFrame, key: str, size: str, others: str, member: str, block: int) -> DataFrame:
+    """Units of work (key, left, right) that compare each ``apart`` row of a group with all its rows.
+
+    ``size`` counts a group's rows and ``others`` those that are apart; the rest need no
+    comparison with each other, so rows are repeated for the apart ones only. Each block
+    of apart rows meets each block of all rows in one unit of at most about 2 * ``block``
+    rows; ``asks`` and ``answers`` tell the parts of a row in its unit.
+    """
+    lefts, rights = (F.ceil(F.col(c) / block).cast("int") for c in (others, size))
+    mine = F.pmod(F.xxhash64(member), rights).cast("int")
+    asking = F.pmod(F.xxhash64(member, F.lit(1)), lefts).cast("int")
+    unit = lambda left, right: F.struct(left.alias("left"), right.alias("right"))
+    held = F.transform(F.sequence(F.lit(0), lefts - 1), lambda left: unit(left, mine))
+    asked = F.transform(F.filter(F.sequence(F.lit(0), rights - 1), lambda right: right != mine), lambda right: unit(asking, right))
+    units = F.when(F.col("apart"), F.concat(held, asked)).otherwise(held)
+    dealt = rows.withColumns({"_unit": F.explode(units)})
+    kept = [c for c in rows.columns if c not in (size, others)]
+    left, right = F.col("_unit.left"), F.col("_unit.right")
+    dealt = dealt.select(*kept, left.alias("left"), right.alias("right"), (F.col("apart") & (asking == left)).alias("asks"), (mine == right).alias("answers"))
+    return dealt.repartition(key, "left", "right").sortWithinPartitions(key, "left", "right")
+
+
 def _family_links(stars: DataFrame, share: int) -> DataFrame:
     """Links (a, b) between the classes of a family of which one isn't linked with the hub.
 
-    A family of n classes is dealt into blocks; each pair of blocks is one unit of
-    work, so even a family that holds a third of all classes is spread over tasks.
+    A class that is linked with the hub needs no link with others that are, so each
+    class apart from the hub is compared with the whole family, block by block.
     """
     kin = stars.where("delta is not null")
-    sizes = kin.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("apart")).where("n > 1 and apart > 0")
-    blocks = F.ceil(F.col("n") / FAMILY_BLOCK).cast("int")
-    rows = join_groups(kin, sizes.select("b", "n"), "b", "n", stars.count()).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("b", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "a", "linked", "size_a", "delta")
+    sizes = kin.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("others")).where("n > 1 and others > 0")
+    rows = join_groups(kin, sizes.select("b", "n", "others"), "b", "n", stars.count())
+    rows = rows.select("b", "a", "size_a", "delta", (~F.col("linked")).alias("apart"), "n", "others")
 
     def links(t: pa.Table) -> list[tuple[int, int]]:
-        ids, linked, size, own = (t[c].to_numpy() for c in ("a", "linked", "size_a", "own"))
+        ids, size, asks, answers = (t[c].to_numpy() for c in ("a", "size_a", "asks", "answers"))
         deltas = [np.frombuffer(x.as_py(), _U) for x in t["delta"]]
         length = np.array([len(x) for x in deltas])
-        hashes, place, times = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
+        left, right = np.flatnonzero(asks), np.flatnonzero(answers)
+        _, place, times = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(ids)), length)
         shared = times[place] > 1
         column = (np.cumsum(times > 1) - 1)[place[shared]]
         row = row[shared]
-        common = np.zeros((len(ids), len(ids)), np.float32)
+        common = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         for at in range(0, int((times > 1).sum()), HASH_BLOCK):
             lo, hi = np.searchsorted(column, [at, at + HASH_BLOCK])
             held = np.zeros((len(ids), HASH_BLOCK), np.float32)
             held[row[lo:hi], column[lo:hi] - at] = 1
-            common += held @ held.T
-        apart = length[:, None] + length[None, :] - 2 * common
-        near = apart * (100 + share) <= (100 - share) * (size[:, None] + size[None, :])
-        near &= ~(linked[:, None] & linked[None, :])
-        if t["low"][0].as_py() != t["high"][0].as_py():
-            near &= own[:, None] != own[None, :]
-        x, y = np.nonzero(np.triu(near, 1))
-        return [(int(ids[i]), int(ids[j])) for i, j in _spanning(x, y)]
+            common += held[left] @ held[right].T
+        apart = length[left][:, None] + length[right][None, :] - 2 * common
+        near = apart * (100 + share) <= (100 - share) * (size[left][:, None] + size[right][None, :])
+        near &= left[:, None] != right[None, :]
+        x, y = np.nonzero(near)
+        return [(int(ids[i]), int(ids[j])) for i, j in _spanning(left[x], right[y])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["b", "low", "high"]):
+        for t in _runs(batches, ["b", "left", "right"]):
             out = links(t) if t.num_rows > 1 else []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    return rows.repartition("b", "low", "high").sortWithinPartitions("b", "low", "high").mapInArrow(run, "a long, b long")
+    return _dealt(rows, "b", "n", "others", "a", FAMILY_BLOCK).mapInArrow(run, "a long, b long")
 
 
 def _mixed_pairs(rows: DataFrame, share: int, nearest: int | None) -> DataFrame:
     """Pairs under the signature threshold, in one bucket but in different components and families.
 
-    ``rows`` holds (key, size, cls, comp, family, n_shingles, sig). Pairs whose sizes
-    rule the similarity out are left out; ``nearest`` keeps each class's nearest
-    partners. Large buckets are dealt into blocks, each pair of blocks by itself.
+    ``rows`` holds (key, size, others, cls, comp, family, n_shingles, sig, apart). Pairs whose
+    sizes rule the similarity out are left out; ``nearest`` keeps each class's nearest
+    partners. Classes of a bucket's most frequent component need no partners of it, so
+    each class apart from it is compared with the whole bucket, block by block.
     """
 
     def search(t: pa.Table) -> np.ndarray:
-        cls, comp, family, size, own = (t[c].to_numpy() for c in ("cls", "comp", "family", "n_shingles", "own"))
-        across = t["low"][0].as_py() != t["high"][0].as_py()
+        cls, comp, family, size, asks, answers = (t[c].to_numpy() for c in ("cls", "comp", "family", "n_shingles", "asks", "answers"))
         sig = np.frombuffer(b"".join(x.as_py() for x in t["sig"]), np.uint16).reshape(-1, HASHES)
+        right = np.flatnonzero(answers)
         out = []
-        for i in range(len(cls)):
-            rest = slice(0 if nearest else i + 1, len(cls))
-            near = (comp[rest] != comp[i]) & (family[rest] != family[i]) & (100 * np.minimum(size[rest], size[i]) >= share * np.maximum(size[rest], size[i]))
-            if across:
-                near &= own[rest] != own[i]
-            at = np.flatnonzero(near) + rest.start
+        for i in np.flatnonzero(asks):
+            near = (comp[right] != comp[i]) & (family[right] != family[i]) & (100 * np.minimum(size[right], size[i]) >= share * np.maximum(size[right], size[i]))
+            at = right[near]
             if len(at):
                 apart = (sig[at] != sig[i]).sum(axis=1)
                 at, apart = at[apart <= THRESHOLD], apart[apart <= THRESHOLD]
@@ -313,16 +331,13 @@ def _mixed_pairs(rows: DataFrame, share: int, nearest: int | None) -> DataFrame:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["key", "low", "high"]):
+        for t in _runs(batches, ["key", "left", "right"]):
             found = search(t)
             for at in range(0, len(found), 10_000):
                 part = found[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
-    blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "comp", "family", "n_shingles", "sig")
-    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
+    return _dealt(rows, "key", "size", "others", "cls", BUCKET_BLOCK).mapInArrow(run, "a long, b long").distinct()
 
 
 def _mixed_buckets(hits: DataFrame, classes: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
@@ -331,9 +346,12 @@ def _mixed_buckets(hits: DataFrame, classes: DataFrame, labels: DataFrame, stars
     own = classes.select("cls", "n_shingles", "sig").join(labels.withColumnRenamed("id", "cls"), "cls", "left").join(family, "cls", "left")
     own = durable(own.withColumns({"comp": F.coalesce("comp", "cls"), "family": F.coalesce("family", "cls")}), "members")
     rows = hits.join(own.select("cls", "comp", "family"), "cls")
-    differ = [F.min(c) != F.max(c) for c in ("comp", "family")]
-    mixed = rows.groupBy("key").agg((differ[0] & differ[1]).alias("mixed"), F.count(F.lit(1)).alias("size")).where("mixed").select("key", "size")
-    return rows.join(mixed, "key").join(own.select("cls", "n_shingles", "sig"), "cls").select("key", "size", "cls", "comp", "family", "n_shingles", "sig")
+    comps = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("low"), F.max("family").alias("high"))
+    most = F.max(F.struct("n", "comp"))
+    mixed = comps.groupBy("key").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps"), (F.min("low") != F.max("high")).alias("families"), most["comp"].alias("main"), (F.sum("n") - most["n"]).alias("others"))
+    mixed = mixed.where("comps > 1 and families").select("key", "size", "others", "main")
+    found = rows.join(mixed, "key").join(own.select("cls", "n_shingles", "sig"), "cls")
+    return found.select("key", "size", "others", "cls", "comp", "family", "n_shingles", "sig", (F.col("comp") != F.col("main")).alias("apart"))
 
 
 def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
@@ -344,7 +362,7 @@ def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col:
     # A class is named by its smallest id; by its digest where an id may have several sets.
     name = F.xxhash64("digest") if repeated else F.col("doc")
     classes = durable(linked.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")).withColumn("cls", name), "classes")
-    keys = index_keys(classes)
+    keys = durable(index_keys(classes), "keys")
     buckets = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     found = durable(keys.join(buckets, "key"), "hits")
     degree = found.groupBy("cls").agg(F.sum("size").alias("degree"))
