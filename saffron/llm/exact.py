@@ -1,10 +1,12 @@
 """Exact deduplication against immutable snapshots.
 
-Texts are equal when identical after each run of white space became one space.
-Digests of a new batch are grouped by themselves and screened by static
-binary-fuse filters, one for each shard of a snapshot's digests. Positives join
-the snapshot's exact buckets; what the filters turn away is new. Every row of a
-bucket with several rows is then compared byte by byte with the bucket's text.
+Texts are equal when identical after each run of white space became one space. A
+snapshot is a table of exact buckets (digest, smallest id, rows) with a static
+binary-fuse filter for each shard of its digests; ``save_snapshot`` and
+``load_snapshot`` keep it for later batches. Digests of a new batch are grouped by
+themselves and screened by the filters. Positives join the snapshot's exact buckets;
+what the filters turn away is new. Every row of a bucket with several rows is then
+compared byte by byte with the bucket's text.
 
 Defined results: a null text counts as empty; repeated rows are copies of each
 other; of equal texts the row of the smallest doc_id stays (a null doc_id counts
@@ -13,19 +15,31 @@ as larger than any other); an empty table gives no rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
 from .durable import durable
 from .skew import HOT, join_groups
 
-#: Distinct digests for each filter shard.
-SHARD = 200_000
+#: Distinct digests, of a snapshot or of a batch, for each filter shard.
+SHARD = 50_000
 #: Up to so many digests of buckets with several rows, their filter (at most 25 MB) is broadcast; beyond, rows are joined.
 FILTER_KEYS = 20_000_000
+HEAD = np.dtype([("key", "<u8"), ("shard", ">u4")])
+
+
+@dataclass
+class Snapshot:
+    """Buckets (digest, keep_id, group_size) and filters (shard, filter) of ``shards`` shards."""
+
+    buckets: DataFrame
+    filters: DataFrame
+    shards: int
 
 
 def normalised(text: Column) -> Column:
@@ -41,7 +55,7 @@ def shards(groups: DataFrame, n: int) -> DataFrame:
 
 
 def build_filters(groups: DataFrame, n: int) -> DataFrame:
-    """(shard, filter) of distinct digests; a shard holds about SHARD of them."""
+    """(shard, filter) of distinct digests dealt over ``n`` shards."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.frombuffer(b"".join(x[:8] for x in pdf["digest"]), "<u8")
@@ -50,10 +64,33 @@ def build_filters(groups: DataFrame, n: int) -> DataFrame:
     return shards(groups, n).select("shard", "digest").groupBy("shard").applyInPandas(run, "shard int, filter binary")
 
 
-def screen(batch: DataFrame, filters: DataFrame, n: int) -> DataFrame:
-    """Add ``maybe``: whether the snapshot's filter may hold the digest."""
+def snapshot_of(buckets: DataFrame, expected_batch: int = 0) -> Snapshot:
+    """A snapshot of distinct buckets; a batch of ``expected_batch`` digests gets shards of about SHARD of them, too."""
+    n = max(1, -(-max(buckets.count(), expected_batch) // SHARD))
+    return Snapshot(buckets, durable(build_filters(buckets, n), "filters"), n)
+
+
+def save_snapshot(snapshot: Snapshot, path: str) -> None:
+    """Write a snapshot's buckets, filters and number of shards below ``path``, which must not exist."""
+    snapshot.buckets.write.parquet(f"{path}/buckets")
+    snapshot.filters.withColumn("shards", F.lit(snapshot.shards)).write.parquet(f"{path}/filters")
+    snapshot.buckets.sparkSession.range(1).select(F.lit(snapshot.shards).alias("shards")).coalesce(1).write.parquet(f"{path}/shards")
+
+
+def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Snapshot(read("buckets"), read("filters").select("shard", "filter"), read("shards").first()["shards"])
+
+
+def screen(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """Add ``maybe``: whether the snapshot's filter may hold the digest.
+
+    Digests meet the filter of their shard in pieces of about SHARD, however large
+    the batch is: each filter is sent to as many places as its shard has pieces.
+    """
     columns = [c for c in batch.columns if c != "maybe"]
     schema = ", ".join(f"`{c}` {t}" for c, t in batch.select(*columns).dtypes) + ", maybe boolean"
+    pieces = max(1, -(-batch.count() // (SHARD * snapshot.shards)))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = left[columns].copy()
@@ -61,20 +98,22 @@ def screen(batch: DataFrame, filters: DataFrame, n: int) -> DataFrame:
         out["maybe"] = fuse.may_hold(right["filter"].iloc[0], keys) if len(right) else False
         return out
 
-    return shards(batch, n).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(run, schema)
+    placed = shards(batch, snapshot.shards).withColumn("piece", F.pmod(F.xxhash64("digest"), F.lit(pieces)).cast("int"))
+    filters = snapshot.filters.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return placed.groupBy("shard", "piece").cogroup(filters.groupBy("shard", "piece")).applyInPandas(run, schema)
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
+def buckets_of(rows: DataFrame) -> DataFrame:
+    """Buckets of rows (doc_id, digest)."""
     return rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
 
 
-def merge_batch(snapshot: DataFrame, batch: DataFrame, n_digests: int) -> DataFrame:
-    """Buckets (digest, keep_id, group_size) of a snapshot's buckets and a batch's."""
-    n = max(1, -(-n_digests // SHARD))
-    screened = durable(screen(batch, build_filters(snapshot, n), n), "screened")
+def merge_batch(snapshot: Snapshot, batch: DataFrame) -> DataFrame:
+    """Buckets of a snapshot and a batch's buckets together."""
+    screened = durable(screen(batch, snapshot), "screened")
     new = screened.where(~F.col("maybe")).drop("maybe")
     maybe = screened.where("maybe").drop("maybe")
-    known = snapshot.join(maybe.select("digest", F.col("keep_id").alias("_id"), F.col("group_size").alias("_n")), "digest", "full_outer")
+    known = snapshot.buckets.join(maybe.select("digest", F.col("keep_id").alias("_id"), F.col("group_size").alias("_n")), "digest", "full_outer")
     known = known.select("digest", F.least("keep_id", "_id").alias("keep_id"), (F.coalesce("group_size", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("group_size"))
     return known.unionByName(new)
 
@@ -90,7 +129,7 @@ def _filter_column(several: DataFrame, n_several: int):
     @F.pandas_udf("boolean")
     def maybe(digests: pd.Series) -> pd.Series:
         tables = by_shard.value
-        heads = np.frombuffer(b"".join(x[:12] for x in digests), np.dtype([("key", "<u8"), ("shard", ">u4")]))
+        heads = np.frombuffer(b"".join(x[:12] for x in digests), HEAD)
         shard, out = heads["shard"].astype(np.int64) % parts, np.zeros(len(heads), bool)
         for s in np.unique(shard):
             if (table := tables.get(int(s))) is not None:
@@ -105,13 +144,14 @@ def _differing(documents: DataFrame, several: DataFrame, n_rows: int, n_several:
     text = F.col(text_col)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text).alias("text"), digest(text).alias("digest"))
     maybe = _filter_column(several, n_several)
-    rows = rows if maybe is None else rows.where(maybe("digest"))
+    # Normalised and written once: the bucket's text and its members are taken from there.
+    rows = durable((rows if maybe is None else rows.where(maybe("digest"))).withColumn("row", F.monotonically_increasing_id()), "copies")
     # A bucket over a HOT-th of all rows is compared in several places.
     places = F.ceil(F.col("group_size") * HOT / F.lit(max(1, n_rows))).cast("int")
     sized = several.select("digest", "keep_id", places.alias("places"))
     hot = sized.where("places > 1").select("digest", "places")
     member = rows.join(F.broadcast(hot), "digest", "left")
-    member = member.withColumn("place", F.when(F.col("places") > 1, F.pmod(F.xxhash64("doc_id"), F.col("places"))).otherwise(0).cast("int")).drop("places")
+    member = member.withColumn("place", F.when(F.col("places") > 1, F.pmod(F.xxhash64("row"), F.col("places"))).otherwise(0).cast("int")).drop("places")
     kept = rows.join(sized, (rows["digest"] == sized["digest"]) & rows["doc_id"].eqNullSafe(sized["keep_id"])).select(rows["digest"], "places", F.col("text").alias("kept_text"))
     kept = kept.groupBy("digest").agg(F.first("places").alias("places"), F.min("kept_text").alias("kept_text"))
     kept = kept.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
@@ -127,8 +167,9 @@ def exact_groups(documents: DataFrame, in_snapshot: Column | None = None, id_col
     own = F.col(id_col).cast("long")
     in_snapshot = F.coalesce(F.pmod(F.crc32(own.cast("string").cast("binary")), F.lit(2)) == 0, F.lit(False)) if in_snapshot is None else in_snapshot
     rows = durable(documents.select(own.alias("doc_id"), digest(F.col(text_col)).alias("digest"), in_snapshot.alias("old")), "digests")
-    snapshot = durable(_buckets(rows.where("old")), "snapshot")
-    buckets = durable(merge_batch(snapshot, _buckets(rows.where(~F.col("old"))), snapshot.count()), "buckets")
+    batch = durable(buckets_of(rows.where(~F.col("old"))), "batch")
+    snapshot = snapshot_of(durable(buckets_of(rows.where("old")), "snapshot"), batch.count())
+    buckets = durable(merge_batch(snapshot, batch), "buckets")
     several = buckets.where("group_size > 1")
     n_rows, n_several = rows.count(), several.count()
     placed = join_groups(rows.drop("old"), several, "digest", "group_size", n_rows, "left")

@@ -146,6 +146,25 @@ def test_exact_groups_of_awkward_rows(spark, in_snapshot):
     assert exact.exact_groups(awkward(spark).limit(0)).count() == 0
 
 
+def test_snapshot_is_kept_for_later_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact, "SHARD", 100)
+    rows = lambda lo, hi: exact.buckets_of(spark.range(lo, hi).select(F.col("id").alias("doc_id"), exact.digest(F.concat(F.lit("text "), (F.col("id") % 700).cast("string"))).alias("digest")))
+    exact.save_snapshot(exact.snapshot_of(rows(0, 500)), str(tmp_path / "one"))
+    kept = exact.load_snapshot(spark, str(tmp_path / "one"))
+    assert kept.shards == 5 and kept.filters.count() == 5
+    screened = exact.screen(rows(300, 1000), kept)
+    assert screened.where("maybe").count() >= 500 and screened.where("not maybe").count() > 190  # 0 to 499 are held, 500 to 699 aren't
+    merged = {r["keep_id"]: r["group_size"] for r in exact.merge_batch(kept, rows(300, 1000)).collect()}
+    assert merged == {i: 1 + (i < 300) + (300 <= i < 500) for i in range(700)}
+
+
+def test_batch_against_an_empty_snapshot_is_spread(spark, monkeypatch):
+    empty = exact.snapshot_of(spark.createDataFrame([], "digest binary, keep_id long, group_size long"))
+    batch = spark.range(1_000_000).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    largest = exact.screen(batch, empty).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_if("maybe").alias("held")).collect()
+    assert sum(r["n"] for r in largest) == 1_000_000 and len(largest) > 1 and max(r["n"] for r in largest) < 600_000 and not any(r["held"] for r in largest)
+
+
 def test_exact_drop(spark):
     left = exact.drop_copies(awkward(spark))
     assert left.columns == awkward(spark).columns
