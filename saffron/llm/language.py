@@ -5,8 +5,13 @@ substring of it. A text is parsed into the longest phrases that each automaton
 knows; the language that needs the fewest phrases, weighed by the code length of
 a phrase, wins. The automata are stored as transition tables, in which a failed
 step already points at the start of the next phrase, so that many blocks of
-texts advance together as numpy vectors. Texts are parsed whole, in blocks of
-BLOCK letters; a block's end also ends a phrase.
+texts advance together as numpy vectors. Texts are parsed whole: blocks of BLOCK
+letters are parsed from their first letter all at once, and then once more from the
+phrase that the block before left open, until both parses agree.
+
+Tables of DENSE entries in all are plain arrays of states by letters; larger ones,
+of many languages or wide alphabets, keep existing transitions only, the rows of
+all states interleaved in one array.
 
 The reference text is a bounded sample: ROWS distinct labelled texts for each
 language, chosen by a hash, and REFERENCE letters of them. Each text gives an equal
@@ -35,6 +40,8 @@ ROWS, REFERENCE = 64, 24_000
 WIDER, LANGUAGES = 4, 512
 #: Letters that are parsed at a time, and blocks that advance together.
 BLOCK, LANES = 512, 4096
+#: Entries of four bytes that plain tables may take.
+DENSE = 12_000_000
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 Reference = tuple[tuple[str, int, str], ...]  # language, labelled rows, text
@@ -75,6 +82,41 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return go
 
 
+def _interleaved(go: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, target): the transition of a state by a letter, if any, is at base + letter.
+
+    Rows with several transitions are put at the first place where none of them is
+    taken; rows with one fill the gaps.
+    """
+    many = sorted((s for s in range(len(go)) if len(go[s]) > 1), key=lambda s: -len(go[s]))
+    size = 2 * width + 2 * sum(map(len, go)) + 64
+    base, owner, target = np.zeros(len(go), np.int32), np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    first = width  # all places before it are taken
+    for s in many:
+        letters = np.fromiter(go[s], np.int64, len(go[s]))
+        at = first - int(letters.min())
+        while True:
+            tries = np.arange(at, at + 256)
+            if tries[-1] + width >= len(owner):
+                owner, target = (np.concatenate([x, np.full(len(x), fill, np.int32)]) for x, fill in ((owner, -1), (target, 0)))
+            good = np.flatnonzero((owner[tries[:, None] + letters] < 0).all(axis=1) & (tries >= 0))
+            if len(good):
+                break
+            at += 256
+        base[s] = at + good[0]
+        owner[base[s] + letters] = s
+        target[base[s] + letters] = list(go[s].values())
+        while owner[first] >= 0:
+            first += 1
+    gaps = iter(np.flatnonzero(owner[width:] < 0) + width)
+    for s, out in enumerate(go):
+        if len(out) == 1:
+            (letter, to), = out.items()
+            at = next(gaps)
+            base[s], owner[at], target[at] = at - letter, s, to
+    return base, owner, target
+
+
 class Tables:
     """Transition tables of all languages over one alphabet."""
 
@@ -83,43 +125,98 @@ class Tables:
         self.names = [r[0] for r in kept]
         letters = sorted({c for r in kept for c in r[2]})
         self.width = len(letters) + 1  # 0: a letter that no reference has
-        self.code = np.zeros(0x110000, np.uint16)
+        self.code = np.zeros(0x110000, np.int32)
         self.code[[ord(c) for c in letters]] = np.arange(1, self.width)
-        self.steps, self.bits = [], []
-        for _, _, text in kept:
-            go = suffix_automaton(self.code[[ord(c) for c in text]].tolist())
-            root = np.zeros(self.width, np.int32)
-            root[list(go[0])] = list(go[0].values())
-            # Next state times 4, plus the phrases that the step ends. A failed step ends the
-            # open phrase and starts one with the letter at hand; a letter that the language
-            # lacks is a phrase by itself.
-            lacking = root == 0
-            failed = root * 4 + 1
-            failed[lacking] = 2
+        self.bits = [np.log2(max(2, len(text))) for _, _, text in kept]
+        dense = 2 * sum(len(r[2]) for r in kept) * self.width <= DENSE
+        self.steps = [self._step(suffix_automaton(self.code[[ord(c) for c in text]].tolist()), dense) for _, _, text in kept]
+
+    def _step(self, go: list[dict[int, int]], dense: bool):
+        """A function of states and letters: next state times 4, plus the phrases that the step ends.
+
+        A failed step ends the open phrase and starts one with the letter at hand; a letter
+        that the language lacks is a phrase by itself.
+        """
+        root = np.zeros(self.width, np.int32)
+        root[list(go[0])] = list(go[0].values())
+        failed = root * 4 + 1
+        failed[root == 0] = 2
+        if dense:
             table = np.repeat(failed[None], len(go), axis=0)
             for state, out in enumerate(go):
                 if out:
                     table[state, list(out)] = np.fromiter(out.values(), np.int32, len(out)) * 4
-            table[0] = root * 4
-            table[0, lacking] = 1
-            self.steps.append(table.ravel())
-            self.bits.append(np.log2(max(2, len(text))))
-
-    def phrases(self, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each block (columns of letter codes) for each language."""
-        out = np.zeros((len(self.steps), blocks.shape[1]), np.int64)
+            table[0, root == 0] = 1
+            flat, width = table.ravel(), self.width
+            return lambda state, letter: flat[state * width + letter]
+        base, owner, target = _interleaved(go, self.width)
+        target *= 4
+
+        def step(state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+            at = base[state] + letter
+            return np.where(owner[at] == state, target[at], failed[letter] - (state == 0))
+
+        return step
+
+    def phrases(self, blocks: np.ndarray, lengths: np.ndarray, joined: np.ndarray, carry: list[int], goes_on: bool = False) -> np.ndarray:
+        """Phrases that end in each block (columns of letter codes), for each language.
+
+        ``joined`` tells the blocks that go on where the one before ended, ``goes_on`` whether
+        a later call does so; ``carry`` holds the states in which the last block of the call
+        before ended, and then those of this one.
+        """
+        n = blocks.shape[1]
+        out = np.zeros((len(self.steps), n), np.int64)
         order = np.argsort(-lengths, kind="stable")
-        blocks = np.ascontiguousarray(blocks[:, order])
+        sorted_blocks = np.ascontiguousarray(blocks[:, order])
         running = np.searchsorted(-lengths[order], -np.arange(1, blocks.shape[0] + 1), side="right")
-        for k, table in enumerate(self.steps):
-            state, count = np.zeros(blocks.shape[1], np.int32), np.zeros(blocks.shape[1], np.int32)
-            for row, n in zip(blocks, running, strict=True):
-                if not n:
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        # After each letter: the state, and the phrases ended so far, by ``place``.
+        states, counts = (np.zeros(blocks.shape, np.int32) for _ in range(2))
+        last = lengths - 1, place
+        for k, step in enumerate(self.steps):
+            state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+            for i, m in enumerate(running):
+                if not m:
                     break
-                step = table[state[:n] * self.width + row[:n]]
-                count[:n] += step & 3
-                state[:n] = step >> 2
-            out[k, order] = count + (state > 0)
+                ended = step(state[:m], sorted_blocks[i, :m])
+                count[:m] += ended & 3
+                state[:m] = ended >> 2
+                states[i], counts[i] = state, count
+            ends, totals = states[last], counts[last].astype(np.int64)
+            end, total = ends.copy(), totals.copy()
+            before = np.concatenate([[carry[k]], end[:-1]])
+            todo = np.flatnonzero(joined & (before > 0))
+            while len(todo):
+                lane, state = todo, before[todo]
+                count = np.zeros(len(todo), np.int64)
+                moved = []
+                for i in range(blocks.shape[0]):
+                    ended = step(state, blocks[i, lane])
+                    count, state = count + (ended & 3), ended >> 2
+                    agree = state == states[i, place[lane]]
+                    over = ~agree & (lengths[lane] == i + 1)
+                    at = lane[agree]
+                    total[at] = count[agree] + totals[at] - counts[i, place[at]]
+                    moved.append((at, ends[at]))
+                    total[lane[over]] = count[over]
+                    moved.append((lane[over], state[over]))
+                    on = ~(agree | over)
+                    lane, state, count = lane[on], state[on], count[on]
+                    if not len(lane):
+                        break
+                at, new = (np.concatenate(x) for x in zip(*moved, strict=True))
+                changed = at[new != end[at]]
+                end[at] = new
+                todo = np.sort(changed + 1)
+                todo = todo[todo < n]
+                todo = todo[joined[todo]]
+                before = np.concatenate([[carry[k]], end[:-1]])
+            carry[k] = int(end[-1])
+            # A text's last block also ends the open phrase.
+            closing = ~np.append(joined[1:], goes_on)
+            out[k] = total + (closing & (end > 0))
         return out
 
 
@@ -143,11 +240,12 @@ def classify(texts: list[str | None], reference: Reference) -> list[tuple[str, f
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * BLOCK
     length = np.minimum(BLOCK, np.repeat(sizes, pieces) - nth * BLOCK)
-    total = np.zeros((len(t.names), len(rows)), np.int64)
+    total, joined = np.zeros((len(t.names), len(rows)), np.int64), nth > 0
+    carry = [0] * len(t.names)
     padded = np.concatenate([flat, np.zeros(BLOCK, flat.dtype)])
     for at in range(0, len(owner), LANES):
         lanes = slice(at, at + LANES)
-        found = t.phrases(padded[start[lanes][None, :] + np.arange(BLOCK)[:, None]], length[lanes])
+        found = t.phrases(padded[start[lanes][None, :] + np.arange(BLOCK)[:, None]], length[lanes], joined[lanes], carry, bool(joined[at + LANES : at + LANES + 1].any()))
         for k in range(len(t.names)):
             total[k] += np.bincount(owner[lanes], weights=found[k], minlength=len(rows)).astype(np.int64)
     cost = total * np.array(t.bits)[:, None] / sizes  # bits a letter
@@ -222,11 +320,13 @@ def learn(labelled: DataFrame, rows: int = ROWS, letters: int = REFERENCE, text_
 def languages(documents: DataFrame, reference: Reference, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of each whole text."""
 
+    shared = documents.sparkSession.sparkContext.broadcast(reference)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                found = classify(part.column(1).to_pylist(), reference)
+                found = classify(part.column(1).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -216,16 +216,37 @@ def brute_phrases(text, reference):
     return n
 
 
-def test_phrases_against_brute_force():
+@pytest.mark.parametrize("dense", [True, False])
+def test_phrases_against_brute_force(monkeypatch, dense):
+    """Whole texts of many blocks, over few lanes, so that phrases cross blocks and calls."""
+    monkeypatch.setattr(language, "DENSE", language.DENSE if dense else 0)
+    monkeypatch.setattr(language, "BLOCK", 16)
+    monkeypatch.setattr(language, "LANES", 5)
     rng = random.Random(3)
-    reference = (("aa", 3, "".join(rng.choice("abcd ") for _ in range(400))), ("bb", 5, "".join(rng.choice("abef ") for _ in range(300))))
-    tables = language.tables(reference)
-    for _ in range(30):
-        text = "".join(rng.choice("abcdefz ") for _ in range(rng.randint(1, language.BLOCK)))
-        codes = tables.code[[ord(c) for c in text]]
-        block = np.zeros((language.BLOCK, 1), np.uint16)
-        block[: len(codes), 0] = codes
-        assert tables.phrases(block, np.array([len(codes)]))[:, 0].tolist() == [brute_phrases(text, dict((r[0], r[2]) for r in reference)[n]) for n in tables.names]
+    # The second language is one long word over and over: parses from different places agree late.
+    reference = (("aa", 3, "".join(rng.choice("abcd ") for _ in range(400))), ("bb", 5, "abcdeabcde" * 30), ("cc", 4, "".join(rng.choice("abef ") for _ in range(300))))
+    tables = language.tables.__wrapped__(reference)
+    monkeypatch.setattr(language, "tables", lambda _: tables)
+    by_name = {r[0]: r[2] for r in reference}
+    texts = ["".join(rng.choice(rng.choice(["abcdefz ", "abcde"])) for _ in range(rng.choice([1, 7, 16, 17, 90, 600]))) for _ in range(60)] + ["abcde" * 40, "eabcd" * 33 + "z", "z" * 50]
+    texts = [t if t.strip() else "a" for t in texts]
+    got = language.classify(texts, reference)
+    for text, (name, score) in zip(texts, got, strict=True):
+        cost = {n: brute_phrases(language.plain(text), by_name[n]) * np.log2(len(by_name[n])) / len(language.plain(text)) for n in tables.names}
+        best = min(tables.names, key=lambda n: cost[n])
+        assert name == best and score == pytest.approx(1 / sum(2.0 ** (-8 * (c - cost[best])) for c in cost.values())), text
+
+
+def test_sparse_tables_of_many_wide_languages_are_small(monkeypatch):
+    """Twenty languages of 3,000 letters each: plain tables would take gigabytes."""
+    rng = random.Random(11)
+    reference = tuple((f"l{k:02}", 9, "".join(chr(0x3400 + 1500 * k + int(3000 * rng.random() ** 3)) for _ in range(6000))) for k in range(20))
+    tables = language.Tables(reference)
+    used = sum(x.cell_contents.nbytes for step in tables.steps for x in step.__closure__ if isinstance(x.cell_contents, np.ndarray))
+    assert used < 60 << 20 and tables.width > 25_000  # a quarter of the letters of the real size
+    for k in (0, 7, 19):
+        text = reference[k][2][100:160]
+        assert language.classify([text], reference)[0][0] == f"l{k:02}"
 
 
 def test_language_held_out_and_awkward(spark):
