@@ -33,8 +33,8 @@ def numeric(waste: str, demand: str) -> list[str]:
 
 
 def labelled(rows: DataFrame, train_before: str) -> DataFrame:
-    """Label 1 from the exact 75th percentile of positive waste in the training weeks on."""
-    cut = rows.where((F.col("target_week") < F.lit(train_before).cast("date")) & (F.col("next_waste") > 0)).agg(F.percentile("next_waste", F.lit(0.75)).alias("cut"))
+    """Label 1 from the 75th percentile of positive waste in the training weeks on, by a sketch of bounded size."""
+    cut = rows.where((F.col("target_week") < F.lit(train_before).cast("date")) & (F.col("next_waste") > 0)).agg(F.percentile_approx("next_waste", 0.75, 100_000).alias("cut"))
     return rows.crossJoin(F.broadcast(cut)).withColumn("label", F.coalesce((F.col("next_waste") >= F.col("cut")).cast("int"), F.lit(0)))
 
 
@@ -90,7 +90,7 @@ def fit(panel: DataFrame, entity: list[str], at: str, waste: str, demand: str, t
 
 
 def disengagement_model(labels: DataFrame, split: float = 0.75) -> DataFrame:
-    """One row of held-out metrics of a balanced logistic regression on customer-months, split by month."""
+    """One row: held-out rows, those of label 1, and metrics of a balanced logistic regression on customer-months, split by month."""
     names = ["orders", "spend", "visit_days", "promo_share", "category_count"]
     rows = labels.select("month", "label", *(F.col(c).cast("double").alias(c) for c in names))
     numbered = rows.withColumn("month_no", F.regexp_replace("month", "-", "").cast("int"))
@@ -106,6 +106,7 @@ def disengagement_model(labels: DataFrame, split: float = 0.75) -> DataFrame:
         hit, pos = F.col("prediction") == 1, F.col("label") == 1
         n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
         out = with_rates(scored.agg(n(hit & pos).alias("tp"), n(hit & ~pos).alias("fp"), n(~hit & pos).alias("fn"), n(~hit & ~pos).alias("tn"))).first()
-        return labels.sparkSession.createDataFrame([(out["precision"], out["recall"], out["f1"], auc)], "precision double, recall double, f1 double, roc_auc double")
+        n_all, positives = sum(out[k] for k in ("tp", "fp", "fn", "tn")), out["tp"] + out["fn"]
+        return labels.sparkSession.createDataFrame([(n_all, positives, out["precision"], out["recall"], out["f1"], auc)], "n long, positives long, precision double, recall double, f1 double, roc_auc double")
     finally:
         marked.unpersist()

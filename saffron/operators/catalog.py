@@ -17,7 +17,11 @@ class ReportCatalog:
     default: int = 500
 
     def view(self, mart: str, equals: dict[str, str] | None = None, contains: dict[str, str] | None = None, between: dict[str, tuple] | None = None, sort: str | None = None, descending: bool = False, limit: int | None = None) -> DataFrame:
-        """Rows of a mart. Text compares without regard to case; descending puts nulls first."""
+        """Rows of a mart. Text compares without regard to case; descending puts nulls first.
+
+        Rows come in the order of ``sort`` and then of all columns, so a limit takes the
+        same rows each time.
+        """
         if mart not in self.marts:
             raise KeyError(mart)
         df = self.marts[mart]
@@ -30,9 +34,9 @@ class ReportCatalog:
             df = df.where(F.contains(F.lower(F.col(c).cast("string")), F.lit(str(v).lower())))
         for c, (lo, hi) in (between or {}).items():
             df = df.where(F.col(c).between(lo, hi))
-        if sort:
-            df = df.orderBy(F.desc_nulls_first(sort) if descending else F.asc_nulls_last(sort))
-        return df.limit(limit)
+        first = [F.desc_nulls_first(sort) if descending else F.asc_nulls_last(sort)] if sort else []
+        rest = [F.asc_nulls_last(c) for c, kind in df.dtypes if c != sort and not kind.startswith(("map", "variant"))]
+        return df.orderBy(*first, *rest).limit(limit)
 
     def closest(self, mart: str, column: str, text: str, least: float = 0.66) -> DataFrame:
         """Values of a column that are similar to a text, by edit distance over length."""

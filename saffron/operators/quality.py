@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import TABLE_ORDER, TABLES
@@ -71,6 +71,20 @@ def ingestion_profile(df: DataFrame, table: str, expected_rows: int | None = Non
     return rows.withColumns({"expected_rows": F.lit(expected_rows).cast("long"), "schema_equal": F.lit(same)})
 
 
+def issue_summary(validated: Validated) -> DataFrame:
+    """(table, rule, action, about, rows, share): what each rule of a table set aside, repaired or collapsed.
+
+    The machine-readable policy of a table beside what it did to the rows read; every
+    rule stands, also without a row.
+    """
+    policy = contracts.catalog(validated.source_rows.sparkSession).where(F.col("table") == validated.table)
+    copies = validated.rows.agg(F.coalesce(F.sum("_copies"), F.lit(0)).cast("long").alias("rows")).select(F.lit("exact_duplicate").alias("rule"), "rows")
+    done = validated.rule_counts().unionByName(validated.repair_counts()).unionByName(copies)
+    total = validated.source_rows.agg(F.count(F.lit(1)).alias("_all"))
+    rows = F.coalesce("rows", F.lit(0).cast("long"))
+    return policy.join(F.broadcast(done), "rule", "left").crossJoin(F.broadcast(total)).select("table", "rule", "action", "about", rows.alias("rows"), F.try_divide(rows, "_all").alias("share"))
+
+
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows whose present reference has no parent."""
     keys = parent.select(F.col(parent_key).alias("_parent")).distinct()
@@ -101,20 +115,29 @@ class Repair:
     rule: str
     concerns: Column
     sets: dict[str, Column]
+    needs: frozenset[str] = frozenset()
 
 
 def null_where(column: str, bad: Column) -> dict[str, Column]:
     return {column: F.when(F.coalesce(bad, F.lit(False)), None).otherwise(F.col(column))}
 
 
-def repairs(table: str) -> list[Repair]:
-    """Steps in order; each sees the values that the ones before it left."""
+def repairs(table: str, columns: list[str] | None = None) -> list[Repair]:
+    """Steps in order; each sees the values that the ones before it left.
+
+    A step that sets nothing only counts what stays missing. ``columns`` limits the steps
+    to those whose columns are there.
+    """
     c = F.col
+    if columns is not None:
+        return [s for s in repairs(table) if s.needs <= set(columns)]
     if table == "customers":
         return [Repair("fill_missing_city", c("city").isNull(), {"city": F.coalesce("city", F.lit("Unknown"))})]
     if table == "orders":
         over = c("discount_amount") > c("subtotal")
+        at = "order_datetime"
         return [
+            Repair("null_invalid_date", c(at).isNotNull() & c(at).try_cast("timestamp").isNull(), {at: F.when(c(at).try_cast("timestamp").isNotNull(), c(at))}),
             Repair("fill_missing_channel", c("ordering_channel").isNull(), {"ordering_channel": F.coalesce("ordering_channel", F.lit("Unknown"))}),
             Repair("null_negative_discount", c("discount_amount") < 0, null_where("discount_amount", c("discount_amount") < 0)),
             Repair("null_excessive_discount", over, null_where("discount_amount", over)),
@@ -131,7 +154,10 @@ def repairs(table: str) -> list[Repair]:
             Repair("recompute_line_total", known & (F.abs(c("line_total") - due) > TOLERANCE), {"line_total": F.when(known, F.round(due, 2))}),
         ]
     if table == "ratings":
-        return [Repair(f"null_out_of_range_{x}", ~c(x).between(1, 5), null_where(x, ~c(x).between(1, 5))) for x in TABLES[table].within_1_to_5]
+        ranged = [Repair(f"null_out_of_range_{x}", ~c(x).between(1, 5), null_where(x, ~c(x).between(1, 5)), frozenset({x})) for x in TABLES[table].within_1_to_5]
+        return [*ranged, Repair("retain_missing_food_rating", c("food_rating").isNull(), {})]
+    if table == "menu_items":
+        return [Repair("retain_missing_base_price", c("base_price").isNull(), {})]
     if table == "wastage":
         return [Repair("null_negative_wastage", c("quantity_wasted") < 0, null_where("quantity_wasted", c("quantity_wasted") < 0))]
     return []
@@ -142,7 +168,7 @@ def repaired(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
 
     A step's concern is kept as a flag beside the row, so one scan counts them all.
     """
-    steps, key = repairs(table), TABLES[table].key
+    steps, key = repairs(table, df.columns), TABLES[table].key
     rows = df.dropDuplicates([key])
     for i, step in enumerate(steps):
         rows = rows.withColumn(f"_step_{i}", F.coalesce(step.concerns, F.lit(False))).withColumns(step.sets)
@@ -223,7 +249,13 @@ def validate(source: DataFrame, table: str, parents: dict[str, DataFrame]) -> Va
         source = source if c in source.columns else source.withColumn(c, F.lit(None).cast("string"))
     distinct = source.groupBy(*names, "_corrupt_record").agg(F.min("_source_file").alias("_source_file"), (F.count(F.lit(1)) - 1).alias("_copies"))
     raw = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    keyed = distinct.withColumns({"_raw_record": raw, "_key_variants": F.count(F.lit(1)).over(Window.partitionBy(t.key))})
+    distinct = distinct.withColumn("_raw_record", raw)
+    # Only keys that stand on several rows are joined. Rows without a key have no variants
+    # to count; a hash of the row keeps them apart, so they spread over tasks.
+    blank = F.length(F.trim(F.coalesce(F.col(t.key), F.lit("")))) == 0
+    own = F.when(blank, F.concat(F.lit("\0"), F.md5(F.col("_raw_record").cast("binary")))).otherwise(F.col(t.key))
+    several = distinct.where(~blank).groupBy(F.col(t.key).alias("_variant_of")).agg(F.count(F.lit(1)).alias("_key_variants")).where("_key_variants > 1")
+    keyed = distinct.withColumn("_variant_of", own).join(several, "_variant_of", "left")
     token = {c: F.when(F.length(F.trim(F.col(c))) > 0, F.trim(F.col(c))) for c in names}
     present = keyed.withColumns({f"_present_{c}": token[c].isNotNull() for c in names})
     typed = present.withColumns({f.name: token[f.name].try_cast(f.dataType) if f.dataType.simpleString() != "string" else F.when(F.length(F.trim(F.col(f.name))) > 0, F.col(f.name)) for f in t.schema})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import personal_columns
+
 
 def _row(df: DataFrame, name: str, expected, found) -> DataFrame:
     out = df.select(F.lit(name).alias("check"), expected.cast("long").alias("expected"), found.cast("long").alias("found"))
@@ -38,12 +40,35 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), column)
 
 
-def mart_checks(menu: DataFrame, profitability: DataFrame, by_location: DataFrame, rules: DataFrame, least_pairs: int) -> DataFrame:
+def among(df: DataFrame, column: str, allowed: tuple[str, ...], name: str) -> DataFrame:
+    """No value but those allowed."""
+    return _row(df.agg(F.count(F.when(~F.coalesce(F.col(column).isin(*allowed), F.lit(False)), 1)).alias("other")), name, F.lit(0), F.col("other"))
+
+
+def dense_ranks(df: DataFrame, value: str, rank: str, name: str) -> DataFrame:
+    """As many ranks as distinct values, and the last rank is their number."""
+    return _row(df.agg(F.countDistinct(value).alias("values"), F.max(rank).alias("last")), name, F.col("values"), F.col("last"))
+
+
+def no_personal_columns(marts: dict[str, DataFrame], name: str) -> DataFrame:
+    """No mart carries a name, email, phone or address of a person."""
+    found = sum(bool(personal_columns(df)) for df in marts.values())
+    return _row(next(iter(marts.values())).sparkSession.range(1), name, F.lit(0), F.lit(found))
+
+
+CLASSES = ("Insufficient history", "Insufficient cost data", "Low Performer", "Profit Driver", "Volume Driver", "Hidden Opportunity")
+
+
+def mart_checks(menu: DataFrame, profitability: DataFrame, by_location: DataFrame, rules: DataFrame, least_pairs: int, ranked: DataFrame | None = None) -> DataFrame:
     """The standing invariants of the gap marts."""
     parts = [
         same_rows(menu, profitability, "every catalogue item"), unique_key(profitability, ["menu_item_id"], "one row an item"),
         unique_key(by_location, ["restaurant_id", "menu_item_id"], "one row a place and item"), at_least(rules, "pair_count", least_pairs, "rules reach the pair threshold"),
+        among(profitability, "performance_class", CLASSES, "known classes"), unique_key(rules, ["item_a", "item_b"], "one row a pair"),
+        no_personal_columns({"profitability": profitability.drop("item_name", "category_name"), "by_location": by_location.drop("item_name"), "rules": rules}, "no personal columns"),
     ]
+    if ranked is not None:
+        parts += [dense_ranks(ranked, "wastage_cost", "risk_rank", "dense risk ranks"), unique_key(ranked, ["restaurant_id", "menu_item_id"], "one rank a place and item")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -164,6 +164,24 @@ def inject(tables: dict[str, DataFrame], seed: int = 42) -> tuple[dict[str, Data
     return dirty, manifest
 
 
+def observed(dirty: dict[str, DataFrame]) -> DataFrame:
+    """(table, issue, rows) that one pass over each spoilt table finds: the declared defects and exact copies."""
+    parts = []
+    for name, df in dirty.items():
+        each = df.groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("_copies"))
+        signs = {}
+        for table, issue, _, sets in DEFECTS:
+            if table == name:
+                (column, value), = sets.items()
+                signs[issue] = F.col(column).eqNullSafe(F.expr(value))
+        found = each.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("copy"), *(F.count_if(x).alias(i) for i, x in signs.items()))
+        parts.append(found.select(F.explode(F.array(*(F.struct(F.lit(name).alias("table"), F.lit(i).alias("issue"), F.col(i).alias("rows")) for i in ("copy", *signs)))).alias("x")).select("x.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def reconcile(manifest: DataFrame, observed: DataFrame) -> DataFrame:
     """Declared against observed (table, issue, rows), with the difference."""
     both = manifest.join(observed.withColumnRenamed("rows", "observed"), ["table", "issue"], "full")

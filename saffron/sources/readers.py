@@ -20,12 +20,11 @@ def source_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Every column as the text of the source, with ``_corrupt_record`` and ``_source_file``.
 
     A header that differs from the schema fails. Malformed rows are only seen when
-    the CSV parser reads all columns, so its column pruning is turned off.
+    the CSV parser reads all columns, so this scan turns its column pruning off.
     """
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     fields = [T.StructField(f.name, T.StringType()) for f in TABLES[table].schema]
     schema = T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", enforceSchema=False, multiLine=True).csv(path)
+    rows = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", enforceSchema=False, multiLine=True, columnPruning=False).csv(path)
     return rows.withColumn("_source_file", F.col("_metadata.file_path"))
 
 

@@ -6,14 +6,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-_KINDS = {"s": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType(), "b": T.BooleanType(), "date": T.DateType(), "ts": T.TimestampType()}
-
 
 @dataclass(frozen=True)
 class Table:
-    """Columns (the first is the primary key) and the row contract of one table."""
+    """Columns with their Spark types (the first is the primary key), and the row contract of one table."""
 
-    columns: str
+    columns: dict[str, str]
     required: tuple[str, ...] = ()
     parents: dict[str, str] = field(default_factory=dict)
     domains: dict[str, tuple[str, ...]] = field(default_factory=dict)
@@ -26,74 +24,77 @@ class Table:
 
     @property
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(n, _KINDS[k], True) for n, k in (c.split(":") for c in self.columns.split())])
+        out = T.StructType()
+        for name, kind in self.columns.items():
+            out = out.add(name, kind)
+        return out
 
     @property
     def key(self) -> str:
-        return self.columns.split(":", 1)[0]
+        return next(iter(self.columns))
 
 
 # Names, types, allowed values and rules of the domain's tables.
 CHANNELS = ("Dine-In", "Takeaway", "Mobile App", "Website", "Delivery Partner")
 TABLES: dict[str, Table] = {
     "customers": Table(
-        "customer_id:s customer_name:s gender:s age:i city:s signup_date:date customer_segment:s preferred_channel:s loyalty_points:i is_churned:b last_order_date:date",
+        {"customer_id": "string", "customer_name": "string", "gender": "string", "age": "integer", "city": "string", "signup_date": "date", "customer_segment": "string", "preferred_channel": "string", "loyalty_points": "integer", "is_churned": "boolean", "last_order_date": "date"},
         required=("customer_id", "signup_date"),
         domains={"gender": ("Female", "Male", "Other"), "customer_segment": ("New", "Regular", "Loyal", "High Value", "Occasional"), "preferred_channel": CHANNELS},
         nonnegative=("age", "loyalty_points"), date_order=("signup_date", "last_order_date"), fill_unknown="city",
     ),
     "restaurants": Table(
-        "restaurant_id:s restaurant_name:s city:s area:s opening_date:date seating_capacity:i location_type:s is_active:b",
+        {"restaurant_id": "string", "restaurant_name": "string", "city": "string", "area": "string", "opening_date": "date", "seating_capacity": "integer", "location_type": "string", "is_active": "boolean"},
         required=("restaurant_id", "opening_date"),
         domains={"city": ("Karachi", "Lahore", "Islamabad", "Rawalpindi", "Faisalabad", "Multan"), "location_type": ("High Street", "Mall", "Commercial", "Residential")},
         nonnegative=("seating_capacity",),
     ),
     "menu_categories": Table(
-        "category_id:s category_name:s description:s is_active:b",
+        {"category_id": "string", "category_name": "string", "description": "string", "is_active": "boolean"},
         required=("category_id", "category_name"),
         domains={"category_name": ("Burgers", "Pizza", "Pakistani", "BBQ", "Beverages", "Desserts", "Chinese", "Fast Food", "Breakfast", "Salads", "Pasta", "Seafood", "Sandwiches", "Rice", "Coffee & Tea")},
     ),
     "menu_items": Table(
-        "menu_item_id:s category_id:s item_name:s base_price:d cost_price:d preparation_time_min:i is_vegetarian:b is_available:b launch_date:date",
+        {"menu_item_id": "string", "category_id": "string", "item_name": "string", "base_price": "double", "cost_price": "double", "preparation_time_min": "integer", "is_vegetarian": "boolean", "is_available": "boolean", "launch_date": "date"},
         required=("menu_item_id", "category_id", "launch_date"), parents={"category_id": "menu_categories"},
         positive=("base_price", "cost_price", "preparation_time_min"),
     ),
     "promotions": Table(
-        "promotion_id:s promotion_name:s promotion_type:s discount_type:s discount_value:d start_date:date end_date:date minimum_order_value:d channel:s is_active:b",
+        {"promotion_id": "string", "promotion_name": "string", "promotion_type": "string", "discount_type": "string", "discount_value": "double", "start_date": "date", "end_date": "date", "minimum_order_value": "double", "channel": "string", "is_active": "boolean"},
         required=("promotion_id", "discount_type", "discount_value", "start_date", "end_date", "minimum_order_value"),
         domains={"promotion_type": ("Seasonal", "Acquisition", "Retention", "Flash Sale", "Bundle"), "discount_type": ("Percentage", "Fixed"), "channel": (*CHANNELS, "All")},
         nonnegative=("discount_value", "minimum_order_value"), date_order=("start_date", "end_date"),
     ),
     "orders": Table(
-        "order_id:s customer_id:s restaurant_id:s promotion_id:s order_datetime:ts ordering_channel:s order_status:s subtotal:d discount_amount:d tax_amount:d delivery_fee:d final_amount:d payment_method:s",
+        {"order_id": "string", "customer_id": "string", "restaurant_id": "string", "promotion_id": "string", "order_datetime": "timestamp", "ordering_channel": "string", "order_status": "string", "subtotal": "double", "discount_amount": "double", "tax_amount": "double", "delivery_fee": "double", "final_amount": "double", "payment_method": "string"},
         required=("order_id", "customer_id", "restaurant_id", "order_datetime", "order_status", "subtotal", "discount_amount", "tax_amount", "delivery_fee", "final_amount"),
         parents={"customer_id": "customers", "restaurant_id": "restaurants", "promotion_id": "promotions"},
         domains={"ordering_channel": CHANNELS, "order_status": ("Completed", "Cancelled", "Refunded"), "payment_method": ("Cash", "Card", "Mobile Wallet", "Bank Transfer")},
         nonnegative=("subtotal", "discount_amount", "tax_amount", "delivery_fee", "final_amount"), fill_unknown="ordering_channel",
     ),
     "order_items": Table(
-        "order_item_id:s order_id:s menu_item_id:s quantity:i unit_price:d item_discount:d line_total:d special_request:s",
+        {"order_item_id": "string", "order_id": "string", "menu_item_id": "string", "quantity": "integer", "unit_price": "double", "item_discount": "double", "line_total": "double", "special_request": "string"},
         required=("order_item_id", "order_id", "menu_item_id", "quantity", "unit_price", "item_discount"), parents={"order_id": "orders", "menu_item_id": "menu_items"},
         positive=("quantity", "unit_price"), nonnegative=("item_discount",), derived=("line_total", "quantity * unit_price - item_discount"),
     ),
     "pricing_history": Table(
-        "price_history_id:s menu_item_id:s restaurant_id:s old_price:d new_price:d effective_from:date effective_to:date change_reason:s",
+        {"price_history_id": "string", "menu_item_id": "string", "restaurant_id": "string", "old_price": "double", "new_price": "double", "effective_from": "date", "effective_to": "date", "change_reason": "string"},
         required=("price_history_id", "menu_item_id", "restaurant_id", "old_price", "new_price", "effective_from"), parents={"menu_item_id": "menu_items", "restaurant_id": "restaurants"},
         domains={"change_reason": ("Inflation", "Supplier Cost", "Seasonal Adjustment", "Promotion End", "Menu Review")}, positive=("old_price", "new_price"), date_order=("effective_from", "effective_to"),
     ),
     "ratings": Table(
-        "rating_id:s order_id:s customer_id:s restaurant_id:s rating:i food_rating:d service_rating:d delivery_rating:d review_text:s rating_date:date",
+        {"rating_id": "string", "order_id": "string", "customer_id": "string", "restaurant_id": "string", "rating": "integer", "food_rating": "double", "service_rating": "double", "delivery_rating": "double", "review_text": "string", "rating_date": "date"},
         required=("rating_id", "order_id", "customer_id", "restaurant_id", "rating_date"), parents={"order_id": "orders", "customer_id": "customers", "restaurant_id": "restaurants"},
         within_1_to_5=("rating", "food_rating", "service_rating", "delivery_rating"),
     ),
     "inventory": Table(
-        "inventory_id:s restaurant_id:s menu_item_id:s record_date:date opening_stock:i stock_received:i stock_used:i closing_stock:i reorder_level:i stock_status:s",
+        {"inventory_id": "string", "restaurant_id": "string", "menu_item_id": "string", "record_date": "date", "opening_stock": "integer", "stock_received": "integer", "stock_used": "integer", "closing_stock": "integer", "reorder_level": "integer", "stock_status": "string"},
         required=("inventory_id", "restaurant_id", "menu_item_id", "record_date", "opening_stock", "stock_received", "stock_used", "closing_stock", "reorder_level"),
         parents={"restaurant_id": "restaurants", "menu_item_id": "menu_items"}, domains={"stock_status": ("Low", "Normal")},
         nonnegative=("opening_stock", "stock_received", "stock_used", "closing_stock", "reorder_level"),
     ),
     "wastage": Table(
-        "wastage_id:s restaurant_id:s menu_item_id:s wastage_date:date quantity_wasted:d unit_cost:d wastage_cost:d reason:s",
+        {"wastage_id": "string", "restaurant_id": "string", "menu_item_id": "string", "wastage_date": "date", "quantity_wasted": "double", "unit_cost": "double", "wastage_cost": "double", "reason": "string"},
         required=("wastage_id", "restaurant_id", "menu_item_id", "wastage_date", "quantity_wasted", "unit_cost"), parents={"restaurant_id": "restaurants", "menu_item_id": "menu_items"},
         domains={"reason": ("Expired", "Overproduction", "Damaged", "Preparation Error", "Unsold")}, nonnegative=("quantity_wasted", "unit_cost"), derived=("wastage_cost", "quantity_wasted * unit_cost"),
     ),
