@@ -6,23 +6,11 @@ back, so a lost executor costs no recomputation of what was written.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is set (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="saffron-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
-
-
-def app_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/saffron-{spark.sparkContext.applicationId}"
+from ..sources.shared import shared_dir as app_dir
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

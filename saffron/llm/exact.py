@@ -118,9 +118,12 @@ def merge_batch(snapshot: Snapshot, batch: DataFrame) -> DataFrame:
     return known.unionByName(new)
 
 
-def _filter_column(several: DataFrame, n_several: int):
-    """A function of a digest column: may it be in ``several``; None where the filter is too large to broadcast."""
-    if n_several > FILTER_KEYS:
+def _filter_column(several: DataFrame, n_several: int, n_rows: int):
+    """A function of a digest column: may it be in ``several``; None where the filter is too large to broadcast.
+
+    Buckets with several rows are at most half as many as rows, so it never holds all documents.
+    """
+    if n_several > FILTER_KEYS or 2 * n_several > n_rows:
         return None
     spark = several.sparkSession
     parts = max(1, -(-n_several // SHARD))
@@ -143,7 +146,7 @@ def _differing(documents: DataFrame, several: DataFrame, n_rows: int, n_several:
     """Rows (doc_id, digest, text) whose bytes differ from their bucket's text."""
     text = F.col(text_col)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text).alias("text"), digest(text).alias("digest"))
-    maybe = _filter_column(several, n_several)
+    maybe = _filter_column(several, n_several, n_rows)
     # Normalised and written once: the bucket's text and its members are taken from there.
     rows = durable((rows if maybe is None else rows.where(maybe("digest"))).withColumn("row", F.monotonically_increasing_id()), "copies")
     # A bucket over a HOT-th of all rows is compared in several places.
@@ -192,7 +195,8 @@ def drop_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     an equal text, one stays. Only texts that the filter of buckets with several
     rows lets through are shuffled.
     """
-    groups = durable(exact_groups(documents, None, id_col, text_col), "groups").where("group_size > 1")
+    every = durable(exact_groups(documents, None, id_col, text_col), "groups")
+    groups = every.where("group_size > 1")
     gone = groups.where("not kept").select(F.unhex("text_sha256").alias("_digest"), F.col("doc_id").alias("_id")).distinct()
     several = durable(groups.select(F.unhex("text_sha256").alias("digest")).distinct(), "several")
     n = several.count()
@@ -200,7 +204,7 @@ def drop_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = documents.select(F.struct("*").alias("_row"), digest(F.col(text_col)).alias("_digest"), F.col(id_col).cast("long").alias("_id"))
     if not n:
         return documents
-    maybe = _filter_column(several, n)
+    maybe = _filter_column(several, n, every.count())
     if maybe is None:
         sure, unsure = None, rows
     else:

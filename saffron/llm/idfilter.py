@@ -14,9 +14,13 @@ SHARD = 200_003
 MOST = 20_000_000
 
 
-def id_filter(ids: DataFrame, column: str, n: int):
-    """A function of an id column: may the id be among ``ids``; None where the filter is too large to broadcast."""
-    if n > MOST:
+def id_filter(ids: DataFrame, column: str, n: int, total: int):
+    """A function of an id column: may the id be among the ``n`` ids; None where the filter is too large.
+
+    It is used for at most MOST ids and half of ``total`` documents: beyond that it would
+    keep most rows anyway, and fingerprints of all documents stay off the driver.
+    """
+    if n > MOST or 2 * n > total:
         return None
     parts = 2 * (n // SHARD // 2) + 1
 
@@ -42,10 +46,10 @@ def id_filter(ids: DataFrame, column: str, n: int):
     return maybe
 
 
-def without_ids(documents: DataFrame, ids: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
+def without_ids(documents: DataFrame, ids: DataFrame, n: int, total: int, id_col: str = "doc_id") -> DataFrame:
     """Documents whose id is not in the one column of ``ids``; rows that the filter clears stay where they are."""
     gone = ids.toDF("_gone")
-    maybe = id_filter(gone, "_gone", n)
+    maybe = id_filter(gone, "_gone", n, total)
     drop = lambda rows: rows.join(gone, rows[id_col].cast("long") == gone["_gone"], "left_anti")
     if maybe is None:
         return drop(documents)

@@ -49,9 +49,9 @@ NEAREST = 8
 #: A class belongs to its hub's family from this percentage of similarity on.
 KIN = 50
 #: Classes of a family, or of a mixed bucket, that one task compares with as many others.
-FAMILY_BLOCK, BUCKET_BLOCK = 256, 256
-#: Hashes counted at a time.
-HASH_BLOCK = 4096
+FAMILY_BLOCK, BUCKET_BLOCK = 128, 512
+#: Hashes counted at a time, and bytes whose words are hashed at a time.
+HASH_BLOCK, PIECE = 4096, 1 << 17
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -73,9 +73,29 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(256)
 
 
+def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """The bytes in pieces of about PIECE, cut where white space begins."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE)
+        while end < len(raw):
+            space = np.flatnonzero(_SPACE[raw[end : end + 4096]])
+            if len(space):
+                end += int(space[0])
+                break
+            end = min(len(raw), end + 4096)
+        yield raw[at:end]
+        at = end
+
+
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the words of a text, A-Z lower-cased."""
-    raw = _LOWER[np.frombuffer(text.encode(), np.uint8)]
+    found = [_word_hashes(x) for x in _pieces(np.frombuffer(text.encode(), np.uint8))]
+    return np.concatenate(found) if found else np.zeros(0, _U)
+
+
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
+    raw = _LOWER[raw]
     word = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     if not len(edge):
@@ -153,7 +173,7 @@ def index_keys(classes: DataFrame) -> DataFrame:
 PAIR = "a long, b long, linked boolean, size_a long, delta binary"
 
 
-def _judged(documents: DataFrame, pairs: DataFrame, classes: DataFrame, repeated: bool, words: int, share: int, id_col: str, text_col: str) -> DataFrame:
+def _judged(documents: DataFrame, total: int, pairs: DataFrame, classes: DataFrame, repeated: bool, words: int, share: int, id_col: str, text_col: str) -> DataFrame:
     """Each pair (a, b) judged on full sets: linked if 100 * intersection >= share * union.
 
     Pairs of at least KIN percent also get the hashes that only one of the sets has.
@@ -168,7 +188,7 @@ def _judged(documents: DataFrame, pairs: DataFrame, classes: DataFrame, repeated
         pairs = pairs.withColumns({"id_a": F.col("a"), "id_b": F.col("b")} | {c: F.lit(None).cast("binary") for c in ("digest_a", "digest_b")})
     ids = durable(pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct(), "ids")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    maybe = id_filter(ids, "id", ids.count())
+    maybe = id_filter(ids, "id", ids.count(), total)
     texts = texts if maybe is None else texts.where(maybe("id"))
     one = pairs.join(texts.toDF("id_a", "text_a"), "id_a")
     both = one.join(texts.toDF("id_b", "text_b"), "id_b").select("a", "b", "digest_a", "digest_b", "text_a", "text_b")
@@ -357,6 +377,7 @@ def _mixed_buckets(hits: DataFrame, classes: DataFrame, labels: DataFrame, stars
 def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """(doc_id, n_shingles, digest, component_id, kept) of each row, and whether some id stands on several rows."""
     rows = durable(signatures(documents, words, id_col, text_col), "signatures")
+    total = rows.count()
     linked = rows.where("n_shingles > 0 and doc_id is not null")
     repeated = not linked.groupBy("doc_id").count().where("count > 1").isEmpty()
     # A class is named by its smallest id; by its digest where an id may have several sets.
@@ -371,7 +392,7 @@ def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col:
     hits = ranked.select("key", "cls")
     shared = hits.join(hub, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("times"))
     best = shared.groupBy("cls").agg(F.min(F.struct((-F.col("times")).alias("fewer"), "hub"))["hub"].alias("hub"))
-    judge = lambda pairs, name: durable(_judged(documents, pairs, classes, repeated, words, share, id_col, text_col), name)
+    judge = lambda pairs, name: durable(_judged(documents, total, pairs, classes, repeated, words, share, id_col, text_col), name)
     stars = judge(best.toDF("a", "b"), "stars")
     links = stars.where("linked").select("a", "b").unionByName(durable(_family_links(stars, share), "family-links"))
     labels = components(links)
@@ -387,11 +408,10 @@ def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col:
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
-    return _labelled(rows, classes, labels, repeated), repeated
+    return _labelled(rows, total, classes, labels, repeated), repeated
 
 
-def _labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame, repeated: bool) -> DataFrame:
-    total = rows.count()
+def _labelled(rows: DataFrame, total: int, classes: DataFrame, labels: DataFrame, repeated: bool) -> DataFrame:
     comp = classes.join(labels, classes["cls"] == labels["id"], "left").select("digest", "n", "doc", F.coalesce("comp", "cls").alias("comp"))
     if repeated:
         comp = durable(comp, "named")
@@ -415,7 +435,8 @@ def drop_near_copies(documents: DataFrame, words: int = 5, share: int = 80, id_c
     if repeated:
         groups = durable(groups.where("doc_id is not null").select("doc_id", "digest", "kept"), "rows")
     gone = durable(groups.where("not kept").select("doc_id").distinct(), "near-copies")
-    left = without_ids(documents, gone, gone.count(), id_col)
+    total = documents.count()
+    left = without_ids(documents, gone, gone.count(), total, id_col)
     if not repeated:
         return left
     # Of an id with copies and others among its rows, the others come back.
@@ -427,7 +448,7 @@ def drop_near_copies(documents: DataFrame, words: int = 5, share: int = 80, id_c
     def digest_of(texts: pd.Series) -> pd.Series:
         return pd.Series([set_digest(shingles(t, words)) for t in texts], dtype=object)
 
-    maybe = id_filter(mixed.select(F.col("doc_id").alias("id")), "id", mixed.count())
+    maybe = id_filter(mixed.select(F.col("doc_id").alias("id")), "id", mixed.count(), total)
     some = documents if maybe is None else documents.where(maybe(F.col(id_col).cast("long")))
     some = some.withColumns({"_near_id": F.col(id_col).cast("long"), "_near_set": digest_of(F.col(text_col).cast("string"))})
     back = some.join(mixed.toDF("_near_id", "_near_set"), ["_near_id", "_near_set"], "left_semi").select(*documents.columns)

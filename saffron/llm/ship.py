@@ -14,7 +14,7 @@ from .durable import app_dir
 
 _SENT: set[str] = set()
 #: Rows and bytes of text that Spark hands to a Python worker at a time.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

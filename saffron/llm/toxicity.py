@@ -37,7 +37,7 @@ SUPPORT, TELLING = 4, 5.0
 #: Added count; strength of regularisation; steps of the regression.
 ALPHA, RIDGE, STEPS = 1.0, 0.1, 200
 #: Characters that are hashed at a time, and documents that a step multiplies at a time.
-PIECE, ROWS_AT_ONCE = 1 << 18, 500
+PIECE, ROWS_AT_ONCE = 1 << 16, 500
 
 _U = np.uint64
 
@@ -56,10 +56,10 @@ def _grams(points: np.ndarray) -> Iterator[np.ndarray]:
 
 def grams(text: str | None, table: np.ndarray | None = None) -> np.ndarray:
     """Distinct features of a whole text; with ``table`` its entries that aren't negative."""
-    points = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le"), np.uint32)
+    padded = f" {(text or '').lower()} "
     found = []
-    for at in range(0, len(points), PIECE):
-        for h in _grams(points[at : at + PIECE + max(SIZES) - 1]):
+    for at in range(0, len(padded), PIECE):
+        for h in _grams(np.frombuffer(padded[at : at + PIECE + max(SIZES) - 1].encode("utf-32-le"), np.uint32)):
             if table is not None:
                 h = table[h]
                 h = h[h >= 0]
@@ -82,12 +82,13 @@ def _counts(sample: DataFrame) -> DataFrame:
     """(feature, neg, pos): documents of each class that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 1 << BITS), np.int64)
+        held = np.zeros((2, 1 << BITS), np.int32)
         for b in batches:
             for y, x in zip(b.column("label").to_pylist(), b.column("text"), strict=True):
                 held[y, grams(x.as_py())] += 1
-        at = np.flatnonzero(held.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[0, at]), pa.array(held[1, at])], names=["feature", "neg", "pos"])
+        every = np.flatnonzero(held.any(axis=0))
+        for at in np.split(every, range(1 << 15, len(every), 1 << 15)):
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(held[y, at].astype(np.int64)) for y in (0, 1))], names=["feature", "neg", "pos"])
 
     parts = sample.select("label", "text").mapInArrow(run, "feature long, neg long, pos long")
     return parts.groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
@@ -184,7 +185,12 @@ def toxicity(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents whose text isn't toxic, with the input's columns; no row moves."""
+    """The documents whose text isn't toxic, with the input's columns; no row moves.
+
+    A model that learned no feature tells no texts apart, so it rejects none.
+    """
+    if not len(model.weights):
+        return documents
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

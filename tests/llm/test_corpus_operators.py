@@ -218,6 +218,15 @@ def brute_components(rows, k, share=80):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
+def test_words_are_hashed_alike_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("aBé \t\n漢") for _ in range(n)) for n in (0, 1, 50, 3000)] + ["x" * 9000, " " * 9000, "word " * 3000]
+    whole = [near.word_hashes(t) for t in texts]
+    monkeypatch.setattr(near, "PIECE", 7)
+    for t, want in zip(texts, whole, strict=True):
+        assert np.array_equal(near.word_hashes(t), want) and len(want) == len(words_of(t))
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_groups_against_all_pairs(spark, k):
     documents = queries.read(spark, SF, "documents").select("doc_id", "text")
