@@ -49,7 +49,7 @@ NEAREST = 8
 #: A class belongs to its hub's family from this percentage of similarity on.
 KIN = 50
 #: Classes of a family, or of a mixed bucket, that one task compares with as many others.
-FAMILY_BLOCK, BUCKET_BLOCK = 128, 512
+FAMILY_BLOCK, BUCKET_BLOCK = 128, 1024
 #: Hashes counted at a time, and bytes whose words are hashed at a time.
 HASH_BLOCK, PIECE = 4096, 1 << 17
 
@@ -331,14 +331,15 @@ def _mixed_pairs(rows: DataFrame, share: int, nearest: int | None) -> DataFrame:
     ``rows`` holds (key, size, others, cls, comp, family, n_shingles, sig, apart). Pairs whose
     sizes rule the similarity out are left out; ``nearest`` keeps each class's nearest
     partners. Classes of a bucket's most frequent component need no partners of it, so
-    each class apart from it is compared with the whole bucket, block by block.
+    each class apart from it is compared with the whole bucket, block by block. A row
+    (key, null) tells a bucket of which ``nearest`` left partners out.
     """
 
-    def search(t: pa.Table) -> np.ndarray:
+    def search(t: pa.Table) -> tuple[np.ndarray, bool]:
         cls, comp, family, size, asks, answers = (t[c].to_numpy() for c in ("cls", "comp", "family", "n_shingles", "asks", "answers"))
         sig = np.frombuffer(b"".join(x.as_py() for x in t["sig"]), np.uint16).reshape(-1, HASHES)
         right = np.flatnonzero(answers)
-        out = []
+        out, left_out = [], False
         for i in np.flatnonzero(asks):
             near = (comp[right] != comp[i]) & (family[right] != family[i]) & (100 * np.minimum(size[right], size[i]) >= share * np.maximum(size[right], size[i]))
             at = right[near]
@@ -346,16 +347,18 @@ def _mixed_pairs(rows: DataFrame, share: int, nearest: int | None) -> DataFrame:
                 apart = (sig[at] != sig[i]).sum(axis=1)
                 at, apart = at[apart <= THRESHOLD], apart[apart <= THRESHOLD]
                 if nearest and len(at) > nearest:
-                    at = at[np.argsort(apart, kind="stable")[:nearest]]
+                    at, left_out = at[np.argsort(apart, kind="stable")[:nearest]], True
                 out.append(np.stack([np.minimum(cls[at], cls[i]), np.maximum(cls[at], cls[i])], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), left_out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["key", "left", "right"]):
-            found = search(t)
+            found, left_out = search(t)
             for at in range(0, len(found), 10_000):
                 part = found[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+            if left_out:
+                yield pa.RecordBatch.from_arrays([t["key"].combine_chunks()[:1], pa.array([None], pa.int64())], names=["a", "b"])
 
     return _dealt(rows, "key", "size", "others", "cls", BUCKET_BLOCK).mapInArrow(run, "a long, b long").distinct()
 
@@ -398,7 +401,10 @@ def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col:
     labels = components(links)
     tried = stars.select("a", "b")
     for nearest in (NEAREST, None):
-        offered = _mixed_pairs(_mixed_buckets(hits, classes, labels, stars), share, nearest)
+        found = durable(_mixed_pairs(_mixed_buckets(hits, classes, labels, stars), share, nearest), "found")
+        # Only buckets of which partners were left out are searched again.
+        hits = hits.join(found.where("b is null").select(F.col("a").alias("key")), "key", "left_semi")
+        offered = found.where("b is not null")
         seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = durable(offered.join(seen, ["a", "b"], "left_anti"), "offered")
         if new.isEmpty():
