@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 ROWS, REFERENCE = 64, 24_000
 #: Shares of the letters that a text may give; languages that can be learned.
 WIDER, LANGUAGES = 4, 512
-#: Letters that are parsed at a time, and blocks that advance together.
-BLOCK, LANES = 512, 4096
+#: Letters that are parsed at a time, blocks that advance together, and texts whose blocks do.
+BLOCK, LANES, TEXTS = 512, 4096, 1024
 #: Entries of four bytes that plain tables may take.
 DENSE = 12_000_000
 _LETTER = regex.compile(r"\p{L}")
@@ -324,8 +324,8 @@ def languages(documents: DataFrame, reference: Reference, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
                 found = classify(part.column(1).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
