@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, language, media, mixing, near, pii, preference, toxicity
+from . import align, bpe, exact, infill, language, media, mixing, near, pii, preference, shards, toxicity
 from . import quality as quality_votes
 from .ship import ship
 
@@ -74,6 +74,19 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.pair_digests(op10_preference(spark, sf_dir))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(infill.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(read(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.sharded(read(spark, sf_dir, "documents"), shards.SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def shipped(query: Query) -> Query:
     """The query, after workers can import this package."""
 
@@ -84,4 +97,4 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_media, op2_pii, op3_language, op4_bpe, op5_mixing, op6_quality, op7_exact_dedup, op8_toxicity, op9_near_dedup, op10_preference, op10_preference_pairs)}
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_media, op2_pii, op3_language, op4_bpe, op5_mixing, op6_quality, op7_exact_dedup, op8_toxicity, op9_near_dedup, op10_preference, op10_preference_pairs, op11_infill, op12_alignment, op13_sharding)}
