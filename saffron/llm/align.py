@@ -3,7 +3,8 @@
 Both encode the same bytes. The transducer reads tokens of either side and holds
 which side leads and the bytes by which it does; the side behind gives the next
 token. Where the residual is empty both sides end at one byte and a group of tokens
-closes. Transitions are memoised by residual and next token, in each worker.
+closes. Transitions are memoised by residual and next token, in each worker; of the
+empty residual, where most groups are one token of either side, by both tokens at once.
 
 All occurrence pairs inside a group are links. A document gives its different id
 pairs with how often each is linked; counts of documents for every pair are one
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ from .bpe import byte_letters
 from .durable import durable
 from .skew import join_groups
 
-#: Transitions that a worker keeps.
-MEMO = 1 << 20
+#: Transitions, and pairs of first tokens, that a worker keeps; links of a group that are counted one by one.
+MEMO, FIRSTS, FEW = 1 << 18, 1 << 18, 64
 #: Id pairs (20 bytes each) up to which their table is broadcast; beyond, only frequent ones are.
 BROADCAST_PAIRS = 400_000
 #: Bits of a B id in the number of an id pair.
@@ -81,6 +81,7 @@ class Transducer:
         self.memo: dict[int, int] = {}
         self.state: dict[tuple[int, bytes], int] = {}
         self.held: dict[int, bytes] = {0: b""}
+        self.firsts: dict[int, str] = {}
 
     def _number(self, leader: int, residual: bytes) -> int:
         if not residual:
@@ -101,17 +102,11 @@ class Transducer:
             raise ValueError("the sides spell different bytes")
         return self._number(reader, new[len(residual) :])
 
-    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        """After how many tokens of A and of B each group closes."""
-        if len(self.memo) > MEMO:
-            self._clear()
-        get, memo, step = self.memo.get, self.memo, self._step
-        state = i = j = 0
-        n, out_a, out_b = len(a), [], []
+    def _group(self, a: list[int], b: list[int], i: int, j: int) -> tuple[int, int]:
+        """Where the group that opens at token ``i`` of A and ``j`` of B closes."""
+        get, memo, state = self.memo.get, self.memo, 0
         while True:
             if not state or state & 1:
-                if i == n:
-                    break
                 key = state << SHIFT | a[i]
                 i += 1
             else:
@@ -119,11 +114,40 @@ class Transducer:
                 j += 1
             state = get(key)
             if state is None:
-                state = memo[key] = step(key >> SHIFT, key & (1 << SHIFT) - 1)
+                state = memo[key] = self._step(key >> SHIFT, key & (1 << SHIFT) - 1)
             if not state:
-                out_a.append(i)
-                out_b.append(j)
-        return out_a, out_b
+                return i, j
+
+    def groups(self, a: list[int], b: list[int]) -> tuple[list[str], list[int], list[tuple[list[int], list[int]]]]:
+        """Each group as ``a1,a2|b1,b2`` (decimal ids), the id pairs (a << SHIFT | b) of all links, and groups of over FEW links apart."""
+        if len(self.memo) > MEMO or len(self.firsts) > FIRSTS:
+            self._clear()
+        out: list[str] = []
+        pairs: list[int] = []
+        long: list[tuple[list[int], list[int]]] = []
+        firsts, get, say, link = self.firsts, self.firsts.get, out.append, pairs.append
+        i = j = 0
+        n = len(a)
+        while i < n:
+            pair = a[i] << SHIFT | b[j]
+            said = get(pair)
+            if said is None:
+                said = firsts[pair] = f"{a[i]}|{b[j]}" if self.bytes[0][a[i]] == self.bytes[1][b[j]] else ""
+            if said:
+                say(said)
+                link(pair)
+                i += 1
+                j += 1
+                continue
+            k, m = self._group(a, b, i, j)
+            x, y = a[i:k], b[j:m]
+            say(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+            if len(x) * len(y) > FEW:
+                long.append((x, y))
+            else:
+                pairs += [v << SHIFT | w for v in x for w in y]
+            i, j = k, m
+        return out, pairs, long
 
 
 class Aligner:
@@ -132,15 +156,26 @@ class Aligner:
         self.encode_b, self.b_bytes = piece_side(b_path)
         self.transducer = Transducer(self.a_bytes, self.b_bytes)
 
-    def align(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
-        """Ids of A and B of space + text, and the ends of their groups; all empty without tokens."""
+    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
+        """Ids of A and B of space + text; none where they don't spell it alike."""
         if not text:
-            return [], [], [], []
-        spelled = (" " + text).encode()
-        a, b = self.encode_a(" " + text), self.encode_b(text)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != spelled or b"".join(map(self.b_bytes.__getitem__, b)) != spelled:
-            return [], [], [], []
-        return a, b, *self.transducer.ends(a, b)
+            return [], []
+        b = self.encode_b(text)
+        if b"".join([self.b_bytes[x] for x in b]) != (" " + text).encode():  # A spells any text
+            return [], []
+        return self.encode_a(" " + text), b
+
+    def measure(self, text: str | None) -> tuple[int, int, int, int, str, dict[int, int]]:
+        """Numbers of tokens, groups and links, the groups as text, and the links of each id pair."""
+        a, b = self.tokens(text)
+        groups, pairs, long = self.transducer.groups(a, b)
+        links, count = len(pairs), Counter(pairs)
+        for x, y in long:  # by different ids, of which a long group has few
+            links += len(x) * len(y)
+            for v, s in Counter(x).items():
+                for w, t in Counter(y).items():
+                    count[v << SHIFT | w] += s * t
+        return len(a), len(b), len(groups), links, ";".join(groups), count
 
 
 def default_paths() -> tuple[str, str, str]:
@@ -157,40 +192,14 @@ def aligner(a_path: str | None = None, a_pattern: str | None = None, b_path: str
     return Aligner(a_path or own[0], a_pattern or own[1], b_path or own[2])
 
 
-def spelled_groups(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids in order."""
-    left, right, out, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
-    for k, m in zip(ends_a, ends_b, strict=True):
-        out.append(f"{left[i]}|{right[j]}" if k == i + 1 and m == j + 1 else f"{','.join(left[i:k])}|{','.join(right[j:m])}")
-        i, j = k, m
-    return ";".join(out)
-
-
-def linked_pairs(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Different id pairs (a << SHIFT | b) that share a group, how many links each has, and all links."""
-    if not ends_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64), 0
-    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-    stop_a, stop_b = np.array(ends_a), np.array(ends_b)
-    n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
-    single = (n_a == 1) & (n_b == 1)
-    pairs, times = np.unique(ids_a[stop_a[single] - 1] << SHIFT | ids_b[stop_b[single] - 1], return_counts=True)
-    many: Counter[int] = Counter()
-    for k in np.flatnonzero(~single):
-        x, y = a[stop_a[k] - n_a[k] : stop_a[k]], b[stop_b[k] - n_b[k] : stop_b[k]]
-        if len(x) * len(y) <= 64:
-            many.update([i << SHIFT | j for i in x for j in y])
-        else:  # by different ids, so a long group of few ids gives few pairs
-            for i, s in Counter(x).items():
-                for j, t in Counter(y).items():
-                    many[i << SHIFT | j] += s * t
-    if many:
-        other = np.fromiter(many.keys(), np.int64, len(many)), np.fromiter(many.values(), np.int64, len(many))
-        pairs, at = np.unique(np.concatenate([pairs, other[0]]), return_inverse=True)
-        summed = np.zeros(len(pairs), np.int64)
-        np.add.at(summed, at, np.concatenate([times, other[1]]))
-        times = summed
-    return pairs, times, int((n_a * n_b).sum())
+def spans(spelled: str, own: Aligner) -> list[dict]:
+    """The groups of a text as ids, each with the byte at which it ends."""
+    out, stop = [], 0
+    for group in spelled.split(";") if spelled else []:
+        a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
+        stop += sum(len(own.a_bytes[x]) for x in a)
+        out.append({"a": a, "b": b, "stop": stop})
+    return out
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
@@ -207,13 +216,10 @@ def aligned(documents: DataFrame, a_path: str | None = None, a_pattern: str | No
         for batch in batches:
             cells: list[list] = [[] for _ in range(7 + groups)]
             for text in batch.column(1):
-                got = own.align(text.as_py())
-                pairs, times, links = linked_pairs(*got)
-                digest = hashlib.sha256(spelled_groups(*got).encode()).hexdigest() if got[0] else ""
-                row = [len(got[0]), len(got[1]), len(got[2]), links, digest, pairs, times]
+                *numbers, spelled, pairs = own.measure(text.as_py())
+                row = [*numbers, hashlib.sha256(spelled.encode()).hexdigest() if spelled else "", list(pairs), list(pairs.values())]
                 if groups:
-                    stops = np.cumsum([len(own.a_bytes[x]) for x in got[0]])
-                    row.append([{"a": got[0][i:k], "b": got[1][j:m], "stop": int(stops[k - 1])} for i, k, j, m in zip([0, *got[2]], got[2], [0, *got[3]], got[3], strict=False)])
+                    row.append(spans(spelled, own))
                 for cell, value in zip(cells, row, strict=True):
                     cell.append(value)
             kinds = [*[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int64())] * 2, kind]

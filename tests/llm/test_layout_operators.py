@@ -152,12 +152,13 @@ def test_groups_themselves(spark):
 
 
 def test_transducer_forgets_and_refuses(monkeypatch):
-    t = align.Transducer({1: b"ab", 2: b"c", 3: b"x"}, {1: b"a", 2: b"bc"})
-    assert t.ends([1, 2], [1, 2]) == ([2], [2])
+    t = align.Transducer({1: b"ab", 2: b"c", 3: b"x"}, {1: b"a", 2: b"bc", 3: b"x"})
+    assert t.groups([1, 2, 3], [1, 2, 3]) == (["1,2|1,2", "3|3"], [1 << align.SHIFT | 1, 1 << align.SHIFT | 2, 2 << align.SHIFT | 1, 2 << align.SHIFT | 2, 3 << align.SHIFT | 3], [])
     monkeypatch.setattr(align, "MEMO", 0)
-    assert t.ends([1, 2, 1, 2], [1, 2, 1, 2]) == ([2, 4], [2, 4])
+    monkeypatch.setattr(align, "FEW", 3)
+    assert t.groups([1, 2, 1, 2], [1, 2, 1, 2]) == (["1,2|1,2"] * 2, [], [([1, 2], [1, 2])] * 2)
     with pytest.raises(ValueError, match="different bytes"):
-        t.ends([3], [1])
+        t.groups([3], [1])
 
 
 # --------------------------------------------------------------------- sharding
