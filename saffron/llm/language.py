@@ -16,7 +16,8 @@ all states interleaved in one array.
 The reference text is a bounded sample: ROWS distinct labelled texts for each
 language, chosen by a hash, and REFERENCE letters of them. Each text gives an equal
 share, from a place in it that the hash chooses; what short texts lack, longer ones
-add, up to WIDER shares. More than LANGUAGES labelled languages are an error.
+add, up to WIDER shares. All labelled languages are learned; beyond LANGUAGES of them
+each gets fewer letters, LEAST at least, so the reference as a whole keeps its size.
 
 Defined results: ``und`` with score 0 if text is null or has no letter, or if
 nothing was learned; ties go to the language with more labelled rows, then by
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 
 #: Distinct labelled texts and letters of reference text for each language.
 ROWS, REFERENCE = 64, 24_000
-#: Shares of the letters that a text may give; languages that can be learned.
-WIDER, LANGUAGES = 4, 512
+#: Shares of the letters that a text may give; languages that get all REFERENCE letters; letters of any.
+WIDER, LANGUAGES, LEAST = 4, 512, 256
 #: Letters that are parsed at a time, blocks that advance together, and texts whose blocks do.
 BLOCK, LANES, TEXTS = 512, 4096, 1024
 #: Entries of four bytes that plain tables may take.
@@ -263,13 +264,12 @@ def learn(labelled: DataFrame, rows: int = ROWS, letters: int = REFERENCE, text_
     Of each language the texts of smallest hash are taken, however many copies they
     have. A count of distinct hashes by their bit length gives the bit length up to
     which a language has enough of them, so about twice as many as wanted are read.
-    Raises ValueError beyond LANGUAGES languages.
     """
     hashed = F.when(F.col(text_col).rlike(r"\p{L}"), F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2))
     known = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), hashed.alias("h"))
     levels = known.groupBy("lang", "h").count().groupBy("lang", F.length(F.bin("h")).alias("bits")).agg(F.sum("count").alias("rows"), F.count("h").alias("texts"))
     # A language has at most 63 bit lengths, one of them null.
-    found = levels.limit(63 * LANGUAGES + 1).collect()
+    found = levels.collect()
     counts: dict[str, int] = {}
     held: dict[str, int] = {}
     below: dict[str, int] = {}
@@ -278,10 +278,9 @@ def learn(labelled: DataFrame, rows: int = ROWS, letters: int = REFERENCE, text_
         if r["texts"] and held.get(r["lang"], 0) < rows:
             held[r["lang"]] = held.get(r["lang"], 0) + r["texts"]
             below[r["lang"]] = 1 << r["bits"]
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} labelled languages")
     if not below:
         return ()
+    letters = min(letters, max(LEAST, letters * LANGUAGES // len(below)))
     share = {k: -(-letters // min(rows, n)) for k, n in held.items()}
     limits = F.broadcast(labelled.sparkSession.createDataFrame([(k, below[k], WIDER * share[k]) for k in below], "lang string, below long, span int"))
 

@@ -55,9 +55,12 @@ def _netpbm(data: bytes) -> np.ndarray:
         raise short
     if kind in b"123":
         body = re.sub(rb"#[^\n]*", b"", data[at:])
-        if not re.fullmatch(rb"[01 \t-\r]*" if kind == b"1" else rb"(?:[0-9]{1,5}|[ \t-\r]+)*+", body):
+        if not re.fullmatch(rb"[01 \t-\r]*" if kind == b"1" else rb"[0-9 \t-\r]*", body):
             raise MediaError("bad Netpbm sample")
-        flat = np.array((re.findall(rb"[01]", body) if kind == b"1" else body.split())[:n], "S5").astype(np.int64)
+        tokens = re.findall(rb"[01]", body)[:n] if kind == b"1" else [t.lstrip(b"0") for t in body.split(None, n)[:n]]
+        if any(len(t) > 5 for t in tokens):  # no maximum has more digits
+            raise MediaError("Netpbm sample above its maximum")
+        flat = np.array([int(t or b"0") for t in tokens], np.int64)
     else:
         body = data[at + 1 :]
         if kind == b"4":

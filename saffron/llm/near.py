@@ -49,7 +49,7 @@ NEAREST = 8
 #: A class belongs to its hub's family from this percentage of similarity on.
 KIN = 50
 #: Classes of a family, or of a mixed bucket, that one task compares with as many others.
-FAMILY_BLOCK, BUCKET_BLOCK = 128, 1024
+FAMILY_BLOCK, BUCKET_BLOCK = 128, 4096
 #: Hashes counted at a time, and bytes whose words are hashed at a time.
 HASH_BLOCK, PIECE = 4096, 1 << 17
 
@@ -134,19 +134,20 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig) of each document."""
+    """(doc_id, text_hash, n_shingles, digest, sig) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, digests, sigs = [], [], []
-            for x in b.column(1):
+            for x in b.column(2):
                 found = shingles(x.as_py(), words)
                 sizes.append(len(found))
                 digests.append(set_digest(found))
                 sigs.append(signature(found).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "digest", "sig"])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    text = F.col(text_col).cast("string")
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -179,19 +180,26 @@ def _judged(documents: DataFrame, total: int, pairs: DataFrame, classes: DataFra
     Pairs of at least KIN percent also get the hashes that only one of the sets has.
     Only texts that may be in a pair move; a hub's many partners are dealt by Spark's
     splitting of skewed joins, and the hub's set is kept while its partners follow.
-    ``repeated`` says that some id stands on several rows, perhaps of different texts.
+    ``repeated`` says that some id stands on several rows, perhaps of different texts:
+    then a class is known by one text of its id, and of an id's rows each text counts once.
     """
     if repeated:
-        known = classes.select("cls", "doc", "digest")
-        pairs = pairs.join(known.toDF("a", "id_a", "digest_a"), "a").join(known.toDF("b", "id_b", "digest_b"), "b")
+        known = durable(classes.select("cls", "doc", "text_hash", "digest"), "known")
+        pairs = pairs.join(known.toDF("a", "id_a", "hash_a", "digest_a"), "a").join(known.toDF("b", "id_b", "hash_b", "digest_b"), "b")
     else:
         pairs = pairs.withColumns({"id_a": F.col("a"), "id_b": F.col("b")} | {c: F.lit(None).cast("binary") for c in ("digest_a", "digest_b")})
     ids = durable(pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct(), "ids")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     maybe = id_filter(ids, "id", ids.count(), total)
     texts = texts if maybe is None else texts.where(maybe("id"))
-    one = pairs.join(texts.toDF("id_a", "text_a"), "id_a")
-    both = one.join(texts.toDF("id_b", "text_b"), "id_b").select("a", "b", "digest_a", "digest_b", "text_a", "text_b")
+    key = ["id", "hash"] if repeated else ["id"]
+    if repeated:
+        wanted = durable(known.select(F.col("doc").alias("id"), F.col("text_hash").alias("hash")).join(ids, "id", "left_semi"), "wanted")
+        texts = texts.withColumn("hash", F.xxhash64("text")).groupBy(*key).agg(F.first("text").alias("text")).join(wanted, key, "left_semi")
+        texts = durable(texts, "texts")
+    side = lambda s: texts.select(*(F.col(k).alias(f"{k}_{s}") for k in key), F.col("text").alias(f"text_{s}"))
+    one = pairs.join(side("a"), [f"{k}_a" for k in key])
+    both = one.join(side("b"), [f"{k}_b" for k in key]).select("a", "b", "digest_a", "digest_b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, np.ndarray, bytes] | None = None
@@ -204,7 +212,7 @@ def _judged(documents: DataFrame, total: int, pairs: DataFrame, classes: DataFra
                     found = shingles(text, words)
                     last = text, found, set_digest(found)
                 mine = shingles(ta[i].as_py(), words)
-                # Of an id's texts only those with the class's set count.
+                # A text that merely shares the hash of the class's own is none of it.
                 if repeated and (last[2] != db[i].as_py() or set_digest(mine) != da[i].as_py()):
                     continue
                 delta = np.setxor1d(mine, last[1], assume_unique=True)
@@ -215,9 +223,7 @@ def _judged(documents: DataFrame, total: int, pairs: DataFrame, classes: DataFra
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["a", "b", "linked", "size_a", "delta"])
 
-    judged = both.mapInArrow(run, PAIR)
-    # Rows of one pair are copies: a class is one set.
-    return judged.dropDuplicates(["a", "b"]) if repeated else judged
+    return both.mapInArrow(run, PAIR)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -385,7 +391,7 @@ def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col:
     repeated = not linked.groupBy("doc_id").count().where("count > 1").isEmpty()
     # A class is named by its smallest id; by its digest where an id may have several sets.
     name = F.xxhash64("digest") if repeated else F.col("doc")
-    classes = durable(linked.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")).withColumn("cls", name), "classes")
+    classes = durable(linked.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")).select("*", "own.text_hash", F.col("own.doc_id").alias("doc")).withColumn("cls", name).drop("own"), "classes")
     keys = durable(index_keys(classes), "keys")
     buckets = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     found = durable(keys.join(buckets, "key"), "hits")

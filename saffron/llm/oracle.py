@@ -104,11 +104,13 @@ WITH conv AS (
 ), answer AS (
   SELECT pair, until, max(text) AS answer FROM conv JOIN last USING (pair) WHERE turn = until AND role = 'assistant' GROUP BY pair, until
 ), ranked AS (
-  SELECT *, row_number() OVER w AS place, count(*) OVER () AS n FROM answer WINDOW w AS (ORDER BY md5(CAST(pair AS VARCHAR)), pair)
+  SELECT *, row_number() OVER (ORDER BY sha256(answer), md5(CAST(pair AS VARCHAR)), pair) - 1 AS place, count(*) OVER () AS n, count(*) OVER (PARTITION BY answer) AS alike FROM answer
+), given AS (
+  SELECT pair, until, (first + alike + (place - first) % (n - alike)) % n AS place FROM (SELECT *, min(place) OVER (PARTITION BY answer) AS first FROM ranked) WHERE alike < n
 ), t AS (
-  SELECT pair, 'chosen' AS side, turn, role, text FROM conv
-  UNION ALL SELECT pair, 'rejected', turn, role, text FROM conv JOIN last USING (pair) WHERE turn < until
-  UNION ALL SELECT a.pair, 'rejected', a.until, 'assistant', b.answer FROM ranked a JOIN ranked b ON b.place = a.place % a.n + 1
+  SELECT pair, 'chosen' AS side, turn, role, text FROM conv JOIN given USING (pair) WHERE turn <= until
+  UNION ALL SELECT pair, 'rejected', turn, role, text FROM conv JOIN given USING (pair) WHERE turn < until
+  UNION ALL SELECT a.pair, 'rejected', a.until, 'assistant', b.answer FROM given a JOIN ranked b ON b.place = a.place
 ), b AS (
   SELECT pair, turn,
          coalesce(list_sort(list(role || chr(0) || text) FILTER (side = 'chosen')), []) AS c,

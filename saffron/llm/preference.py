@@ -97,22 +97,28 @@ def pair_digests(parts: DataFrame) -> DataFrame:
 
 
 def counterparts(conversations: DataFrame) -> DataFrame:
-    """Each conversation as the chosen side of a pair that carries its id.
-
-    The rejected side is the same conversation up to its last assistant turn, whose
-    words are those of the last assistant turn of another conversation: the next one in
-    the order of the MD5 of ids, the first one after the last. The table holds no
-    preferences of its own, and answers to other questions are worse ones. A
-    conversation without an assistant turn has no rejected side.
+    """Each conversation up to its last assistant turn as the chosen side of a pair that carries its id.
+
+    The rejected side is the same conversation with another one's last answer in that
+    turn, so both completions end with an answer. The table holds no preferences of its
+    own, and answers to other questions are worse ones. In the order of the digests of
+    answers, then of the MD5 of ids, the first conversation after all that answer alike
+    gives its answer to the first of these, the next one to the next, in a circle: an
+    answer always differs. Conversations without an assistant turn, and all of them if
+    they all answer alike, give no pair.
     """
     conv = conversations.select(F.col("conv_id").cast("long").alias("pair"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).where("pair is not null and turn is not null")
     last = conv.where("role = 'assistant'").groupBy("pair").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    answers = last.select("pair", F.col("last.turn").alias("until"), F.col("last.text").alias("answer"), F.md5(F.col("pair").cast("string").cast("binary")).alias("_hash"), F.lit(1).cast("long").alias("_one"))
-    answers = durable(prefix_sums(answers, [F.col("_hash").asc(), F.col("pair").asc()], {"_rank": "_one"}, "answers"), "ranked-answers")
-    n = F.greatest(F.lit(1), F.lit(answers.count()))
-    others = answers.select(F.pmod(F.col("_rank") - 1, n).alias("_rank"), F.col("answer").alias("other"))
-    given = answers.select("pair", "until", "_rank").join(others, "_rank").select("pair", F.col("until").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
-    sizes = conv.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).join(answers.select("pair", "until"), "pair")
-    before = join_groups(conv, sizes, "pair", "n", conv.count()).where("turn < until").select(*conv.columns)
+    answers = last.select("pair", F.col("last.turn").alias("until"), F.col("last.text").alias("answer"), F.sha2(F.col("last.text").cast("binary"), 256).alias("_sha"), F.md5(F.col("pair").cast("string").cast("binary")).alias("_hash"), F.lit(1).cast("long").alias("_one"))
+    answers = durable(prefix_sums(answers, [F.col(c).asc() for c in ("_sha", "_hash", "pair")], {"_rank": "_one"}, "answers"), "ranked-answers")
+    n = answers.count()
+    alike = answers.groupBy("_sha").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_alike"))
+    own = join_groups(answers.select("pair", "until", "_sha", "_rank"), alike, "_sha", "_alike", n).where(F.col("_alike") < n)
+    others = F.lit(n) - F.col("_alike")
+    taken = F.pmod(F.col("_first") + F.col("_alike") + F.pmod(F.col("_rank") - F.col("_first"), others), F.lit(n))
+    given = durable(own.select("pair", "until", taken.alias("_rank")).join(answers.select("_rank", "answer"), "_rank").select("pair", "until", "answer"), "given-answers")
+    sizes = conv.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).join(given.select("pair", "until"), "pair")
+    reached = join_groups(conv, sizes, "pair", "n", conv.count()).where("turn <= until")
     as_side = lambda df, s: df.select("pair", F.lit(s).alias("side"), "turn", "role", "text")
-    return as_side(conv, "chosen").unionByName(as_side(before.unionByName(given), "rejected"))
+    worse = given.select("pair", F.col("until").alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))
+    return as_side(reached, "chosen").unionByName(as_side(reached.where("turn < until").select(*conv.columns).unionByName(worse), "rejected"))

@@ -148,13 +148,13 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, label: str =
         return constant
     sample = durable(sample, "labelled")
     n0, n1 = (min(per_class, known[y]) for y in (0, 1))
-    # At most one row for each place of the hash table.
-    kept = sorted(log_ratios(_counts(sample), n0, n1).collect(), key=lambda r: r["feature"])
-    if not kept:
+    # At most 16 bytes for each place of the hash table.
+    kept = log_ratios(_counts(sample), n0, n1).toArrow().sort_by("feature")
+    if not kept.num_rows:
         return constant
     table = np.full(1 << BITS, -1, np.int32)
-    table[[r["feature"] for r in kept]] = np.arange(len(kept))
-    ratios = np.array([r["ratio"] for r in kept])
+    table[kept["feature"].to_numpy()] = np.arange(kept.num_rows)
+    ratios = kept["ratio"].to_numpy()
     shared = documents.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

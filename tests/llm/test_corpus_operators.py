@@ -319,6 +319,20 @@ def test_classifiers_on_awkward_rows(spark, module):
     assert all(r["predicted"] == 1 for r in run(awkward(spark), one_class).collect())
 
 
+def test_near_groups_of_one_id_on_many_rows(spark, monkeypatch):
+    """Pairs of a repeated id are judged once a text, however many rows carry it."""
+    words = [f"w{i}" for i in range(120)]
+    base, close = " ".join(words), " ".join([*words[:-3], "x", "y", "z"])
+    rows = [(7, base if i % 2 else close) for i in range(5000)] + [(8, " ".join([*words[:-1], "q"])), (9, "something else entirely of its own words")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    judged = []
+    real = near._judged
+    monkeypatch.setattr(near, "_judged", lambda *a: judged.append(near.durable(real(*a), "seen")) or judged[-1])
+    got = near.near_groups(documents, 2).groupBy("doc_id", "component_id").count().collect()
+    assert {tuple(r) for r in got} == {(7, 7, 5000), (8, 7, 1), (9, 9, 1)}
+    assert 0 < sum(j.count() for j in judged) <= 6
+
+
 # -------------------------------------------------------------- preferences
 
 
@@ -366,20 +380,44 @@ def test_preference_pairs_query(spark):
             assert all(got[p][f"{s}_mask"] == ",".join(f"{x['start']}:{x['stop']}" for x in r[f"{s}_mask"]) for s in ("chosen", "rejected")) and got[p]["complete"] == r["complete"]
 
 
-def test_preference_counterparts(spark):
-    """The rejected side ends at the last assistant turn, with the words of the next conversation's."""
+def brute_counterparts(rows):
+    """(pair, chosen text, rejected text) by plain loops."""
+    conv = {}
+    for i, turn, role, text in rows:
+        if i is not None and turn is not None:
+            conv.setdefault(i, []).append((turn, role or "", text or ""))
+    last = {i: max((t, x) for t, r, x in turns if r == "assistant") for i, turns in conv.items() if any(r == "assistant" for _, r, _ in turns)}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = sorted(last, key=lambda i: (sha(last[i][1]), hashlib.md5(str(i).encode()).hexdigest(), i))
+    answers = [last[i][1] for i in order]
+    render = lambda turns: "".join(f"<|{r}|>\n{x}\n<|end|>\n" for _, r, x in sorted(turns))
+    out = {}
+    for place, i in enumerate(order):
+        alike = [k for k, a in enumerate(answers) if a == answers[place]]
+        if len(alike) == len(order):
+            continue
+        other = answers[(alike[-1] + 1 + (place - alike[0]) % (len(order) - len(alike))) % len(order)]
+        before = [t for t in conv[i] if t[0] < last[i][0]]
+        out[i] = render([t for t in conv[i] if t[0] <= last[i][0]]), render(before) + f"<|assistant|>\n{other}\n<|end|>\n", render(before)
+    return out
+
+
+def test_preference_counterparts(spark, monkeypatch):
+    """Both sides end at the last assistant turn; the rejected one has an answer that differs."""
+    monkeypatch.setattr(skew, "HOT", 3)
     rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "thanks"), (2, 0, "system", "s"), (2, 1, "user", "q2"), (2, 2, "assistant", "x"), (2, 3, "user", "?"), (2, 4, "assistant", "a2")]
     rows += [(3, 0, "user", "alone"), (4, 0, "assistant", None), (None, 0, "user", "x"), (4, None, "user", "x"), (1, 1, "assistant", "a0")]
-    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"pair": F.lit("clash"), "side": F.lit(1), "n": F.lit(2)})
-    got = {r["pair"]: r for r in preference.records(preference.preference_turns(preference.counterparts(conv))).collect()}
-    order = sorted((1, 2, 4), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
-    answer = {1: "a1", 2: "a2", 4: ""}
-    for i, nxt in zip(order, order[1:] + order[:1], strict=True):
-        assert got[i]["rejected"] == f"<|assistant|>\n{answer[nxt]}\n<|end|>\n" and got[i]["complete"]
-    assert got[1]["prompt"] == "<|user|>\nq1\n<|end|>\n" and got[1]["chosen"].count("<|") == 6
-    assert got[2]["prompt"].count("<|end|>") == 4 and got[4]["prompt"] == "" and set(got) == {1, 2, 3, 4}
-    assert got[3]["chosen"] == "<|user|>\nalone\n<|end|>\n" and not got[3]["complete"] and got[3]["prompt"] == ""
-    assert preference.counterparts(conv.limit(0)).count() == 0
+    alike = [(i, t, r, x) for i in range(10, 40) for t, r, x in ((0, "user", f"q{i}"), (1, "assistant", "same"), (2, "user", "more"))]
+    for some in (rows, rows + alike, alike, alike + [(50, 0, "assistant", "other")]):
+        conv = spark.createDataFrame(some, "conv_id long, turn long, role string, text string").withColumns({"pair": F.lit("clash"), "side": F.lit(1), "n": F.lit(2), "_alike": F.lit(3)})
+        want = brute_counterparts(some)
+        got = {r["pair"]: r for r in preference.records(preference.preference_turns(preference.counterparts(conv))).collect()}
+        assert set(got) == set(want) and all(r["complete"] for r in got.values())
+        for i, r in got.items():
+            assert (r["prompt"] + r["chosen"], r["prompt"] + r["rejected"]) == want[i][:2] and r["prompt"] == want[i][2]
+            assert r["chosen"].endswith("<|end|>\n") and "<|user|>" not in r["chosen"] + r["rejected"] and r["chosen"] != r["rejected"]
+    assert 3 not in got and preference.counterparts(conv.limit(0)).count() == 0
+    assert preference.counterparts(spark.createDataFrame(alike, conv.select("conv_id", "turn", "role", "text").schema)).count() == 0
 
 
 def test_preference_very_long_turn_and_hot_pair(spark, monkeypatch):
@@ -388,7 +426,7 @@ def test_preference_very_long_turn_and_hot_pair(spark, monkeypatch):
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit("clash"))
     got = {r["pair"]: r for r in preference.pair_digests(preference.preference_turns(preference.counterparts(conv))).collect()}
     assert (got[1]["prompt_turns"], got[1]["chosen_turns"], got[1]["rejected_turns"]) == (399, 1, 1) and got[2]["prompt_chars"] == 2_000_018
-    assert got[1]["chosen_mask"] == f"0:{100 + 23}" and got[3]["chosen_mask"] == "0:23"
+    assert got[1]["chosen_mask"] == f"0:{100 + 23}" and got[3]["chosen_mask"] == "0:24"
 
 
 # ----------------------------------------------------------------- pipeline

@@ -95,6 +95,30 @@ def test_broken_images_raise_media_errors(data):
         media.decode_image(data)
 
 
+def plain_greymap(data):
+    """Values of a plain greymap without comments, scaled to 255; None where a sample is above the maximum."""
+    width, height, top, *samples = (int(x) for x in data[2:].split())
+    samples = samples[: width * height]
+    return None if max(samples) > top else [s * 255 // top for s in samples]
+
+
+def test_plain_samples_of_any_length():
+    rng = random.Random(9)
+    for data, want in ((b"P2 1 1 255 00000012", 12), (b"P2 1 1 65535 " + b"0" * 5000 + b"65535", 255), (b"P2 1 1 255 " + b"0" * 90, 0)):
+        assert media.decode_image(data).tolist() == [[want]]
+    for data in (b"P2 1 1 65535 1234567", b"P2 1 1 255 256", b"P2 1 1 65535 65536", b"P2 1 1 255 " + b"9" * 5000):
+        with pytest.raises(media.MediaError, match="above"):
+            media.decode_image(data)
+    for _ in range(300):
+        top = rng.choice((1, 7, 255, 999, 65535))
+        data = b"P2 3 2 %d" % top + b"".join(rng.choice((b" ", b"\n\t")) + b"0" * rng.choice((0, 0, 1, 9)) + b"%d" % rng.randint(0, top + (rng.random() < 0.05)) for _ in range(rng.randint(6, 8)))
+        if (want := plain_greymap(data)) is None:
+            with pytest.raises(media.MediaError):
+                media.decode_image(data)
+        else:
+            assert media.decode_image(data).ravel().tolist() == want
+
+
 def test_decoders_on_random_damage(spark):
     """Whatever is cut, flipped or put in, an image is decoded or refused."""
     rng = random.Random(8)
@@ -289,8 +313,19 @@ def test_language_takes_a_share_of_each_text(spark, monkeypatch):
     (_, _, text), = language.learn(spark.createDataFrame([("aa", long), *short], "lang string, text string"))
     assert all(f" {t}" in text for _, t in short) and 9000 < len(text) and "waaaa wbaaa" not in text
     monkeypatch.setattr(language, "LANGUAGES", 3)
-    with pytest.raises(ValueError, match="more than 3"):
-        language.learn(spark.createDataFrame([(f"l{i}", "text") for i in range(4)], "lang string, text string"))
+    learned = language.learn(spark.createDataFrame([(f"l{i}", f"{chr(97 + i)} " * 30_000) for i in range(6)], "lang string, text string"))
+    assert [x[0] for x in learned] == [f"l{i}" for i in range(6)] and {len(x[2]) for x in learned} == {language.REFERENCE // 2}
+
+
+def test_many_languages(spark):
+    """More languages than get a whole share of letters; each is told from the others."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(f"{i:04d}", f"{word(7 * i)} {word(7 * i + 1)} {word(7 * i)}{word(7 * i + 2)}") for i in range(1100)]
+    learned = language.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(learned) == 1100
+    some = rows[::50]
+    found = language.languages(spark.createDataFrame([(int(k), t) for k, t in some], "doc_id long, text string"), learned).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {int(k): k for k, _ in some}
 
 
 # --------------------------------------------------------------------- bpe
