@@ -1,4 +1,8 @@
-"""Hourly demand: three regressions on a dense panel, chosen on validation, refit and tested."""
+"""Hourly demand: regressions on a dense panel, chosen on validation, refit and tested.
+
+``fit`` compares three learners of the ML library; ``fit_sums`` is the linear one from
+sums of products alone, one scan for the fit and one for the refit.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.times import Weekday, is_weekend, weekday
 from ..operators import panels
+from ..sources.shared import kept
 from .evaluate import regression_metrics
+from .linear import Linear, linear
 
 SEED = 42
 LAGS = (1, 24, 168)
@@ -81,3 +87,14 @@ def fit(panel: DataFrame, entity: str, at: str, value: str, train_before: str, t
         return Fitted(model, chosen, report, scored)
     finally:
         rows.unpersist()
+
+
+def fit_sums(panel: DataFrame, entity: str, at: str, value: str, train_before: str, test_from: str) -> tuple[Linear, DataFrame]:
+    """A linear model of lags and calendar, and its report (name, split, n, rmse, mae, r2) beside the week before."""
+    rows = kept(features(panel, entity, at, value), "hours")
+    train, valid, test = panels.split_by_time(rows, at, train_before, test_from)
+    names = feature_names(value)
+    first, model = linear(train, names, value), linear(train.unionByName(valid), names, value)
+    told = lambda df, name, split: regression_metrics(df, value).select(F.lit(name).alias("name"), F.lit(split).alias("split"), "n", "rmse", "mae", "r2")
+    parts = [told(valid.withColumn("prediction", first.column()), "linear", "validation"), told(test.withColumn("prediction", model.column()), "linear", "test")]
+    return model, parts[0].unionByName(parts[1]).unionByName(told(test.withColumn("prediction", F.col(f"{value}_lag_168")), "seasonal_naive", "test"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
+
 
 def _safe(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
@@ -38,6 +40,19 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("f1"), F.desc("recall"), F.desc("precision"), F.asc("threshold")).limit(1)
 
 
+def roc_auc(scored: DataFrame, probability: str = "probability_positive", label: str = "label") -> DataFrame:
+    """One row: the share of pairs of a positive and a negative row that the score puts in order, ties by half. Exact.
+
+    Scores are counted first; how many negatives lie below each comes from counts of
+    ranges. Null without rows of both labels.
+    """
+    n = lambda y: F.count_if(F.col(label) == y)
+    counts = scored.groupBy(F.col(probability).alias("_score")).agg(n(1).alias("_pos"), n(0).alias("_neg"))
+    placed = running(counts, ["_score"], {"_below": "_neg"}, "scores")
+    above = F.sum(F.col("_pos") * (2 * F.col("_below") + F.col("_neg")))  # twice the pairs in order
+    return placed.agg(F.try_divide(above, 2 * F.sum("_pos") * F.sum("_neg")).alias("roc_auc"))
+
+
 def regression_metrics(rows: DataFrame, actual: str, predicted: str = "prediction") -> DataFrame:
     """One row: n, rmse, mae, r2."""
     err = F.col(actual) - F.col(predicted)

@@ -7,26 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed_avg
 from ..functions.times import hour_of_week
+from ..sources.shared import kept
+from .ranges import quantiles, small
 from .reports import completed
 
 #: The median absolute deviation times this estimates a standard deviation.
 MAD_SCALE = 1.4826
 
 
-def median(x: str):
-    return F.percentile_approx(x, 0.5, 10_000)
-
-
 def robust_outliers(df: DataFrame, by: list[str], value: str, limit: float = 3.0) -> DataFrame:
     """Rows further than ``limit`` robust deviations from their group's median.
 
-    Medians are aggregates that combine on the map side and join back, so no group
-    has to be sorted in one task. Groups without deviation have no outliers.
+    Medians are exact (the lower one of two), selected by counts of value ranges, so no
+    group has to be sorted or gathered. Groups without deviation have no outliers.
     """
-    mid = df.groupBy(*by).agg(median(value).alias("median"))
-    off = df.join(mid, by).withColumn("_off", F.abs(F.col(value) - F.col("median")))
-    spread = off.groupBy(*by).agg(median("_off").alias("mad")).where("mad > 0")
-    return off.join(spread, by).where(F.col("_off") > limit * MAD_SCALE * F.col("mad")).drop("_off")
+    rows = kept(df, "measured")
+    mid = kept(quantiles(rows, by, value, 0.5, "median"), "medians")
+    off = rows.join(small(mid), by).withColumn("_off", F.abs(F.col(value) - F.col("median")))
+    spread = kept(quantiles(off, by, "_off", 0.5, "mad").where("mad > 0"), "deviations")
+    return off.join(small(spread), by).where(F.col("_off") > limit * MAD_SCALE * F.col("mad")).drop("_off")
 
 
 def rating_anomalies(ratings: DataFrame, least: int = 30) -> DataFrame:

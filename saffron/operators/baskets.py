@@ -2,27 +2,35 @@
 
 A basket's items are gathered once and their pairs unfolded inside the row, so
 pairs need one shuffle instead of a self-join. Items below the least pair count
-can't be in a pair that reaches it; they go first, without loss. A basket's
+can't be in a pair that reaches it; they go first, without loss. Then pairs are counted
+by hash bucket, BUCKETS small numbers whatever the number of pairs: a bucket that stays
+below the least count holds no pair that reaches it, so its pairs go before any pair is
+shuffled. The pairs that are left are counted exactly. A basket's
 membership is bounded by the catalogue, and baskets of more than WIDE items
 take the self-join, whose rows Spark can spill.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDE = 500
+#: Hash buckets of pairs, and those that one row of the bitmap of frequent ones holds.
+BUCKETS, WORD = 1 << 22, 64
 
 
 def membership(lines: DataFrame, basket: str = "order_id", item: str = "menu_item_id") -> DataFrame:
     return lines.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null").distinct()
 
 
-def pair_counts(members: DataFrame, least: int = 1) -> DataFrame:
-    """(item_a, item_b, pair_count, count_a, count_b, basket_count) with item_a < item_b."""
+def bucket(a: str = "item_a", b: str = "item_b") -> Column:
+    return F.pmod(F.xxhash64(a, b), F.lit(BUCKETS))
+
+
+def pair_rows(members: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(item_a, item_b) of every basket with item_a < item_b, and (item, n) of items, of those in ``least`` baskets."""
     items = members.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    total = members.agg(F.countDistinct("basket").alias("basket_count"))
     kept = members.join(items.select("item"), "item") if least > 1 else members
     sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("size"), F.when(F.count(F.lit(1)) <= WIDE, F.array_sort(F.collect_list(F.col("item")))).alias("items"))
     narrow = sizes.where(f"size between 2 and {WIDE}")
@@ -31,7 +39,28 @@ def pair_counts(members: DataFrame, least: int = 1) -> DataFrame:
     pairs = firsts.select("item_a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("item_b"))
     wide = kept.join(sizes.where(f"size > {WIDE}").select("basket"), "basket")
     crossed = wide.alias("l").join(wide.alias("r"), (F.col("l.basket") == F.col("r.basket")) & (F.col("l.item") < F.col("r.item"))).select(F.col("l.item").alias("item_a"), F.col("r.item").alias("item_b"))
-    counted = pairs.unionByName(crossed).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("pair_count")).where(F.col("pair_count") >= least)
+    return pairs.unionByName(crossed), items
+
+
+def frequent_buckets(pairs: DataFrame, least: int) -> DataFrame:
+    """(word, bits): a bitmap of the hash buckets that at least ``least`` pairs fall into; at most BUCKETS / WORD rows."""
+    counts = pairs.groupBy(bucket().alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return counts.groupBy(F.floor(F.col("_bucket") / WORD).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_bucket", F.lit(WORD)).cast("int"))).alias("bits"))
+
+
+def pruned(pairs: DataFrame, least: int) -> DataFrame:
+    """Pairs of frequent buckets; the bitmap is broadcast, for its size is bounded."""
+    own = pairs.withColumn("_bucket", bucket())
+    known = own.join(F.broadcast(frequent_buckets(pairs, least)), F.floor(F.col("_bucket") / WORD) == F.col("word"))
+    return known.where(F.getbit("bits", F.pmod("_bucket", F.lit(WORD)).cast("int")) == 1).select(*pairs.columns)
+
+
+def pair_counts(members: DataFrame, least: int = 1) -> DataFrame:
+    """(item_a, item_b, pair_count, count_a, count_b, basket_count) with item_a < item_b."""
+    pairs, items = pair_rows(members, least)
+    total = members.agg(F.countDistinct("basket").alias("basket_count"))
+    left = pruned(pairs, least) if least > 1 else pairs
+    counted = left.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("pair_count")).where(F.col("pair_count") >= least)
     named = lambda side: items.select(F.col("item").alias(f"item_{side}"), F.col("n").alias(f"count_{side}"))
     return counted.join(named("a"), "item_a").join(named("b"), "item_b").crossJoin(F.broadcast(total))
 

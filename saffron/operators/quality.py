@@ -166,10 +166,11 @@ def repairs(table: str, columns: list[str] | None = None) -> list[Repair]:
 def repaired(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """The repaired table without repeated keys, and (rule, affected) of its steps.
 
-    A step's concern is kept as a flag beside the row, so one scan counts them all.
+    A step's concern is kept as a flag beside the row, so one scan counts them all. Of the
+    rows of a key the smallest stays, column by column in their order, so reruns agree.
     """
     steps, key = repairs(table, df.columns), TABLES[table].key
-    rows = df.dropDuplicates([key])
+    rows = df.groupBy(key).agg(F.min(F.struct(*df.columns)).alias("_row")).select("_row.*")
     for i, step in enumerate(steps):
         rows = rows.withColumn(f"_step_{i}", F.coalesce(step.concerns, F.lit(False))).withColumns(step.sets)
     counts = rows.agg(F.count(F.lit(1)).alias("_kept"), *count_if({s.rule: F.col(f"_step_{i}") for i, s in enumerate(steps)}))

@@ -59,14 +59,6 @@ def global_ntile(df: DataFrame, n: int, value: str, tie: str, out: str, descendi
     return global_ntiles(df, n, tie, {out: (value, descending)}, ranges)
 
 
-def every_nth(df: DataFrame, order: list[str], k: int, by: list[str]) -> DataFrame:
-    """k rows spread evenly over each group of ``by`` in ``order``: the first and last with those between."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumns({"_at": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    slot = lambda at: F.floor(at * (k - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
-    return rows.where((F.col("_n") <= k) | (F.col("_at") == 0) | (slot(F.col("_at")) > slot(F.col("_at") - 1))).drop("_at", "_n")
-
-
 def top_value(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """The most frequent value of each key; of equally frequent ones the smallest, null last."""
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))

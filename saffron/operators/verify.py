@@ -26,9 +26,18 @@ def unique_key(df: DataFrame, key: list[str], name: str) -> DataFrame:
 
 
 def full_product(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
-    """Every combination of two columns' values stands once."""
-    counts = df.agg((F.countDistinct(left) * F.countDistinct(right)).alias("all"), F.count(F.lit(1)).alias("rows"))
-    return _row(counts, name, F.col("all"), F.col("rows"))
+    """Every combination of two columns' values stands, whatever the number of its rows."""
+    pairs = df.groupBy(left, right).count()
+    counts = pairs.agg((F.countDistinct(left) * F.countDistinct(right)).alias("all"), F.count(F.lit(1)).alias("pairs"))
+    return _row(counts, name, F.col("all"), F.col("pairs"))
+
+
+def missing_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
+    """(left, missing): how many of all values of ``right`` each value of ``left`` lacks; complete ones are left out."""
+    pairs = df.select(left, right).distinct()
+    total = pairs.agg(F.countDistinct(right).alias("_all"))
+    counts = pairs.groupBy(left).agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(total))
+    return counts.select(left, (F.col("_all") - F.col("_n")).alias("missing")).where("missing > 0")
 
 
 def at_least(df: DataFrame, column: str, least: int, name: str) -> DataFrame:
@@ -63,7 +72,8 @@ def mart_checks(menu: DataFrame, profitability: DataFrame, by_location: DataFram
     """The standing invariants of the gap marts."""
     parts = [
         same_rows(menu, profitability, "every catalogue item"), unique_key(profitability, ["menu_item_id"], "one row an item"),
-        unique_key(by_location, ["restaurant_id", "menu_item_id"], "one row a place and item"), at_least(rules, "pair_count", least_pairs, "rules reach the pair threshold"),
+        unique_key(by_location, ["restaurant_id", "menu_item_id"], "one row a place and item"),
+        full_product(by_location, "restaurant_id", "menu_item_id", "every place with every item"), at_least(rules, "pair_count", least_pairs, "rules reach the pair threshold"),
         among(profitability, "performance_class", CLASSES, "known classes"), unique_key(rules, ["item_a", "item_b"], "one row a pair"),
         no_personal_columns({"profitability": profitability.drop("item_name", "category_name"), "by_location": by_location.drop("item_name"), "rules": rules}, "no personal columns"),
     ]

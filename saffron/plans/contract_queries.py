@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..models import demand, forecast, risk
-from ..operators import baskets, catalog, compare, contracts, features, panels, quality, ranking, reports, verify, wastage, whatif
+from ..operators import baskets, bitmaps, catalog, compare, contracts, customers, features, onepass, panels, quality, ranges, ranking, reports, rollups, verify, wastage, whatif
 from ..sources import generator, readers, sinks
 from ..sources.schemas import TABLES
-from ..sources.shared import shared_dir
+from ..sources.shared import kept, shared_dir
 from . import queries as base
 from .queries import longs
 from .tables import Domain
@@ -69,7 +69,10 @@ def view_report(d: Domain) -> DataFrame:
 
 @query
 def memory_rows(d: Domain) -> DataFrame:
-    return readers.rows_of(d.spark, "menu_categories", [("K1", "Pizza", "thin", True), ("K2", "Rice", None, False)])
+    """Category rows in memory, joined with the items of each."""
+    known = readers.rows_of(d.spark, "menu_categories", [("ECONOMY", "Pizza", "thin", True), ("SMALL", "Rice", None, False), ("NONE", "Pasta", "", True)])
+    counts = d.menu.groupBy("category_id").agg(F.count(F.lit(1)).alias("items"))
+    return known.join(counts, "category_id", "left")
 
 
 @query
@@ -82,32 +85,54 @@ def evidence_lines(d: Domain) -> DataFrame:
 
 # --------------------------------------------------------------- generator
 
-SMALL = generator.Size(customers=200, restaurants=5, items=40, promotions=10, orders=400, ratings=100, stock=80, waste=60, prices=30)
+def size_of(d: Domain) -> generator.Size:
+    """As many generated rows as the given tables have."""
+    n = {t: d.raw(t).count() for t in ("customer", "nation", "part", "supplier", "orders", "events")}
+    return generator.Size(customers=n["customer"], restaurants=n["nation"], items=n["part"], promotions=n["supplier"], orders=n["orders"], ratings=n["events"], stock=n["part"], waste=n["part"], prices=n["part"])
 
 
 @query
 def generated_tables(d: Domain) -> DataFrame:
-    """(table, rows) of the tables whose size is asked for."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows") for t, df in generator.generate(d.spark, SMALL).items() if t != "order_items"]
+    """(table, rows) of generated tables that are as large as the given ones."""
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows") for t, df in generator.generate(d.spark, size_of(d)).items() if t != "order_items"]
     return base.union(parts)
 
 
 @query
 def generator_assertions(d: Domain) -> DataFrame:
-    """(check, failed): repeated keys and orphans of clean tables, and orders that differ from their lines."""
-    tables = generator.generate(d.spark, SMALL)
-    repeated = [sinks.duplicate_keys(df, [TABLES[t].key]).agg(F.count(F.lit(1)).alias("failed")).select(F.lit(f"unique {t}").alias("check"), "failed") for t, df in tables.items()]
-    sums = tables["order_items"].groupBy("order_id").agg(F.sum("line_total").alias("_lines"))
-    off = tables["orders"].join(sums, "order_id", "left").where("abs(subtotal - coalesce(_lines, 0)) > 0.011")
-    totals = off.agg(F.count(F.lit(1)).alias("failed")).select(F.lit("orders equal their lines").alias("check"), "failed")
-    return base.union([*repeated, totals, quality.orphan_counts(tables).toDF("check", "failed")])
+    """(check, rows, failed) of tables as large as the given ones: repeated keys, orphans, and orders that differ from their lines."""
+    tables = {t: kept(df, f"generated-{t}") for t, df in generator.generate(d.spark, size_of(d)).items()}
+    lines, orders = tables["order_items"], tables["orders"]
+    told = onepass.single_pass(tables, {t: {} for t in tables})
+    sums = lines.groupBy("order_id").agg(F.sum("line_total").alias("_lines"))
+    off = orders.join(sums, "order_id", "left").where("abs(subtotal - coalesce(_lines, 0)) > 0.011").agg(F.count(F.lit(1)).alias("failed"))
+    wanted = [(t, "repeated_key") for t in tables] + [(t, f"orphan:{c}") for t, x in TABLES.items() for c in x.parents]
+    found = d.spark.createDataFrame(wanted, "table string, issue string").join(told.withColumnRenamed("rows", "failed"), ["table", "issue"], "left")
+    checks = found.where("table <> 'order_items'").join(told.where("issue = 'rows'").select("table", "rows"), "table").select(F.concat_ws(" ", "table", "issue").alias("check"), "rows", F.coalesce("failed", F.lit(0).cast("long")).alias("failed"))
+    return checks.unionByName(orders.agg(F.count(F.lit(1)).alias("rows")).crossJoin(off).select(F.lit("orders equal their lines").alias("check"), "rows", "failed"))
+
+
+def spoilt(d: Domain) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Four given tables as text, with defects injected, and the manifest."""
+    return generator.inject({"orders": d.orders, "order_items": d.items.select(*(c for c in d.items.columns)), "ratings": d.ratings, "wastage": d.wastage})
 
 
 @query
 def defect_reconciliation(d: Domain) -> DataFrame:
-    """Injected defects against those that one pass over each spoilt table finds."""
-    dirty, manifest = generator.inject(generator.generate(d.spark, SMALL))
-    return generator.reconcile(manifest, generator.observed(dirty)).select("table", "issue", "delta")
+    """Defects injected into given tables against those that one scan of each spoilt table finds."""
+    dirty, manifest = spoilt(d)
+    return generator.reconcile(manifest, generator.observed(dirty))
+
+
+@query
+def single_pass_counts(d: Domain) -> DataFrame:
+    """(table, issue, rows) of the spoilt tables from one scan of each: nulls, repeated keys, copies, orphans, ranges."""
+    dirty = {t: kept(df, f"spoilt-{t}") for t, df in spoilt(d)[0].items()}
+    ranges = {
+        "orders": {"negative_discount": F.col("discount_amount").try_cast("double") < 0, "invalid_order_datetime": F.col("order_datetime").isNotNull() & F.col("order_datetime").try_cast("timestamp").isNull()},
+        "order_items": {"nonpositive_quantity": F.col("quantity").try_cast("int") <= 0}, "ratings": {"invalid_rating": ~F.col("rating").try_cast("int").between(1, 5)}, "wastage": {"negative_quantity": F.col("quantity_wasted").try_cast("double") < 0},
+    }
+    return onepass.single_pass(dirty, {t: {f"null:{c}": F.col(c).isNull() for c in df.columns} | ranges[t] for t, df in dirty.items()})
 
 
 # ------------------------------------------------------------------- sinks
@@ -218,8 +243,60 @@ def ingestion_counts(d: Domain) -> DataFrame:
 
 @query
 def rule_catalog(d: Domain) -> DataFrame:
-    """(table, action, rules) of the contract."""
-    return contracts.catalog(d.spark).groupBy("table", "action").agg(F.count(F.lit(1)).alias("rules"))
+    """(table, action, rules, fired) of the contract: how many rules it has, and how many fired on sources made from given tables."""
+    fired = rules_fired(d).groupBy("table").agg(F.countDistinct("rule").alias("fired"))
+    own = contracts.catalog(d.spark).groupBy("table", "action").agg(F.count(F.lit(1)).alias("rules"))
+    return own.join(fired, "table", "left").select("table", "action", "rules", F.when(F.col("action") == "quarantine", F.col("fired")).alias("fired"))
+
+
+#: Of each table: the given table and key that it is made from, cells of a valid row, and by
+#: the remainder of the key by ten the rule that a row breaks and the cells that break it.
+BROKEN: dict[str, tuple[str, str, dict[str, str], dict[int, tuple[str, dict[str, str]]]]] = {
+    "customers": ("customer", "c_custkey", {"customer_name": "N", "gender": "Other", "age": "30", "city": "Multan", "signup_date": "2024-02-01", "customer_segment": "Loyal", "preferred_channel": "Takeaway", "loyalty_points": "7", "is_churned": "true", "last_order_date": "2024-03-01"},
+                  {1: ("invalid_type:is_churned", {"is_churned": "soon"}), 2: ("domain:gender", {"gender": "?"}), 3: ("nonnegative:age", {"age": "-3"}), 4: ("date_order", {"last_order_date": "2024-01-01"}), 5: ("required:signup_date", {"signup_date": ""})}),
+    "restaurants": ("nation", "n_nationkey", {"restaurant_name": "N", "city": "Multan", "area": "A", "opening_date": "2023-05-01", "seating_capacity": "12", "location_type": "Mall", "is_active": "true"},
+                    {1: ("domain:location_type", {"location_type": "Pier"}), 2: ("nonnegative:seating_capacity", {"seating_capacity": "-1"}), 3: ("invalid_type:seating_capacity", {"seating_capacity": "few"})}),
+    "menu_categories": ("region", "r_regionkey", {"category_name": "Rice", "description": "", "is_active": "true"}, {1: ("domain:category_name", {"category_name": "Stew"})}),
+    "menu_items": ("part", "p_partkey", {"category_id": "2", "item_name": "N", "base_price": "20", "cost_price": "8", "preparation_time_min": "9", "is_vegetarian": "true", "is_available": "true", "launch_date": "2024-04-01"},
+                   {1: ("positive:base_price", {"base_price": "0"}), 2: ("nonfinite:cost_price", {"cost_price": "Infinity"}), 3: ("foreign_key:category_id", {"category_id": "1"})}),
+    "promotions": ("supplier", "s_suppkey", {"promotion_name": "N", "promotion_type": "Bundle", "discount_type": "Percentage", "discount_value": "15", "start_date": "2024-05-01", "end_date": "2024-05-09", "minimum_order_value": "0", "channel": "All", "is_active": "true"},
+                   {1: ("percentage_over_100", {"discount_value": "130"}), 2: ("date_order", {"end_date": "2024-04-01"}), 3: ("nonnegative:minimum_order_value", {"minimum_order_value": "-2"})}),
+    "orders": ("orders", "o_orderkey", {"customer_id": "10", "restaurant_id": "5", "promotion_id": "", "order_datetime": "2024-06-01 13:00:00", "ordering_channel": "Website", "order_status": "Completed", "subtotal": "80", "discount_amount": "8", "tax_amount": "4", "delivery_fee": "0", "final_amount": "76", "payment_method": "Card"},
+               {1: ("discount_exceeds_subtotal", {"discount_amount": "90", "tax_amount": "86"}), 2: ("order_total_mismatch", {"final_amount": "70"}), 3: ("cancelled_settlement", {"order_status": "Cancelled"}), 4: ("foreign_key:customer_id", {"customer_id": "11"})}),
+    "order_items": ("orders", "o_orderkey", {"order_id": "20", "menu_item_id": "30", "quantity": "3", "unit_price": "5", "item_discount": "1", "line_total": "14", "special_request": ""},
+                    {1: ("positive:quantity", {"quantity": "0", "item_discount": "0"}), 2: ("discount_exceeds_line_value", {"item_discount": "16"}), 3: ("derived_nonfinite", {"unit_price": "1.7e308"}), 4: ("foreign_key:order_id", {"order_id": "21"})}),
+    "pricing_history": ("part", "p_partkey", {"menu_item_id": "30", "restaurant_id": "5", "old_price": "10", "new_price": "11", "effective_from": "2024-07-01", "effective_to": "", "change_reason": "Inflation"},
+                        {1: ("date_order", {"effective_to": "2024-06-01"}), 2: ("domain:change_reason", {"change_reason": "Mood"})}),
+    "ratings": ("events", "event_id", {"order_id": "20", "customer_id": "10", "restaurant_id": "5", "rating": "4", "food_rating": "4.5", "service_rating": "", "delivery_rating": "", "review_text": "", "rating_date": "2024-06-03"},
+                {1: ("rating_range:rating", {"rating": "9"}), 2: ("required:rating_date", {"rating_date": ""}), 3: ("foreign_key:restaurant_id", {"restaurant_id": "1"})}),
+    "inventory": ("part", "p_partkey", {"restaurant_id": "5", "menu_item_id": "30", "record_date": "2024-08-01", "opening_stock": "9", "stock_received": "4", "stock_used": "6", "closing_stock": "7", "reorder_level": "3", "stock_status": "Normal"},
+                  {1: ("stock_balance", {"closing_stock": "8"}), 2: ("domain:stock_status", {"stock_status": "Gone"})}),
+    "wastage": ("part", "p_partkey", {"restaurant_id": "5", "menu_item_id": "30", "wastage_date": "2024-08-02", "quantity_wasted": "2", "unit_cost": "6", "wastage_cost": "12", "reason": "Unsold"},
+                {1: ("nonnegative:quantity_wasted", {"quantity_wasted": "-1"}), 2: ("foreign_key:menu_item_id", {"menu_item_id": "31"})}),
+}
+
+
+def broken_sources(d: Domain) -> dict[str, DataFrame]:
+    """All eleven tables as text, a row for each key of a given table, some of which break one rule."""
+    out = {}
+    for table, (given, key, cells, faults) in BROKEN.items():
+        n = F.col(key).cast("long")
+        columns = [n.cast("string").alias(TABLES[table].key)]
+        for c, valid in cells.items():
+            value = F.lit(valid)
+            for left, (_, sets) in faults.items():
+                if c in sets:
+                    value = F.when(n % 10 == left, sets[c]).otherwise(value)
+            columns.append(value.alias(c))
+        out[table] = d.raw(given).select(*columns)
+    return out
+
+
+@query
+def rules_fired(d: Domain) -> DataFrame:
+    """(table, rule, rows): rules of all eleven tables on sources made from given tables, parents first."""
+    done = quality.validate_all(broken_sources(d), lambda df, t: kept(df, f"accepted-{t}"))
+    return base.union([v.rule_counts().select(F.lit(t).alias("table"), "rule", "rows") for t, v in done.items()])
 
 
 @query
@@ -278,17 +355,68 @@ def mart_invariants(d: Domain) -> DataFrame:
     return verify.mart_checks(d.menu, base.menu_profitability(d), base.menu_by_location(d), base.basket_rules(d), 20, wastage.ranking(d.wastage))
 
 
+GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
 @query
 def refused_columns(d: Domain) -> DataFrame:
-    """(column, refused): names that a mart must not carry."""
+    """(table, column, refused): columns of the given tables that a mart must not carry."""
+    found = {t: (d.raw(t).columns, sinks.personal_columns(d.raw(t))) for t in GIVEN}
+    return d.spark.createDataFrame([(t, c, c in bad) for t, (columns, bad) in found.items() for c in columns], "table string, column string, refused boolean")
+
+
+# ------------------------------------------------- grains and order statistics
+
+
+@query
+def sales_rollup(d: Domain) -> DataFrame:
+    """Seven grains of net sales from one scan, each group with its share of the grain above."""
+    lines = base.sold(d).select("category_id", "menu_item_id", "restaurant_id", "month", "quantity", "net_revenue")
+    return rollups.sales_rollup(lines)
+
+
+@query
+def distinct_by_grain(d: Domain) -> DataFrame:
+    """Buyers, orders and visit days by item, place, month and place and month, all from one table of bitmaps."""
+    lines = base.sold(d).select("menu_item_id", "restaurant_id", "month", "customer_id", "order_id", "day")
+    people, orders = bitmaps.dense_numbers(d.orders, "customer_id", "_person"), bitmaps.dense_numbers(d.orders, "order_id", "_order")
+    rows = lines.join(people, "customer_id", "left").join(orders, "order_id", "left")
+    names = {"buyers": F.col("_person"), "orders": F.col("_order"), "visit_days": F.unix_date("day")}
+    table = kept(bitmaps.bitmaps(rows, ["menu_item_id", "restaurant_id", "month"], names), "bitmaps")
+    grains = {"item": ["menu_item_id"], "place": ["restaurant_id"], "month": ["month"], "place and month": ["restaurant_id", "month"]}
+    column = lambda c, by, kind: (F.col(c) if c in by else F.lit(None).cast(kind)).alias(c)
+    parts = [bitmaps.distinct_counts(table, by, list(names)).select(F.lit(g).alias("grain"), column("menu_item_id", by, "long"), column("restaurant_id", by, "long"), column("month", by, "string"), *names) for g, by in grains.items()]
+    return base.union(parts)
+
+
+@query
+def line_medians(d: Domain) -> DataFrame:
+    """Exact median and median absolute deviation of line totals: of all lines as one group, and by status."""
+    lines = kept(d.raw("lineitem").select("l_linestatus", F.col("l_extendedprice").alias("total")), "line-totals")
+    parts = []
+    for name, rows in (("all", lines.withColumn("of", F.lit("all"))), ("status", lines.withColumnRenamed("l_linestatus", "of"))):
+        mid = kept(ranges.quantiles(rows, ["of"], "total", 0.5, "median"), "line-median")
+        off = rows.join(ranges.small(mid), "of").withColumn("_off", F.abs(F.col("total") - F.col("median")))
+        parts.append(mid.join(ranges.quantiles(off, ["of"], "_off", 0.5, "mad"), "of").select(F.lit(name).alias("grain"), "of", "median", F.round("mad", 6).alias("mad")))
+    return base.union(parts)
+
+
+@query
+def spread_sample(d: Domain) -> DataFrame:
+    """Nine lines evenly spaced over all lines, by price, order and number; one group holds all rows."""
+    rows = d.raw("lineitem").select("l_extendedprice", "l_orderkey", "l_partkey", "l_linenumber", F.lit("all").alias("of"))
+    return longs(ranges.every_nth(rows, ["l_extendedprice", "l_orderkey", "l_partkey", "l_linenumber"], 9, ["of"]).drop("of"), "l_linenumber")
+
+
+@query
+def segmentation_check(d: Domain) -> DataFrame:
+    """(score, customers, differing): scores by sorted ranges against scores by counts of values."""
+    scored = kept(customers.rfm(d.orders), "scored")
     out = []
-    for column in ("customer_id", "customer_name", "email", "home_phone", "renamed", "address_line"):
-        try:
-            sinks.refuse_personal_columns(d.spark.range(0).toDF(column))
-            out.append((column, False))
-        except ValueError:
-            out.append((column, True))
-    return d.spark.createDataFrame(out, "column string, refused boolean")
+    for score, (value, down) in {"r_score": ("recency_days", True), "f_score": ("frequency", False), "m_score": ("monetary_value", False)}.items():
+        again = ranges.counted_tiles(scored.select("customer_id", value, score), 5, value, "customer_id", "_again", descending=down)
+        out.append(again.agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.col(score) != F.col("_again")).alias("differing")).select(F.lit(score).alias("score"), "customers", "differing"))
+    return base.union(out)
 
 
 # ----------------------------------------------------------- sort and limit
@@ -390,13 +518,6 @@ def risk_labels(d: Domain) -> DataFrame:
     return longs(risk.labelled(rows, "2000-01-01").select("restaurant_id", "category_id", "week", "next_waste", "label"), "label")
 
 
-@query
-def backtest_errors(d: Domain) -> DataFrame:
-    """Rolling origins: rows and errors of the week-before forecast; the model's errors only have to be there."""
-    out = forecast.backtest(forecast.daily_panel(base.channel_days(d)), ["1999-06-30", "2000-12-31"])
-    return longs(out.select("origin", "horizon", "n", "naive_mae", (F.col("mae") >= 0).alias("has_mae")), "horizon")
-
-
 @query
 def served_forecast(d: Domain) -> DataFrame:
     made = forecast.rollout(forecast.daily_panel(base.channel_days(d)), forecast.naive, 28).withColumn("level", F.lit("channel"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed_sum, share
-from ..operators import anomalies, baskets, catalog, compare, customers, economics, expand, features, findings, panels, pricing, promotions, quality, ranking, recommendations, reports, wastage, whatif
+from ..operators import anomalies, baskets, catalog, compare, customers, economics, expand, features, findings, panels, pricing, promotions, quality, ranges, ranking, recommendations, reports, wastage, whatif
 from .tables import Domain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -479,7 +479,7 @@ def latest_snapshot(d: Domain) -> DataFrame:
 
 @query
 def every_nth_sample(d: Domain) -> DataFrame:
-    return ranking.every_nth(d.raw("events").select("event_type", "event_id"), ["event_id"], 5, ["event_type"])
+    return ranges.every_nth(d.raw("events").select("event_type", "event_id"), ["event_id"], 5, ["event_type"])
 
 
 @query
@@ -545,42 +545,6 @@ def catalog_view(d: Domain) -> DataFrame:
 # --------------------------------------------------- models and streaming
 
 
-@query
-def demand_model(d: Domain) -> DataFrame:
-    """Rows that the hourly demand models were validated and tested on; their errors only have to be there."""
-    from ..models import demand
-
-    fitted = demand.fit(hourly_facts_panel(d), "event_type", "hour", "orders", "2024-01-20", "2024-01-25")
-    return fitted.report.select(chosen_name(fitted.chosen), "split", "n", ((F.col("rmse") >= F.col("mae")) & (F.col("mae") >= 0)).alias("has_errors"))
-
-
-def chosen_name(chosen: str):
-    """The model that validation chose is told by its role in the test."""
-    return F.when((F.col("split") == "test") & (F.col("name") == chosen), "chosen").otherwise(F.col("name")).alias("name")
-
-
-@query
-def wastage_risk_model(d: Domain) -> DataFrame:
-    """The weekly wastage-risk models over returned lines; their metrics only have to be within bounds."""
-    from ..models import risk
-
-    week = F.to_date(F.date_trunc("week", F.col("order_datetime"))).alias("week")
-    sales = sold(d).groupBy("restaurant_id", "category_id", week).agg(F.sum("quantity").alias("demand"))
-    panel = weekly_panel(d).join(sales, ["restaurant_id", "category_id", "week"], "left").fillna(0, ["demand"])
-    fitted = risk.fit(panel, ["restaurant_id", "category_id"], "week", "waste", "demand", "2000-01-01", "2000-10-01")
-    bounded = F.col("threshold").between(0.05, 0.95) & F.col("pr_auc").between(0, 1) & F.col("f1").between(0, 1)
-    return fitted.report.select(chosen_name(fitted.chosen), "split", bounded.alias("within_bounds"))
-
-
-@query
-def disengagement_model(d: Domain) -> DataFrame:
-    """Held-out rows and disengaged customers among them; the metrics only have to be within bounds."""
-    from ..models import risk
-
-    out = risk.disengagement_model(disengagement_labels(d))
-    return out.select("n", "positives", (F.col("f1").between(0, 1) & F.col("roc_auc").between(0, 1)).alias("within_bounds"))
-
-
 def event_days(d: Domain) -> DataFrame:
     return d.raw("events").groupBy(F.col("event_type").alias("entity"), F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("units"))
 
@@ -589,15 +553,6 @@ def channel_days(d: Domain) -> DataFrame:
     return d.orders.groupBy(F.col("ordering_channel").alias("entity"), F.to_date("order_datetime").alias("day")).agg(F.count(F.lit(1)).alias("units"))
 
 
-@query
-def daily_rollout(d: Domain) -> DataFrame:
-    from ..models import forecast
-
-    panel = forecast.daily_panel(channel_days(d))
-    out = forecast.rollout(panel, forecast.fit_linear(forecast.training(panel)), 28)
-    return longs(out.select("entity", "day", "horizon_day", "baseline", (F.col("prediction") >= 0).alias("has_prediction")), "horizon_day")
-
-
 @query
 def naive_rollout(d: Domain) -> DataFrame:
     """The seasonal-naive baseline alone: each day repeats the one a week before."""

@@ -138,20 +138,29 @@ DEFECTS: tuple[tuple[str, str, float, dict[str, str]], ...] = (
 COPIES = 0.001
 
 
+def draw(salt: str, seed: int, key: str) -> Column:
+    """A pseudo-random number from 0 to 1 of a row's key; MD5, so that other engines draw alike."""
+    text = F.concat(F.lit(f"{salt}:{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.conv(F.substr(F.md5(text.cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long") / float(1 << 32)
+
+
 def inject(tables: dict[str, DataFrame], seed: int = 42) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All columns as text with defects and exact copies, and the manifest (table, issue, rows)."""
+    """All columns as text with defects and exact copies, and the manifest (table, issue, rows).
+
+    Defects of columns that a table lacks are left out.
+    """
     dirty, counts = {}, []
     for name, df in tables.items():
         key = TABLES[name].key
         rows = df.select(*(F.col(c).cast("string").alias(c) for c in df.columns))
         marks = {}
         for table, issue, part, sets in DEFECTS:
-            if table == name:
-                marks[issue] = unit(issue, seed, key) < part
+            if table == name and set(sets) <= set(df.columns):
+                marks[issue] = draw(issue, seed, key) < part
                 rows = rows.withColumn(f"_{issue}", marks[issue])
                 for c, value in sets.items():
                     rows = rows.withColumn(c, F.when(F.col(f"_{issue}"), F.expr(value)).otherwise(F.col(c)))
-        again = unit("copy", seed, key) < COPIES
+        again = draw("copy", seed, key) < COPIES
         rows = rows.withColumn("_copy", again)
         issues = [*marks, "copy"]
         counted = rows.agg(*(F.coalesce(F.sum(F.col(f"_{i}").cast("long")), F.lit(0)).alias(i) for i in issues))
@@ -164,25 +173,21 @@ def inject(tables: dict[str, DataFrame], seed: int = 42) -> tuple[dict[str, Data
     return dirty, manifest
 
 
+def signs(name: str, columns: list[str]) -> dict[str, Column]:
+    """What a spoilt row of a table looks like, by defect."""
+    return {issue: F.col(c).eqNullSafe(F.expr(v)) for table, issue, _, sets in DEFECTS if table == name and set(sets) <= set(columns) for c, v in sets.items()}
+
+
 def observed(dirty: dict[str, DataFrame]) -> DataFrame:
-    """(table, issue, rows) that one pass over each spoilt table finds: the declared defects and exact copies."""
-    parts = []
-    for name, df in dirty.items():
-        each = df.groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("_copies"))
-        signs = {}
-        for table, issue, _, sets in DEFECTS:
-            if table == name:
-                (column, value), = sets.items()
-                signs[issue] = F.col(column).eqNullSafe(F.expr(value))
-        found = each.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("copy"), *(F.count_if(x).alias(i) for i, x in signs.items()))
-        parts.append(found.select(F.explode(F.array(*(F.struct(F.lit(name).alias("table"), F.lit(i).alias("issue"), F.col(i).alias("rows")) for i in ("copy", *signs)))).alias("x")).select("x.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(table, issue, rows) of the declared defects and exact copies, from one scan of each table."""
+    from ..operators.onepass import single_pass
+
+    told = single_pass(dirty, {t: signs(t, df.columns) for t, df in dirty.items()})
+    return told.where(F.col("issue").isin("copy", *(d[1] for d in DEFECTS)))
 
 
 def reconcile(manifest: DataFrame, observed: DataFrame) -> DataFrame:
-    """Declared against observed (table, issue, rows), with the difference."""
+    """Declared against observed (table, issue, rows), with the difference; what one side lacks counts zero."""
     both = manifest.join(observed.withColumnRenamed("rows", "observed"), ["table", "issue"], "full")
-    return both.withColumn("delta", F.coalesce("observed", F.lit(0)) - F.coalesce("rows", F.lit(0)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return both.select("table", "issue", zero("rows").alias("rows"), zero("observed").alias("observed"), (zero("observed") - zero("rows")).alias("delta"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL = "/tmp/saffron"
 
@@ -19,3 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{LOCAL}"
     return f"{root.rstrip('/')}/saffron-{spark.sparkContext.applicationId}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read back, so that it isn't computed again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result needs them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
