@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import TABLE_ORDER, TABLES
+from ..sources.shared import kept
 from . import contracts
 from .contracts import TOLERANCE
+from .ranges import small
 
 META = ("_corrupt_record", "_source_file")
 
@@ -235,12 +237,41 @@ class Validated:
         return out
 
 
+def _distinct(source: DataFrame, key: str) -> DataFrame:
+    """Source rows but copies, with ``_copies`` and ``_key_variants``: how many different rows have their key.
+
+    Rows without a key have no variants.
+    """
+    names = [c for c in source.columns if c != "_source_file"]
+    blank = F.length(F.trim(F.coalesce(F.col(key), F.lit("")))) == 0
+    # Equal rows hash alike; what merely hashes alike is told apart by the grouping below.
+    hashes = {"_row_hash": F.xxhash64(*names), "_key_hash": F.when(~blank, F.xxhash64(key))}
+    facts = F.array(*(F.struct(F.lit(c).alias("what"), h.alias("hash")) for c, h in hashes.items()))
+    repeated = source.select(F.explode(facts).alias("x")).where("x.hash is not null").groupBy("x.what", "x.hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = kept(repeated.select("what", "hash"), "repeated-hashes")
+    if repeated.isEmpty():
+        return source.withColumns({"_copies": F.lit(0).cast("long"), "_key_variants": F.lit(1).cast("long")})
+    marked = source.withColumns(hashes)
+    for c in hashes:
+        known = repeated.where(F.col("what") == c).select(F.col("hash").alias(c), F.lit(True).alias(f"_again{c}"))
+        marked = marked.join(small(known), c, "left")
+    again = F.col("_again_row_hash").isNotNull() | F.col("_again_key_hash").isNotNull()
+    alone = marked.where(~again).select(*source.columns, F.lit(0).cast("long").alias("_copies"), F.lit(1).cast("long").alias("_key_variants"))
+    each = marked.where(again).groupBy(*names).agg(F.min("_source_file").alias("_source_file"), (F.count(F.lit(1)) - 1).alias("_copies"))
+    several = each.where(~blank).groupBy(F.col(key).alias("_variant_of")).agg(F.count(F.lit(1)).alias("_key_variants")).where("_key_variants > 1")
+    # A hash of the row keeps rows without a key apart, so they spread over tasks.
+    own = F.when(blank, F.concat(F.lit("\0"), F.xxhash64(*names).cast("string"))).otherwise(F.col(key))
+    varied = each.withColumn("_own", own).join(several, F.col("_own") == F.col("_variant_of"), "left")
+    return alone.unionByName(varied.select(*source.columns, "_copies", F.coalesce("_key_variants", F.lit(1)).alias("_key_variants")))
+
+
 def validate(source: DataFrame, table: str, parents: dict[str, DataFrame]) -> Validated:
     """Judge each source row of ``table`` (all columns text) by its contract.
 
-    ``parents`` holds the accepted rows of each table that it refers to. Exact
-    copies collapse by one aggregation that also counts them; every variant of a
-    key that stands on different rows is set aside.
+    ``parents`` holds the accepted rows of each table that it refers to. Exact copies
+    collapse and are counted; every variant of a key that stands on different rows is set
+    aside. A first pass over hashes of rows and keys tells which repeat; only those rows
+    are grouped by their values, all others stay where they are.
     """
     t = TABLES[table]
     names = t.schema.names
@@ -248,15 +279,8 @@ def validate(source: DataFrame, table: str, parents: dict[str, DataFrame]) -> Va
         raise ValueError(f"{table} lacks {missing}")
     for c in META:
         source = source if c in source.columns else source.withColumn(c, F.lit(None).cast("string"))
-    distinct = source.groupBy(*names, "_corrupt_record").agg(F.min("_source_file").alias("_source_file"), (F.count(F.lit(1)) - 1).alias("_copies"))
-    raw = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    distinct = distinct.withColumn("_raw_record", raw)
-    # Only keys that stand on several rows are joined. Rows without a key have no variants
-    # to count; a hash of the row keeps them apart, so they spread over tasks.
-    blank = F.length(F.trim(F.coalesce(F.col(t.key), F.lit("")))) == 0
-    own = F.when(blank, F.concat(F.lit("\0"), F.md5(F.col("_raw_record").cast("binary")))).otherwise(F.col(t.key))
-    several = distinct.where(~blank).groupBy(F.col(t.key).alias("_variant_of")).agg(F.count(F.lit(1)).alias("_key_variants")).where("_key_variants > 1")
-    keyed = distinct.withColumn("_variant_of", own).join(several, "_variant_of", "left")
+    distinct = _distinct(source.select(*names, *META), t.key)
+    keyed = distinct.withColumn("_raw_record", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
     token = {c: F.when(F.length(F.trim(F.col(c))) > 0, F.trim(F.col(c))) for c in names}
     present = keyed.withColumns({f"_present_{c}": token[c].isNotNull() for c in names})
     typed = present.withColumns({f.name: token[f.name].try_cast(f.dataType) if f.dataType.simpleString() != "string" else F.when(F.length(F.trim(F.col(f.name))) > 0, F.col(f.name)) for f in t.schema})
@@ -273,6 +297,7 @@ def validate(source: DataFrame, table: str, parents: dict[str, DataFrame]) -> Va
 def validate_all(sources: dict[str, DataFrame], keep) -> dict[str, Validated]:
     """Validate parents before children; rejected parents reject their children's references.
 
+    Judged rows are written once, and all that is asked of them comes from there.
     ``keep(df, name)`` stores the accepted rows and gives them back as read, which
     cuts the lineage between tables.
     """
@@ -280,6 +305,7 @@ def validate_all(sources: dict[str, DataFrame], keep) -> dict[str, Validated]:
     accepted: dict[str, DataFrame] = {}
     for table in TABLE_ORDER:
         if table in sources:
-            done[table] = validate(sources[table], table, accepted)
+            judged = validate(sources[table], table, accepted)
+            done[table] = Validated(kept(judged.rows, f"judged-{table}"), table, judged.source_rows)
             accepted[table] = keep(done[table].accepted, table)
     return done

@@ -50,7 +50,13 @@ def test_gap_marts(company):
     rows = jobs.save(keyed, f"{root}/gap", "v1")
     assert rows["menu_profitability"] == tables["menu_items"].count() and rows["customer_rfm"] == tables["customers"].count()
     checks = verify.mart_checks(tables["menu_items"], marts["menu_profitability"][0], marts["menu_by_location"][0], marts["basket_rules"][0], 3)
-    assert checks.where("not passed").count() == 0 and checks.count() == 4
+    told = {r["check"]: r for r in checks.collect()}
+    assert set(told) == {"every catalogue item", "one row an item", "one row a place and item", "every place with every item", "rules reach the pair threshold", "known classes", "one row a pair", "no personal columns"}
+    places = marts["menu_by_location"][0]
+    lacking = verify.missing_pairs(places, "restaurant_id", "menu_item_id").agg(F.sum("missing")).first()[0] or 0
+    product = told.pop("every place with every item")
+    assert product["expected"] - product["found"] == lacking and product["passed"] == (lacking == 0)
+    assert all(r["passed"] for r in told.values())
     assert marts["recommendations"][0].where(F.col("source") == "customer behavior").count() > 0
     assert verify.histogram(marts["menu_profitability"][0], "performance_class").count() > 0
 
