@@ -72,3 +72,23 @@ def test_pipeline_of_empty_and_awkward_tables(spark, tmp_path):
     assert docs.columns == clashing.columns
     # white space only is no word, so the mix leaves it out; "one two" stays once, as the copy of smallest id
     assert set(r["doc_id"] for r in docs.collect()) <= {4, 6} and corpus_pipeline.run(spark, path).count() == docs.count()
+
+
+def test_pipeline_leaves_no_tables_behind(spark, tmp_path, monkeypatch):
+    """Written results stay, stages' tables and those of operators go."""
+    from saffron.llm import durable
+    from saffron.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}/app")
+    monkeypatch.setattr(durable, "app_dir", shared.shared_dir)
+    docs, labels = (queries.read(spark, SMALL, t) for t in ("documents", "labels"))
+    path = tables(spark, tmp_path / "in", docs.limit(30), labels)
+    (tmp_path / "app").mkdir()
+    (tmp_path / "app" / "package.zip").write_bytes(b"")
+    corpus_pipeline.write(spark, path, f"file://{tmp_path}/out")
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() > 0
+    assert [p.name for p in (tmp_path / "app").iterdir()] == ["package.zip"]
+    durable.durable(docs.limit(3), "again")
+    assert len(list((tmp_path / "app").iterdir())) == 2
+    durable.release(spark)
+    assert [p.name for p in (tmp_path / "app").iterdir()] == ["package.zip"]
