@@ -31,7 +31,10 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables, once no result needs them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete this application's intermediate tables, once no result needs them; archives that executors load stay."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(path):
+        for entry in files.listStatus(path):
+            if not entry.getPath().getName().endswith(".zip"):
+                files.delete(entry.getPath(), True)
