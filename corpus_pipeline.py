@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from saffron.llm import bpe, exact, mixing, near, toxicity
-from saffron.llm.durable import durable
+from saffron.llm.durable import durable, release
 from saffron.llm.queries import fold, read
 from saffron.llm.ship import ship
 
@@ -60,3 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Run the pipeline, write its rows as Parquet to ``path``, and delete the stages' tables."""
+    run(spark, sf_dir).write.parquet(path)
+    release(spark)
