@@ -26,6 +26,7 @@ text; two groups may then have the same smallest id.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -383,6 +384,22 @@ def _mixed_buckets(hits: DataFrame, classes: DataFrame, labels: DataFrame, stars
     return found.select("key", "size", "others", "cls", "comp", "family", "n_shingles", "sig", (F.col("comp") != F.col("main")).alias("apart"))
 
 
+def _banded(found: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """(key, cls) of ``found`` (key, cls, size), its large buckets parted by the sizes of sets.
+
+    Sets of ``share`` percent similarity differ in size by that factor at most, so they
+    stand in one band of sizes or in neighbouring ones; each row of a large bucket goes
+    into its band and the next, and a pair still meets wherever it can be linked.
+    """
+    large = found.where(F.col("size") > BUCKET_BLOCK)
+    if large.isEmpty():
+        return found.select("key", "cls")
+    width = math.log(100 / share) * (1 + 1e-9) if share < 100 else 1e-9
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / width).cast("long")
+    parted = large.join(classes.select("cls", "n_shingles"), "cls").withColumn("_band", F.explode(F.array(band, band + 1)))
+    return durable(found.where(F.col("size") <= BUCKET_BLOCK).select("key", "cls").unionByName(parted.select(F.xxhash64("key", "_band").alias("key"), "cls")), "banded")
+
+
 def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """(doc_id, n_shingles, digest, component_id, kept) of each row, and whether some id stands on several rows."""
     rows = durable(signatures(documents, words, id_col, text_col), "signatures")
@@ -394,9 +411,9 @@ def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col:
     classes = durable(linked.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")).select("*", "own.text_hash", F.col("own.doc_id").alias("doc")).withColumn("cls", name).drop("own"), "classes")
     keys = durable(index_keys(classes), "keys")
     buckets = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    found = durable(keys.join(buckets, "key"), "hits")
-    degree = found.groupBy("cls").agg(F.sum("size").alias("degree"))
-    ranked = durable(found.select("key", "cls").join(degree, "cls"), "ranked")
+    hit_sizes = durable(keys.join(buckets, "key"), "hits")
+    degree = hit_sizes.groupBy("cls").agg(F.sum("size").alias("degree"))
+    ranked = durable(hit_sizes.select("key", "cls").join(degree, "cls"), "ranked")
     hub = ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("fewer"), "cls"))["cls"].alias("hub"))
     hits = ranked.select("key", "cls")
     shared = hits.join(hub, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("times"))
@@ -406,6 +423,7 @@ def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col:
     links = stars.where("linked").select("a", "b").unionByName(durable(_family_links(stars, share), "family-links"))
     labels = components(links)
     tried = stars.select("a", "b")
+    hits = _banded(hit_sizes, classes, share)
     for nearest in (NEAREST, None):
         found = durable(_mixed_pairs(_mixed_buckets(hits, classes, labels, stars), share, nearest), "found")
         # Only buckets of which partners were left out are searched again.

@@ -319,6 +319,30 @@ def test_classifiers_on_awkward_rows(spark, module):
     assert all(r["predicted"] == 1 for r in run(awkward(spark), one_class).collect())
 
 
+@pytest.mark.parametrize("block", [3, 20])
+def test_near_buckets_parted_by_size(spark, monkeypatch, block):
+    """Texts that share a passage but differ otherwise, of many lengths, some of them near copies."""
+    monkeypatch.setattr(near, "BUCKET_BLOCK", block)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 70))]
+        rows.append((3 * i, " ".join(passage + own)))
+        if i % 4 == 0:
+            rows.append((3 * i + 1, " ".join(passage + own[:-1] + ["new"])))
+        if i % 9 == 0:  # longer by a little less than the largest factor
+            rows.append((3 * i + 2, " ".join(passage + own + [f"z{j}" for j in range((len(passage) + len(own) - 1) // 4 - 1)])))
+    parted = []
+    real = near._banded
+    monkeypatch.setattr(near, "_banded", lambda found, *a: parted.append((found.count(), real(found, *a))) or parted[-1][1])
+    want = brute_components(rows, 2)
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert parted[0][1].count() > parted[0][0]
+    assert near._banded(spark.createDataFrame([(1, 2, 9)], "key long, cls long, size long"), spark.createDataFrame([(2, 7)], "cls long, n_shingles long"), 100).count() == (2 if block < 9 else 1)
+
+
 def test_near_groups_of_one_id_on_many_rows(spark, monkeypatch):
     """Pairs of a repeated id are judged once a text, however many rows carry it."""
     words = [f"w{i}" for i in range(120)]
