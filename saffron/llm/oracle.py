@@ -185,4 +185,57 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_media": _MEDIA, "op5_mixing": _MIXING, "op7_exact_dedup": _EXACT, "op9_near_dedup": _NEAR, "op10_preference": _PREFERENCE, "op10_preference_pairs": _PAIRS, "op11_infill": _INFILL}
+def _shifted(x: str) -> str:
+    """A CRC register after 2 ** k more zero bytes, by the tables t0 to t3 of its four bytes."""
+    return f"xor(xor(t0[{x} % 256 + 1], t1[{x} // 256 % 256 + 1]), xor(t2[{x} // 65536 % 256 + 1], t3[{x} // 16777216 + 1]))"
+
+
+#: Bytes of a text are folded pairwise, 2 ** k of them at step k, into its CRC-32; groups are packed one by one,
+#: at capacities of a gallop and a bisection as the operator tries them.
+_SHARDS = f"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(range AS BIGINT) AS byte, CAST(range AS BIGINT) AS c, 0 AS step FROM range(256)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, step + 1 FROM bits WHERE step < 8
+), crc AS MATERIALIZED (
+  SELECT list(c ORDER BY byte) AS t FROM bits WHERE step = 8
+), shifts AS (
+  SELECT 0 AS k, t AS t0, list_transform(range(256), lambda v: v) AS t1, list_transform(range(256), lambda v: v * 256) AS t2, list_transform(range(256), lambda v: v * 65536) AS t3 FROM crc
+  UNION ALL SELECT k + 1, {', '.join(f"list_transform(t{i}, lambda x: {_shifted('x')})" for i in range(4))} FROM shifts WHERE k < 24
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents
+), g AS MATERIALIZED (
+  SELECT text, sum(size) AS bytes, row_number() OVER (ORDER BY sum(size) DESC, sha256(text)) AS nth FROM d GROUP BY text
+), pairs AS (
+  SELECT nth, regexp_extract_all(hex(encode(text)), '..') AS pairs FROM g
+), bytes AS (
+  SELECT nth, len(pairs) - i AS j, t[CAST('0x' || p AS INTEGER) + 1] AS v FROM (SELECT nth, pairs, unnest(pairs) AS p, generate_subscripts(pairs, 1) AS i FROM pairs), crc
+  UNION ALL SELECT nth, len(pairs), 4294967295 FROM pairs
+), folded AS (
+  SELECT 0 AS k, nth, CAST(j AS BIGINT) AS j, CAST(v AS BIGINT) AS v FROM bytes
+  UNION ALL SELECT any_value(k) + 1, nth, j // 2, bit_xor(CASE WHEN j % 2 = 1 THEN {_shifted('v')} ELSE v END) FROM folded JOIN shifts USING (k) WHERE k < 24 GROUP BY nth, j // 2
+), c AS MATERIALIZED (
+  SELECT list(CAST(bytes AS BIGINT) ORDER BY nth) AS sizes, CAST(greatest(ceil(sum(bytes) / 8), max(bytes)) AS BIGINT) AS low FROM g
+), walk AS (
+  SELECT low, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS high, low AS tried, 1 AS pos, CAST([] AS BIGINT[]) AS rooms, CAST([] AS INTEGER[]) AS homes, CAST([] AS INTEGER[]) AS best, FALSE AS failed, FALSE AS done FROM c
+  UNION ALL
+  SELECT CASE WHEN failed THEN tried + 1 ELSE low END,
+    CASE WHEN failed AND high IS NULL THEN greatest(1, 2 * step) ELSE step END,
+    CASE WHEN placed THEN tried ELSE high END,
+    CASE WHEN failed AND high IS NULL THEN tried + 1 + greatest(1, 2 * step) WHEN failed THEN (tried + 1 + high) // 2 WHEN placed THEN (low + tried) // 2 ELSE tried END,
+    CASE WHEN failed OR placed THEN 1 ELSE pos + 1 END,
+    CASE WHEN failed OR placed THEN CAST([] AS BIGINT[]) WHEN fit IS NULL THEN list_append(rooms, tried - s) ELSE list_transform(rooms, lambda r, i: CASE WHEN i = home THEN r - s ELSE r END) END,
+    CASE WHEN failed OR placed THEN CAST([] AS INTEGER[]) ELSE list_append(homes, home) END,
+    CASE WHEN placed THEN homes ELSE best END,
+    NOT (failed OR placed) AND home > 8,
+    (placed AND low >= tried) OR (failed AND high IS NOT NULL AND tried + 1 >= high)
+  FROM (SELECT *, pos > len(sizes) AND NOT failed AS placed, CAST(coalesce(list_position(rooms, fit), len(rooms) + 1) AS INTEGER) AS home FROM (
+    SELECT walk.*, sizes, sizes[pos] AS s, list_min(list_filter(rooms, lambda r: r >= sizes[pos])) AS fit FROM walk, c WHERE NOT done))
+), homes AS (
+  SELECT unnest(best) - 1 AS shard, generate_subscripts(best, 1) AS nth FROM walk WHERE done
+), placed AS (
+  SELECT doc_id, text, size, xor(v, 4294967295) AS text_crc32, CAST(shard AS INTEGER) AS shard FROM d JOIN g USING (text) JOIN homes USING (nth) JOIN folded USING (nth) WHERE k = 24
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, sha256(text)) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_media": _MEDIA, "op5_mixing": _MIXING, "op7_exact_dedup": _EXACT, "op9_near_dedup": _NEAR, "op10_preference": _PREFERENCE, "op10_preference_pairs": _PAIRS, "op11_infill": _INFILL, "op13_sharding": _SHARDS}
