@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed_avg, fixed_sum, ratio, sum_if
 from ..functions.times import Weekday, is_weekend, month, weekday
+from ..sources.shared import kept
 from .ranking import global_ntiles, top_value
 from .reports import completed
 
@@ -34,7 +35,7 @@ def rfm(orders: DataFrame, legacy_recency: bool = False) -> DataFrame:
         F.max("order_datetime").alias("last_order"), F.countDistinct("order_id").alias("frequency"), fixed_sum("final_amount").alias("monetary_value"),
         fixed_avg("final_amount").alias("avg_order_value"), F.countDistinct("restaurant_id").alias("restaurant_diversity"),
     )
-    rows = rows.crossJoin(F.broadcast(last)).withColumn("recency_days", F.datediff("_last", "last_order")).drop("_last")
+    rows = kept(rows.crossJoin(F.broadcast(last)).withColumn("recency_days", F.datediff("_last", "last_order")).drop("_last"), "purchasers")
     rows = global_ntiles(rows, 5, "customer_id", {"r_score": ("recency_days", True), "f_score": ("frequency", False), "m_score": ("monetary_value", False)})
     if legacy_recency:
         rows = rows.withColumn("r_score", 6 - F.col("r_score"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed_sum, share
 from ..operators import anomalies, baskets, catalog, compare, customers, economics, expand, features, findings, panels, pricing, promotions, quality, ranges, ranking, recommendations, reports, wastage, whatif
+from ..sources.shared import kept
 from .tables import Domain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,7 +275,7 @@ def linked(d: Domain) -> DataFrame:
 
 @query
 def menu_features(d: Domain) -> DataFrame:
-    lines = sold(d)
+    lines = kept(sold(d), "lines")
     rated = features.item_ratings(linked(d), features.members(lines))
     return features.menu_features(features.catalog(d.menu, d.categories).select("menu_item_id", "item_name", "category_name"), lines, rated, d.wastage, features.as_of_day(d.orders))
 
