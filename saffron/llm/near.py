@@ -414,9 +414,9 @@ def _groups(documents: DataFrame, words: int, share: int, id_col: str, text_col:
     hit_sizes = durable(keys.join(buckets, "key"), "hits")
     degree = hit_sizes.groupBy("cls").agg(F.sum("size").alias("degree"))
     ranked = durable(hit_sizes.select("key", "cls").join(degree, "cls"), "ranked")
-    hub = ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("fewer"), "cls"))["cls"].alias("hub"))
+    hub = durable(ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("fewer"), "cls"))["cls"].alias("hub"), F.count(F.lit(1)).alias("size")), "hubs")
     hits = ranked.select("key", "cls")
-    shared = hits.join(hub, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("times"))
+    shared = join_groups(hits, hub, "key", "size", hits.count()).where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("times"))
     best = shared.groupBy("cls").agg(F.min(F.struct((-F.col("times")).alias("fewer"), "hub"))["hub"].alias("hub"))
     judge = lambda pairs, name: durable(_judged(documents, total, pairs, classes, repeated, words, share, id_col, text_col), name)
     stars = judge(best.toDF("a", "b"), "stars")
