@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 SHORT = 64
 #: Words whose encoding a worker keeps, in each of two generations.
-CACHED = 250_000
+CACHED = 120_000
 NONE = 1 << 60
 
 
