@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
+from .compiled import Scorer, name, number
 
 #: Newton steps of a logistic model, and the bound of a linear predictor.
 STEPS, BOUND = 10, 30.0
@@ -39,6 +40,11 @@ class Linear:
             out = out + F.lit(c) * F.col(n)
         return sigmoid(out) if self.logistic else out
 
+    def scorer(self) -> Scorer:
+        """The prediction as SQL text, for marts, single rows and other engines."""
+        out = " + ".join([number(self.intercept), *(f"{number(c)} * {name(n)}" for n, c in zip(self.names, self.coefficients, strict=True))])
+        return Scorer(f"1e0 / (1e0 + exp(-greatest({number(-BOUND)}, least({number(BOUND)}, {out}))))" if self.logistic else out, self.names)
+
     def rows(self) -> list[tuple[str, float]]:
         return [("intercept", self.intercept), *zip(self.names, self.coefficients, strict=True)]
 

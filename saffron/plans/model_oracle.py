@@ -169,6 +169,7 @@ _BODIES: dict[str, str] = {
     + "\nUNION ALL " + regression_row("seasonal_naive", "test", "hours", "lag_168"),
     "demand_coefficients": _DEMAND + f" SELECT unnest(['intercept', {', '.join(repr(n) for n in _HOUR_NAMES)}]) AS name, round(unnest(b), 6) AS coefficient FROM late",
     "compiled_scores": _HOURS + " SELECT model, split, count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM hours, (SELECT unnest(['linear', 'forest', 'boosted']) AS model) GROUP BY ALL",
+    "one_row_scores": _DEMAND + f" SELECT event_type, hour, round({product('b', _HOUR_FEATURES)}, 6) AS prediction FROM hours, late WHERE hour = (SELECT max(hour) FROM hours) ORDER BY event_type LIMIT 5",
     "wastage_risk_model": _RISK,
     "disengagement_model": _AWAY,
     "daily_rollout": _DAYS + regression("model", "days", _DAY_FEATURES, "units") + ", models AS (SELECT '' AS origin, (SELECT hi FROM ends) AS last, b FROM model)" + rolled("models", _STEP)

@@ -87,6 +87,17 @@ def compiled_scores(d: Domain) -> DataFrame:
     return union(out)
 
 
+@query
+def one_row_scores(d: Domain) -> DataFrame:
+    """The last hour of each of the first five event types, scored row by row as a service would."""
+    panel = base.hourly_facts_panel(d)
+    scorer = demand.fit_sums(panel, "event_type", "hour", "orders", *HOURS)[0].scorer()
+    rows = demand.features(panel, "event_type", "hour", "orders")
+    last = rows.join(F.broadcast(rows.agg(F.max("hour").alias("hour"))), "hour").orderBy("event_type").limit(5).collect()
+    told = [(r["event_type"], r["hour"], scorer.one(d.spark, r.asDict())) for r in last]
+    return rounded(d.spark.createDataFrame(told, "event_type string, hour timestamp_ntz, prediction double"))
+
+
 @query
 def daily_rollout(d: Domain) -> DataFrame:
     """28 days ahead of each channel: the model's recursive predictions beside the repeated week."""

@@ -145,6 +145,14 @@ def test_compiled_regressions_in_both_engines(spark):
         assert math.isclose(scorer.one(spark, missing), missing["_own"], rel_tol=1e-9)
 
 
+def test_models_from_sums_in_both_engines(spark, frame):
+    for model in (linear.linear(frame, ["a", "b", "same"], "y"), linear.logistic(frame, ["a", "b"], "label")):
+        own = frame.select("a", "b", "same", model.column().alias("_own")).persist()
+        assert max(both_engines(model, own, model.scorer().sql, ["_own"])) < 1e-12
+        row = own.first().asDict()
+        assert math.isclose(model.scorer().one(spark, row), row["_own"])
+
+
 def test_compiled_classifiers_in_both_engines(spark):
     rng = random.Random(4)
     rows = [(f"p{rng.randint(0, 4)}", "it's" if rng.random() < 0.3 else "b\"q\\n", rng.gauss(0, 2), float(rng.randint(0, 5))) for _ in range(600)]
