@@ -6,7 +6,7 @@ from ..operators.rollups import GRAINS
 from ..sources.generator import COPIES, DEFECTS
 from ..sources.schemas import TABLES
 from . import oracle
-from .contract_queries import BROKEN, GIVEN
+from .contract_queries import BROKEN, DESCRIBED, GIVEN
 from .oracle import PREFIX
 
 
@@ -159,6 +159,7 @@ SELECT "table" || ' ' || issue AS "check", rows, CAST(0 AS BIGINT) AS failed FRO
     "mart_preview": """ SELECT '{"ordering_channel":"' || ordering_channel || '","orders":' || n || '}' AS value FROM (SELECT ordering_channel, count(*) AS n FROM done GROUP BY 1) ORDER BY ordering_channel LIMIT 3""",
     "reloaded_model": _HOURS + " SELECT split, n AS rows, n AS scored FROM sizes",
     "wastage_ranking_described": f" SELECT r.*, 'ranking by historical cost' AS method, 'descriptive, no forecast' AS interpretation, as_of AS analysis_as_of FROM ({oracle._BODIES['wastage_ranking']}) r, as_of",
+    "described_marts": " " + " UNION ALL ".join(f"""SELECT '{name}' AS mart, '{method}' AS method, '{meaning}' AS interpretation, as_of AS analysis_as_of, count(*) AS rows FROM ({oracle.ORACLE_SQL[name]}) r, as_of GROUP BY ALL""" for name, (method, meaning) in DESCRIBED.items()),
     "catalog_mart": " SELECT m.*, c.category_name FROM d_menu m LEFT JOIN d_categories c USING (category_id)",
     "customers_mart": " SELECT * FROM d_customers",
     "promotions_mart": " SELECT * FROM d_promotions",

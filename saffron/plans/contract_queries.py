@@ -206,6 +206,24 @@ def wastage_ranking_described(d: Domain) -> DataFrame:
     return sinks.with_provenance(wastage.ranking(d.wastage), "ranking by historical cost", "descriptive, no forecast", as_of)
 
 
+#: What readers of a mart must know: how it was made and how far it goes.
+DESCRIBED = {
+    "wastage_ranking": ("ranking by historical cost", "descriptive, no forecast"), "customer_rfm_full": ("quintiles of recency, frequency and amount", "relative to all purchasers"),
+    "price_sensitivity": ("sales before and after each change", "an association, no cause"), "rating_anomalies": ("daily means by deviation from the median", "unusual days, not explained"),
+    "menu_profitability": ("net revenue less estimated cost", "classes relative to the catalogue"),
+}
+
+
+@query
+def described_marts(d: Domain) -> DataFrame:
+    """(mart, method, interpretation, analysis_as_of, rows): marts with the columns that tell their reader what they mean."""
+    as_of, parts = features.as_of_day(d.orders), []
+    for name, (method, meaning) in DESCRIBED.items():
+        told = sinks.with_provenance(base.QUERIES[name](d.spark, d.dir), method, meaning, as_of)
+        parts.append(told.groupBy(F.lit(name).alias("mart"), "method", "interpretation", "analysis_as_of").agg(F.count(F.lit(1)).alias("rows")))
+    return base.union(parts)
+
+
 @query
 def catalog_mart(d: Domain) -> DataFrame:
     return features.catalog(d.menu, d.categories)
