@@ -1,6 +1,7 @@
 """Formulas and composite operators on rows small enough to work out by hand."""
 
 import json
+import math
 from datetime import date, datetime
 
 import pytest
@@ -224,3 +225,24 @@ def test_catalog_views(spark):
             served.view("m", limit=bad)
     with pytest.raises(KeyError):
         served.view("nope")
+
+
+@pytest.fixture(scope="module")
+def many_items(spark):
+    """Classes of more items than an approximate percentile keeps apart, and their shuffled margins and units."""
+    n = 30_011
+    c = F.col
+    items = spark.range(n).select(c("id").alias("menu_item_id"), (c("id") * 7919 % n).alias("units"), (c("id") * 104_729 % n).alias("cost"))
+    net = items.select("menu_item_id", c("menu_item_id").alias("order_id"), (c("units") + 1).cast("int").alias("quantity"), F.lit(1000.0).alias("line_total"), F.lit(1000.0).alias("net_revenue"), (c("cost") / 100).alias("estimated_cost"))
+    menu = items.select("menu_item_id", F.lit("x").alias("item_name"), F.lit("c").alias("category_id"), F.lit(1.0).alias("cost_price"), F.lit("2020-01-01").cast("date").alias("launch_date"))
+    waste = items.select("menu_item_id", F.lit(1.0).alias("quantity_wasted"), F.lit(1.0).alias("wastage_cost"))
+    kinds, as_of = spark.createDataFrame([("c", "C")], "category_id string, category_name string"), spark.sql("SELECT date'2024-01-01' AS as_of")
+    return n, economics.menu_profitability(net, menu, kinds, waste, as_of).persist()
+
+
+def test_cut_offs_of_many_items_are_exact(many_items):
+    n, rows = many_items
+    at = math.ceil(0.75 * n)
+    cuts = rows.select("units_p75", "margin_p75", "waste_p75").distinct().collect()
+    assert len(cuts) == 1 and cuts[0]["units_p75"] == at and cuts[0]["margin_p75"] == pytest.approx((1000 - (n - at) / 100) / 1000, abs=1e-9)
+    assert cuts[0]["waste_p75"] == pytest.approx(100 / (n - math.ceil(0.75 * (n - 1))), rel=1e-12)
