@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from saffron.functions.numbers import fixed_avg, fixed_sum, half_up, ratio
 from saffron.functions.times import Weekday, hour_of_week, weekday
-from saffron.operators import anomalies, baskets, catalog, compare, customers, economics, expand, findings, panels, ranking, wastage, whatif
+from saffron.operators import anomalies, baskets, catalog, compare, customers, economics, expand, findings, panels, ranking, recommendations, wastage, whatif
 
 
 def test_fixed_sums_do_not_depend_on_order(spark):
@@ -246,3 +246,21 @@ def test_cut_offs_of_many_items_are_exact(many_items):
     cuts = rows.select("units_p75", "margin_p75", "waste_p75").distinct().collect()
     assert len(cuts) == 1 and cuts[0]["units_p75"] == at and cuts[0]["margin_p75"] == pytest.approx((1000 - (n - at) / 100) / 1000, abs=1e-9)
     assert cuts[0]["waste_p75"] == pytest.approx(100 / (n - math.ceil(0.75 * (n - 1))), rel=1e-12)
+
+
+def test_recommended_classes_of_many_items(spark, many_items):
+    """An action for each item but those over both cut-offs."""
+    n, rows = many_items
+    none = spark.createDataFrame([], "antecedent string, consequent string, pair_count long, lift double")
+    stock = spark.createDataFrame([], "restaurant_id long, menu_item_id long, record_date date, inventory_id long, closing_stock int, stock_status string")
+    got = recommendations.recommend(none, rows, spark.createDataFrame([], "behavior_segment string"), stock)
+    at = math.ceil(0.75 * n)
+    want = {"review portion and cost": 0, "test targeted visibility": 0, "review placement, cost and demand before removal": 0}
+    for i in range(n):
+        cost = i * 104_729 % n
+        popular, profitable, frugal = i * 7919 % n + 1 >= at, n - cost >= at, cost == 0 or cost >= n - math.ceil(0.75 * (n - 1))
+        if popular and not (profitable and frugal):
+            want["review portion and cost"] += 1
+        elif not popular:
+            want["test targeted visibility" if profitable else "review placement, cost and demand before removal"] += 1
+    assert {r["action"]: r["n"] for r in got.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()} == want
