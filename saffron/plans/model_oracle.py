@@ -165,8 +165,13 @@ _AWAY = oracle._BODIES["disengagement_labels"].replace("\nSELECT customer_id", "
 SELECT tp + fp + fn + tn AS n, tp + fn AS positives, {_METRICS} FROM ({rates(counted('scored', 'p >= 0.5'))}), ({auc('scored')})"""
 
 _BODIES: dict[str, str] = {
-    "demand_model": _DEMAND + "\n" + regression_row("linear", "validation", "hours, early", f"({product('b', _HOUR_FEATURES)})") + "\nUNION ALL " + regression_row("linear", "test", "hours, late", f"({product('b', _HOUR_FEATURES)})")
-    + "\nUNION ALL " + regression_row("seasonal_naive", "test", "hours", "lag_168"),
+    "demand_model": _DEMAND + ", told AS (" + regression_row("linear", "validation", "hours, early", f"({product('b', _HOUR_FEATURES)})") + "\nUNION ALL " + regression_row("linear", "test", "hours, late", f"({product('b', _HOUR_FEATURES)})")
+    + "\nUNION ALL " + regression_row("seasonal_naive", "test", "hours", "lag_168") + """
+), learned AS (
+  SELECT name, split, count(*) AS n FROM hours JOIN (SELECT unnest(['forest', 'boosted']) AS name) ON split = 'validation' GROUP BY 1, 2
+  UNION ALL SELECT 'chosen', split, count(*) FROM hours WHERE split = 'test' GROUP BY 2
+)
+SELECT *, TRUE AS has_errors FROM told UNION ALL SELECT name, split, n, NULL, NULL, NULL, TRUE FROM learned""",
     "demand_coefficients": _DEMAND + f" SELECT unnest(['intercept', {', '.join(repr(n) for n in _HOUR_NAMES)}]) AS name, round(unnest(b), 6) AS coefficient FROM late",
     "compiled_scores": _HOURS + " SELECT model, split, count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM hours, (SELECT unnest(['linear', 'forest', 'boosted']) AS model) GROUP BY ALL",
     "one_row_scores": _DEMAND + f" SELECT event_type, hour, round({product('b', _HOUR_FEATURES)}, 6) AS prediction FROM hours, late WHERE hour = (SELECT max(hour) FROM hours) ORDER BY event_type LIMIT 5",

@@ -165,3 +165,12 @@ def test_compiled_classifiers_in_both_engines(spark):
         assert max(both_engines(model, own, compiled.compiled(model).sql, ["_own"])) < 1e-9, name
     with pytest.raises(TypeError, match="no expression"):
         compiled.compiled(Pipeline(stages=stages).fit(data))
+
+
+def test_demand_model_compares_all_learners(spark):
+    """Not the linear one alone: all three on validation, the chosen one and the week before on test."""
+    from saffron.plans.model_queries import QUERIES
+
+    rows = {(r["name"], r["split"]): r for r in QUERIES["demand_model"](spark, SF).collect()}
+    assert set(rows) == {("linear", "validation"), ("forest", "validation"), ("boosted", "validation"), ("linear", "test"), ("chosen", "test"), ("seasonal_naive", "test")}
+    assert all(r["has_errors"] and r["n"] > 0 for r in rows.values()) and rows["linear", "validation"]["rmse"] > 0
