@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schemas import TABLE_ORDER, TABLES
 from ..sources.shared import kept
 from . import contracts
 from .contracts import TOLERANCE
-from .ranges import small
+from .ranges import dealt
 
 META = ("_corrupt_record", "_source_file")
 
@@ -80,8 +80,10 @@ def issue_summary(validated: Validated) -> DataFrame:
     rule stands, also without a row.
     """
     policy = contracts.catalog(validated.source_rows.sparkSession).where(F.col("table") == validated.table)
-    copies = validated.rows.agg(F.coalesce(F.sum("_copies"), F.lit(0)).cast("long").alias("rows")).select(F.lit("exact_duplicate").alias("rule"), "rows")
-    done = validated.rule_counts().unionByName(validated.repair_counts()).unionByName(copies)
+    fact = lambda rule, n=1: F.struct(rule.alias("rule"), F.lit(n).cast("long").alias("rows"))
+    done = [F.when(cond, fact(F.lit(n))) for n, cond in validated.repair_conditions().items()] + [F.when(F.col("_copies") > 0, fact(F.lit("exact_duplicate"), F.col("_copies")))]
+    facts = F.concat(F.transform("_quality_reasons", lambda r: fact(r)), F.filter(F.array(*done), lambda x: x.isNotNull()))
+    done = validated.rows.select(F.explode(facts).alias("x")).groupBy("x.rule").agg(F.sum("x.rows").alias("rows"))
     total = validated.source_rows.agg(F.count(F.lit(1)).alias("_all"))
     rows = F.coalesce("rows", F.lit(0).cast("long"))
     return policy.join(F.broadcast(done), "rule", "left").crossJoin(F.broadcast(total)).select("table", "rule", "action", "about", rows.alias("rows"), F.try_divide(rows, "_all").alias("share"))
@@ -213,7 +215,8 @@ class Validated:
         """(rule, rows); a row counts for each of its reasons."""
         return self.rows.select(F.explode("_quality_reasons").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
 
-    def repair_counts(self) -> DataFrame:
+    def repair_conditions(self) -> dict[str, Column]:
+        """By repair the accepted rows that it changes."""
         t, good = TABLES[self.table], F.size("_quality_reasons") == 0
         wanted: dict[str, Column] = {}
         if t.derived:
@@ -222,6 +225,10 @@ class Validated:
             wanted[f"recompute:{name}"] = good & (F.col(name).isNull() | (F.abs(F.col(name) - due) > TOLERANCE))
         if t.fill_unknown:
             wanted[f"fill:{t.fill_unknown}"] = good & F.col(t.fill_unknown).isNull()
+        return wanted
+
+    def repair_counts(self) -> DataFrame:
+        wanted = self.repair_conditions()
         names = list(wanted) or ["none"]
         counted = self.rows.agg(*count_if(wanted or {"none": F.lit(False)}))
         return counted.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("rows")) for n in names))).alias("x")).select("x.*").where("rows > 0")
@@ -237,32 +244,39 @@ class Validated:
         return out
 
 
+#: Buckets of key hashes, and rows of a bucket from which they are dealt by their values, not by their key.
+BUCKETS, HOT = 1 << 16, 100_000
+
+
 def _distinct(source: DataFrame, key: str) -> DataFrame:
     """Source rows but copies, with ``_copies`` and ``_key_variants``: how many different rows have their key.
 
-    Rows without a key have no variants.
+    Rows without a key have no variants. Rows are shuffled once, by their key, and sorted
+    once: copies and variants are neighbours. So that no task gets all rows of a frequent
+    key, rows of overfull buckets of keys are grouped by their values first.
     """
     names = [c for c in source.columns if c != "_source_file"]
     blank = F.length(F.trim(F.coalesce(F.col(key), F.lit("")))) == 0
-    # Equal rows hash alike; what merely hashes alike is told apart by the grouping below.
-    hashes = {"_row_hash": F.xxhash64(*names), "_key_hash": F.when(~blank, F.xxhash64(key))}
-    facts = F.array(*(F.struct(F.lit(c).alias("what"), h.alias("hash")) for c, h in hashes.items()))
-    repeated = source.select(F.explode(facts).alias("x")).where("x.hash is not null").groupBy("x.what", "x.hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = kept(repeated.select("what", "hash"), "repeated-hashes")
-    if repeated.isEmpty():
-        return source.withColumns({"_copies": F.lit(0).cast("long"), "_key_variants": F.lit(1).cast("long")})
-    marked = source.withColumns(hashes)
-    for c in hashes:
-        known = repeated.where(F.col("what") == c).select(F.col("hash").alias(c), F.lit(True).alias(f"_again{c}"))
-        marked = marked.join(small(known), c, "left")
-    again = F.col("_again_row_hash").isNotNull() | F.col("_again_key_hash").isNotNull()
-    alone = marked.where(~again).select(*source.columns, F.lit(0).cast("long").alias("_copies"), F.lit(1).cast("long").alias("_key_variants"))
-    each = marked.where(again).groupBy(*names).agg(F.min("_source_file").alias("_source_file"), (F.count(F.lit(1)) - 1).alias("_copies"))
-    several = each.where(~blank).groupBy(F.col(key).alias("_variant_of")).agg(F.count(F.lit(1)).alias("_key_variants")).where("_key_variants > 1")
     # A hash of the row keeps rows without a key apart, so they spread over tasks.
     own = F.when(blank, F.concat(F.lit("\0"), F.xxhash64(*names).cast("string"))).otherwise(F.col(key))
-    varied = each.withColumn("_own", own).join(several, F.col("_own") == F.col("_variant_of"), "left")
-    return alone.unionByName(varied.select(*source.columns, "_copies", F.coalesce("_key_variants", F.lit(1)).alias("_key_variants")))
+    bucket = F.pmod(F.xxhash64(own), F.lit(BUCKETS)).cast("int")
+    counts = kept(source.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n")), "key-buckets")
+    hot, total = counts.where(F.col("n") > HOT).select("_bucket"), counts.agg(F.sum("n")).first()[0] or 0
+    collapsed = [F.min("_source_file").alias("_source_file"), (F.count(F.lit(1)) - 1).alias("_copies")]
+    variants = lambda n: F.when(blank, F.lit(1).cast("long")).otherwise(n).alias("_key_variants")
+
+    def by_key(rows: DataFrame) -> DataFrame:
+        each = dealt(rows.withColumn("_own", own), total, "_own").groupBy("_own", *names).agg(*collapsed)
+        return each.select(*source.columns, "_copies", variants(F.count(F.lit(1)).over(Window.partitionBy("_own"))))
+
+    if hot.isEmpty():
+        return by_key(source)
+    # At most BUCKETS rows.
+    marked = F.broadcast(hot)
+    each = source.join(marked, bucket == F.col("_bucket"), "left_semi").groupBy(*names).agg(*collapsed)
+    several = each.where(~blank).groupBy(F.col(key).alias("_variant_of")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    varied = each.join(several, own == F.col("_variant_of"), "left")
+    return by_key(source.join(marked, bucket == F.col("_bucket"), "left_anti")).unionByName(varied.select(*source.columns, "_copies", variants(F.coalesce("_n", F.lit(1).cast("long")))))
 
 
 def validate(source: DataFrame, table: str, parents: dict[str, DataFrame]) -> Validated:
@@ -270,8 +284,8 @@ def validate(source: DataFrame, table: str, parents: dict[str, DataFrame]) -> Va
 
     ``parents`` holds the accepted rows of each table that it refers to. Exact copies
     collapse and are counted; every variant of a key that stands on different rows is set
-    aside. A first pass over hashes of rows and keys tells which repeat; only those rows
-    are grouped by their values, all others stay where they are.
+    aside. Rules on one row are judged before parents are joined, so that only what is
+    asked of the rows goes through those joins; values are typed and records written after.
     """
     t = TABLES[table]
     names = t.schema.names
@@ -280,18 +294,21 @@ def validate(source: DataFrame, table: str, parents: dict[str, DataFrame]) -> Va
     for c in META:
         source = source if c in source.columns else source.withColumn(c, F.lit(None).cast("string"))
     distinct = _distinct(source.select(*names, *META), t.key)
-    keyed = distinct.withColumn("_raw_record", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
-    token = {c: F.when(F.length(F.trim(F.col(c))) > 0, F.trim(F.col(c))) for c in names}
-    present = keyed.withColumns({f"_present_{c}": token[c].isNotNull() for c in names})
-    typed = present.withColumns({f.name: token[f.name].try_cast(f.dataType) if f.dataType.simpleString() != "string" else F.when(F.length(F.trim(F.col(f.name))) > 0, F.col(f.name)) for f in t.schema})
-    found = contracts.rules(table)
+    text = {c: F.col(f"_text_{c}") for c in names}
+    some = {c: F.length(F.trim(x)) > 0 for c, x in text.items()}
+    value = {f.name: F.when(some[f.name], text[f.name]) if f.dataType.simpleString() == "string" else F.when(some[f.name], F.trim(text[f.name])).try_cast(f.dataType) for f in t.schema}
+    rows = distinct.withColumnsRenamed({c: f"_text_{c}" for c in names})
+    typed = rows.withColumns({f"_present_{c}": F.coalesce(some[c], F.lit(False)) for c in names} | value)
+    rows = typed.withColumn("_own_reasons", contracts.reasons(contracts.rules(table))).select(*rows.columns, "_own_reasons").drop("_key_variants")
+    found = []
     for column, parent in t.parents.items():
         mark = f"_parent_{column}"
         keys = parents[parent].select(F.col(TABLES[parent].key).alias(mark)).distinct()
-        typed = typed.join(keys, F.col(column) == F.col(mark), "left")
-        found.append(contracts.Rule(f"foreign_key:{column}", "", F.col(column).isNotNull() & F.col(mark).isNull()))
-    rows = typed.withColumn("_quality_reasons", contracts.reasons(found)).select(*names, "_raw_record", *META, "_copies", "_quality_reasons")
-    return Validated(rows, table, source)
+        rows = rows.join(keys, value[column] == F.col(mark), "left")
+        found.append(contracts.Rule(f"foreign_key:{column}", "", value[column].isNotNull() & F.col(mark).isNull()))
+    reasons = F.concat("_own_reasons", contracts.reasons(found)) if found else F.col("_own_reasons")
+    record = F.to_json(F.struct(*(x.alias(c) for c, x in text.items())), {"ignoreNullFields": "false"})
+    return Validated(rows.select(*(x.alias(c) for c, x in value.items()), record.alias("_raw_record"), *META, "_copies", reasons.alias("_quality_reasons")), table, source)
 
 
 def validate_all(sources: dict[str, DataFrame], keep) -> dict[str, Validated]:

@@ -14,6 +14,8 @@ from ..sources.shared import kept
 
 #: Groups up to which their table of a few numbers is broadcast.
 BROADCAST_GROUPS = 100_000
+#: Rows up to which a partition is sorted or hashed in memory.
+PARTITION_ROWS = 500_000
 
 
 def running(df: DataFrame, order: list[str | Column], sums: dict[str, str], name: str = "ranges") -> DataFrame:
@@ -37,6 +39,12 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_GROUPS if limit is None else limit) else df
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of so many rows shuffled by ``keys``: into more partitions than the session's where these would grow too large."""
+    n = -(-rows // PARTITION_ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
 def running_by(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str], name: str = "ranges") -> DataFrame:
     """``running`` inside each group of ``by``; adds each sum over the whole group as ``<name>_all``."""
     if not by:

@@ -133,3 +133,32 @@ def test_catalog_names_every_rule(spark):
     assert rows.groupBy("table", "rule").count().where("count > 1").isEmpty()
     per = {r["table"]: r["n"] for r in rows.where("rule like 'foreign_key:%'").groupBy("table").agg(F.count("*").alias("n")).collect()}
     assert per == {t: len(x.parents) for t, x in TABLES.items() if x.parents}
+
+
+@pytest.mark.parametrize("hot", [2, 100_000])
+def test_frequent_keys_are_judged_alike(spark, monkeypatch, hot):
+    """Copies, variants and blank keys, whether their buckets are dealt by value or by key."""
+    monkeypatch.setattr(quality, "HOT", hot)
+    rows = [row("inventory", inventory_id=f"k{i % 40}", reorder_level=str(i % 7 if i % 40 < 20 else 1)) for i in range(400)] + [row("inventory", inventory_id=" ", reorder_level=str(i % 3)) for i in range(30)]
+    v = quality.validate(readers.source_rows(spark, "inventory", rows).repartition(5), "inventory", parents_of(spark, "inventory"))
+    different = len(set(rows))
+    assert v.accounting() == {"before": 430, "accepted": 20, "quarantined": different - 20, "exact_duplicates": 430 - different}
+    assert {r["rule"]: r["rows"] for r in v.rule_counts().collect()} == {"conflicting_primary_key": different - 23, "required:inventory_id": 3}
+
+
+def test_lines_are_shuffled_once_by_key_and_once_by_parent(spark):
+    """Many repeated keys: no join by hashes, and only what was asked goes through the joins with parents."""
+    from saffron.plans import queries as base
+    from saffron.plans.tables import Domain
+
+    plan = base.judged(Domain(spark, "/root/testdata/sf0.001")).rule_counts()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and plan.count("RepartitionByExpression") == 1
+    above = plan[: plan.index("Window")]
+    assert "_text_unit_price" not in above.split("Join LeftOuter")[1]
+
+
+def test_partitions_grow_with_rows(spark):
+    from saffron.operators import ranges
+
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    assert ranges.dealt(rows, 11 * ranges.PARTITION_ROWS, "k").rdd.getNumPartitions() == 11 and ranges.dealt(rows, 100, "k").rdd.getNumPartitions() <= 4
