@@ -79,8 +79,11 @@ def rules(table: str) -> list[Rule]:
 
 
 def reasons(found: list[Rule]) -> Column:
-    """Ids of the rules that fire, in order, as an array."""
-    return F.filter(F.array(*(F.when(F.coalesce(r.fires, F.lit(False)), F.lit(r.id)) for r in found)), lambda x: x.isNotNull())
+    """Ids of the rules that fire, in order, as an array.
+
+    Not by a lambda, which would leave compiled code and judge row by row.
+    """
+    return F.array_except(F.array(*(F.when(F.coalesce(r.fires, F.lit(False)), F.lit(r.id)) for r in found)), F.array(F.lit(None).cast("string")))
 
 
 def catalog(spark: SparkSession) -> DataFrame:

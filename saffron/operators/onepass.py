@@ -46,8 +46,8 @@ def _facts(df: DataFrame, table: str, spaces: list[str], relations: dict[tuple[s
         if parent in spaces and column in df.columns:
             found.append(F.when(F.col(column).isNotNull(), fact(parent, F.col(column), 1, relations[table, column])))
     found += [F.when(F.coalesce(cond, F.lit(False)), fact(f"#{table}", F.lit(name), 2)) for name, cond in signs.items()]
-    each = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return df.select(F.explode(each).alias("_fact")).select("_fact.*")
+    # Nulls go after the array is dealt out: a lambda over it would leave compiled code, row by row.
+    return df.select(F.explode(F.array(*found)).alias("_fact")).where(F.col("_fact").isNotNull()).select("_fact.*")
 
 
 def single_pass(tables: dict[str, DataFrame], signs: dict[str, dict[str, Column]] | None = None) -> DataFrame:

@@ -162,3 +162,16 @@ def test_partitions_grow_with_rows(spark):
 
     rows = spark.range(100).withColumnRenamed("id", "k")
     assert ranges.dealt(rows, 11 * ranges.PARTITION_ROWS, "k").rdd.getNumPartitions() == 11 and ranges.dealt(rows, 100, "k").rdd.getNumPartitions() <= 4
+
+
+def test_reasons_and_facts_are_compiled(spark):
+    """No lambda over an array on the way of each row."""
+    from saffron.operators import onepass
+
+    frame = spark.createDataFrame([("w", "r", "-2")], "wastage_id string, restaurant_id string, quantity_wasted string")
+    facts = onepass._facts(frame, "wastage", ["wastage"], {}, {"null:restaurant_id": F.col("restaurant_id").isNull()})
+    assert "lambda" not in facts._jdf.queryExecution().optimizedPlan().toString() and facts.count() == 1
+    rules = [contracts.Rule("a", "", F.col("id") > 0), contracts.Rule("b", "", F.col("id") > 1), contracts.Rule("c", "", F.lit(None).cast("boolean"))]
+    got = spark.range(3).select("id", contracts.reasons(rules).alias("r"))
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: r["r"] for r in got.collect()} == {0: [], 1: ["a"], 2: ["a", "b"]}
