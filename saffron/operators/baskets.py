@@ -5,7 +5,8 @@ pairs need one shuffle instead of a self-join. Items below the least pair count
 can't be in a pair that reaches it; they go first, without loss. Then pairs are counted
 by hash bucket, BUCKETS small numbers whatever the number of pairs: a bucket that stays
 below the least count holds no pair that reaches it, so its pairs go before any pair is
-shuffled. The pairs that are left are counted exactly. A basket's
+shuffled. The pairs that are left are counted exactly. Membership is written once: joins, items,
+sizes and pairs would else be one stage, whose tasks hold a sort or hash table for each. A basket's
 membership is bounded by the catalogue, and baskets of more than WIDE items
 take the self-join, whose rows Spark can spill.
 """
@@ -15,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from .ranges import spread
+
 WIDE = 500
 #: Hash buckets of pairs, and those that one row of the bitmap of frequent ones holds.
 BUCKETS, WORD = 1 << 22, 64
@@ -29,15 +33,19 @@ def bucket(a: str = "item_a", b: str = "item_b") -> Column:
 
 
 def pair_rows(members: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(item_a, item_b) of every basket with item_a < item_b, and (item, n) of items, of those in ``least`` baskets."""
+    """(item_a, item_b) of every basket with item_a < item_b, and (item, n) of items, of those in ``least`` baskets.
+
+    ``members`` is read several times, so it should be written.
+    """
     items = members.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    kept = members.join(items.select("item"), "item") if least > 1 else members
-    sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("size"), F.when(F.count(F.lit(1)) <= WIDE, F.array_sort(F.collect_list(F.col("item")))).alias("items"))
+    left = members.join(items.select("item"), "item") if least > 1 else members
+    (left,) = spread(members.count(), "basket", left)
+    sizes = left.groupBy("basket").agg(F.count(F.lit(1)).alias("size"), F.when(F.count(F.lit(1)) <= WIDE, F.array_sort(F.collect_list(F.col("item")))).alias("items"))
     narrow = sizes.where(f"size between 2 and {WIDE}")
     # Each item with those after it; the inner list is dealt out in the same row.
     firsts = narrow.select(F.posexplode("items").alias("at", "item_a"), "items")
     pairs = firsts.select("item_a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("item_b"))
-    wide = kept.join(sizes.where(f"size > {WIDE}").select("basket"), "basket")
+    wide = left.join(sizes.where(f"size > {WIDE}").select("basket"), "basket")
     crossed = wide.alias("l").join(wide.alias("r"), (F.col("l.basket") == F.col("r.basket")) & (F.col("l.item") < F.col("r.item"))).select(F.col("l.item").alias("item_a"), F.col("r.item").alias("item_b"))
     return pairs.unionByName(crossed), items
 
@@ -57,6 +65,7 @@ def pruned(pairs: DataFrame, least: int) -> DataFrame:
 
 def pair_counts(members: DataFrame, least: int = 1) -> DataFrame:
     """(item_a, item_b, pair_count, count_a, count_b, basket_count) with item_a < item_b."""
+    members = kept(members, "members")
     pairs, items = pair_rows(members, least)
     total = members.agg(F.countDistinct("basket").alias("basket_count"))
     left = pruned(pairs, least) if least > 1 else pairs

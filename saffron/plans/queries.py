@@ -131,8 +131,8 @@ def menu_profitability(d: Domain) -> DataFrame:
 
 def brand_members(d: Domain) -> DataFrame:
     brands = d.raw("part").select(F.col("p_partkey").alias("menu_item_id"), F.col("p_brand").alias("brand"))
-    done = reports.completed(d.orders).select("order_id")
-    return baskets.membership(d.items.join(done, "order_id").join(brands, "menu_item_id"), "order_id", "brand")
+    lines, done = ranges.spread(d.items.count(), "order_id", d.items.select("order_id", "menu_item_id"), reports.completed(d.orders).select("order_id"))
+    return baskets.membership(lines.join(done, "order_id").join(brands, "menu_item_id"), "order_id", "brand")
 
 
 @query
