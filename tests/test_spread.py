@@ -33,3 +33,7 @@ def test_basket_pairs_deal_and_write_members_once(spark, parts, monkeypatch):
     pairs = base.QUERIES["basket_pairs"](spark, SF)
     assert written == [parts] and "lineitem" not in "".join(pairs.inputFiles())
     assert pairs.count() > 100
+
+
+def test_basket_sizes_deal_lines(spark, parts):
+    assert "RepartitionByExpression [order_id" in plan(base.QUERIES["basket_sizes"](spark, SF)) and base.brand_members(Domain(spark, SF)).rdd.getNumPartitions() == parts
