@@ -37,3 +37,13 @@ def test_basket_pairs_deal_and_write_members_once(spark, parts, monkeypatch):
 
 def test_basket_sizes_deal_lines(spark, parts):
     assert "RepartitionByExpression [order_id" in plan(base.QUERIES["basket_sizes"](spark, SF)) and base.brand_members(Domain(spark, SF)).rdd.getNumPartitions() == parts
+
+
+def dealt(df, parts):
+    """Whether lines and orders of the query each are dealt into ``parts`` by order."""
+    lines = [x for x in plan(df).splitlines() if "RepartitionByExpression [order_id" in x]
+    return len(lines) >= 2 and all(x.endswith(f", {parts}") for x in lines)
+
+
+def test_menu_by_location_deals_lines(spark, parts):
+    assert dealt(base.QUERIES["menu_by_location"](spark, SF), parts)
