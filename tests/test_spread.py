@@ -47,3 +47,7 @@ def dealt(df, parts):
 
 def test_menu_by_location_deals_lines(spark, parts):
     assert dealt(base.QUERIES["menu_by_location"](spark, SF), parts)
+
+
+def test_net_item_revenue_deals_lines(spark, parts):
+    assert dealt(base.QUERIES["net_item_revenue"](spark, SF), parts)
