@@ -51,3 +51,7 @@ def test_menu_by_location_deals_lines(spark, parts):
 
 def test_net_item_revenue_deals_lines(spark, parts):
     assert dealt(base.QUERIES["net_item_revenue"](spark, SF), parts)
+
+
+def test_full_outer_alignment_deals_lines(spark, parts):
+    assert dealt(base.QUERIES["full_outer_alignment"](spark, SF), parts)
