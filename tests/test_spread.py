@@ -55,3 +55,7 @@ def test_net_item_revenue_deals_lines(spark, parts):
 
 def test_full_outer_alignment_deals_lines(spark, parts):
     assert dealt(base.QUERIES["full_outer_alignment"](spark, SF), parts)
+
+
+def test_repeat_buyers_deals_lines(spark, parts):
+    assert dealt(base.QUERIES["repeat_buyers"](spark, SF), parts)
