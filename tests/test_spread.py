@@ -59,3 +59,7 @@ def test_full_outer_alignment_deals_lines(spark, parts):
 
 def test_repeat_buyers_deals_lines(spark, parts):
     assert dealt(base.QUERIES["repeat_buyers"](spark, SF), parts)
+
+
+def test_customer_month_deals_lines(spark, parts):
+    assert dealt(base.QUERIES["customer_month"](spark, SF), parts)
