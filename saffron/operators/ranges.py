@@ -40,9 +40,9 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """``df`` of so many rows shuffled by ``keys``: into more partitions than the session's where these would grow too large."""
+    """``df`` of so many rows shuffled by ``keys``: into a number of partitions that follows them where it exceeds the cores, as in ``spread``."""
     n = -(-rows // PARTITION_ROWS)
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
 
 
 def spread(rows: int, key: str, *tables: DataFrame) -> tuple[DataFrame, ...]:

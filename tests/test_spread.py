@@ -63,3 +63,13 @@ def test_repeat_buyers_deals_lines(spark, parts):
 
 def test_customer_month_deals_lines(spark, parts):
     assert dealt(base.QUERIES["customer_month"](spark, SF), parts)
+
+
+def test_validated_rows_are_dealt_below_the_sessions_partitions(spark):
+    """Spark would merge the session's many partitions, since their rows are few bytes."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        assert ranges.dealt(spark.range(1000), 11 * ranges.PARTITION_ROWS, "id").rdd.getNumPartitions() == 11
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
