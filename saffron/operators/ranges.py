@@ -18,6 +18,17 @@ BROADCAST_GROUPS = 100_000
 PARTITION_ROWS = 500_000
 
 
+def cuts_below(cuts: Column, x: Column, n: int, equal: bool = False) -> Column:
+    """How many of at most ``n`` ascending cut points are below ``x``, or with ``equal`` not above it; by halves, since this runs for each row."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+
+    def step(at: Column, by: Column) -> Column:
+        cut = F.get(cuts, at + by - 1)
+        return F.when(cut <= x if equal else cut < x, at + by).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def running(df: DataFrame, order: list[str | Column], sums: dict[str, str], name: str = "ranges") -> DataFrame:
     """Add, for each new column, the sum of an existing whole number over the rows before in ``order``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import cuts_below
+
 
 def ntile_over(n: int, rank: Column, total: Column) -> Column:
     """NTILE(n) of the ``rank``-th (from 1) of ``total`` rows: the first total mod n tiles hold one more."""
@@ -33,14 +35,13 @@ def global_ntiles(df: DataFrame, n: int, tie: str, wanted: dict[str, tuple[str,
     some = df.select(tie).where(F.col(tie).isNotNull()).orderBy(F.xxhash64(tie), tie).limit(TIES).agg(F.array_sort(F.collect_list(tie)).alias("_all"))
     every = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("_all", F.floor(i * F.size("_all") / ranges).cast("int")))
     dealt = df.crossJoin(F.broadcast(cuts)).crossJoin(F.broadcast(some.select(every.alias("_ties"))))
-    below = lambda cuts, x: F.size(F.filter(cuts, lambda c: c < x))
-    equal = lambda cuts, x: F.size(F.filter(cuts, lambda c: c == x))
+    below = lambda cuts, x, equal=False: cuts_below(F.col(cuts), F.col(x), ranges - 1, equal)
     for o, (v, _) in wanted.items():
-        same = equal(f"_cuts_{o}", F.col(v))
+        same = below(f"_cuts_{o}", v, True) - below(f"_cuts_{o}", v)
         # Ranges between cut points have even numbers, those of one value odd ones.
-        number = F.when(F.col(v).isNull(), -1).otherwise(2 * below(f"_cuts_{o}", F.col(v)) + F.when(same > 0, same * 2 - 1).otherwise(0))
+        number = F.when(F.col(v).isNull(), -1).otherwise(2 * below(f"_cuts_{o}", v) + F.when(same > 0, same * 2 - 1).otherwise(0))
         parts = F.when(F.col(v).isNull(), ranges).when(same > 1, same + 1).otherwise(1)
-        dealt = dealt.withColumn(f"_range_{o}", number).withColumn(f"_part_{o}", F.floor(below("_ties", F.col(tie)) * parts / ranges).cast("int"))
+        dealt = dealt.withColumn(f"_range_{o}", number).withColumn(f"_part_{o}", F.floor(below("_ties", tie) * parts / ranges).cast("int"))
     dealt = dealt.drop("_ties", *(f"_cuts_{o}" for o in wanted))
     spread = dealt.select(F.explode(F.array(*(F.struct(F.lit(o).alias("of"), F.lit(down).alias("down"), F.col(f"_range_{o}").alias("range"), F.col(f"_part_{o}").alias("part")) for o, (_, down) in wanted.items()))).alias("x"))
     counts = spread.groupBy("x.of", "x.down", "x.range", "x.part").agg(F.count(F.lit(1)).alias("n"))

@@ -1,8 +1,11 @@
-"""Joins whose partitions follow the number of rows, so that a task's memory doesn't grow with the input."""
+"""Joins whose partitions follow the number of rows, so that a task's memory doesn't grow with the input, and rows dealt by cut points."""
+
+from bisect import bisect_left, bisect_right
 
 import pytest
+from pyspark.sql import functions as F
 
-from saffron.operators import baskets, ranges
+from saffron.operators import baskets, customers, ranges
 from saffron.plans import queries as base
 from saffron.plans.tables import Domain
 
@@ -73,3 +76,21 @@ def test_validated_rows_are_dealt_below_the_sessions_partitions(spark):
         assert ranges.dealt(spark.range(1000), 11 * ranges.PARTITION_ROWS, "id").rdd.getNumPartitions() == 11
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("cuts", [[], [None] * 3, [5], [1, 1, 1], [0, 2, 2, 2, 3, 7, 9], list(range(0, 398, 2))])
+def test_cut_points_are_found_by_halves(spark, cuts):
+    rows = [(cuts, x) for x in [*range(-2, 12), 200, 395, 396, 400, None]]
+    n = max(len(cuts), 1)
+    got = spark.createDataFrame(rows, "cuts array<int>, x int").select("x", ranges.cuts_below(F.col("cuts"), F.col("x"), n).alias("below"), ranges.cuts_below(F.col("cuts"), F.col("x"), n, True).alias("upto")).collect()
+    known = [c for c in cuts if c is not None]
+    assert len(got) == len(rows) and all((r.below, r.upto) == ((0, 0) if r.x is None else (bisect_left(known, r.x), bisect_right(known, r.x))) for r in got)
+
+
+def walks_all_cuts(df):
+    """Whether a row is compared with every cut point."""
+    return "filter(_cuts" in plan(df) or "filter(_ties" in plan(df)
+
+
+def test_segmentation_check_halves_cut_points(spark):
+    assert not walks_all_cuts(customers.rfm(Domain(spark, SF).orders))
