@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import cuts_below
+
 
 def expand(df: DataFrame, key: str, target: int, rows: int | None = None, prefix: str = "X") -> DataFrame:
     """The source and as many copies as reach ``target`` rows; copy k's keys start with prefix, k and a dash.
@@ -37,7 +39,7 @@ def smallest(df: DataFrame, key: str, n: int) -> DataFrame:
     # As many keys as there are ranges, from a sample of bounded size.
     some = df.select(key).orderBy(F.xxhash64(key), key).limit(100 * ranges).agg(F.array_sort(F.collect_list(key)).alias("_all"))
     cuts = some.select(F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("_all", F.floor(i * F.size("_all") / ranges).cast("int"))).alias("_cuts"))
-    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
+    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_range", cuts_below(F.col("_cuts"), F.col(key), ranges - 1)).drop("_cuts")
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before")  # one row for each range
     placed = dealt.join(F.broadcast(counts.select("_range", "_n", before)), "_range").where(F.col("_before") < n)

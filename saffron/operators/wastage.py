@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed_sum, share
 from ..functions.times import month
+from .ranges import cuts_below
 
 
 def valid_waste(wastage: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def ranking(wastage: DataFrame) -> DataFrame:
 def dense_rank_desc(df: DataFrame, value: str, out: str, ranges: int | None = None) -> DataFrame:
     ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(F.coalesce(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000), F.array().cast("array<double>")).alias("_cuts"))
-    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_range", cuts_below(F.col("_cuts"), F.col(value), ranges - 1)).drop("_cuts")
     counts = dealt.groupBy("_range").agg(F.countDistinct(value).alias("_n"))
     above = F.sum("_n").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))  # at most ``ranges`` rows
     starts = counts.select("_range", F.coalesce(above, F.lit(0)).alias("_above"))

@@ -5,7 +5,7 @@ from bisect import bisect_left, bisect_right
 import pytest
 from pyspark.sql import functions as F
 
-from saffron.operators import baskets, customers, ranges
+from saffron.operators import baskets, customers, expand, ranges, wastage
 from saffron.plans import queries as base
 from saffron.plans.tables import Domain
 
@@ -94,3 +94,8 @@ def walks_all_cuts(df):
 
 def test_segmentation_check_halves_cut_points(spark):
     assert not walks_all_cuts(customers.rfm(Domain(spark, SF).orders))
+
+
+def test_described_marts_halve_cut_points(spark):
+    d = Domain(spark, SF)
+    assert not walks_all_cuts(wastage.ranking(d.wastage)) and not walks_all_cuts(expand.smallest(d.orders, "order_id", 10))
