@@ -56,14 +56,15 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
 
 
-def spread(rows: int, key: str, *tables: DataFrame) -> tuple[DataFrame, ...]:
-    """``tables`` that are joined by ``key``, dealt alike into partitions of PARTITION_ROWS of the largest one's ``rows``.
+def spread(rows: int, key: str | list[str], *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """``tables`` that are joined or grouped by ``key``, dealt alike into partitions of PARTITION_ROWS of the largest one's ``rows``.
 
     Spark joins partitions of few bytes, which may hold many narrow rows, until the cores have one each; so a
     task's sort and hash table grow with the input. No more partitions than cores: it may choose.
     """
     n = -(-rows // PARTITION_ROWS)
-    return tuple(t.repartition(n, key) for t in tables) if n > tables[0].sparkSession.sparkContext.defaultParallelism else tables
+    keys = [key] if isinstance(key, str) else key
+    return tuple(t.repartition(n, *keys) for t in tables) if n > tables[0].sparkSession.sparkContext.defaultParallelism else tables
 
 
 def running_by(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str], name: str = "ranges") -> DataFrame:

@@ -205,7 +205,7 @@ def disengagement_labels(d: Domain) -> DataFrame:
 
 @query
 def repeat_buyers(d: Domain) -> DataFrame:
-    return customers.repeat_buyers(features.members(sold(d)))
+    return customers.repeat_buyers(features.members(sold(d)), rows=d.items.count())
 
 
 # ------------------------------------------------- waste, prices, anomalies

@@ -64,6 +64,10 @@ def test_repeat_buyers_deals_lines(spark, parts):
     assert dealt(base.QUERIES["repeat_buyers"](spark, SF), parts)
 
 
+def test_repeat_buyers_deals_members(spark, parts):
+    assert "RepartitionByExpression [menu_item_id#" in plan(base.QUERIES["repeat_buyers"](spark, SF))
+
+
 def test_customer_month_deals_lines(spark, parts):
     assert dealt(base.QUERIES["customer_month"](spark, SF), parts)
 
